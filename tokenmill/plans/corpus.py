@@ -72,3 +72,38 @@ def masked_rows(ctx: CorpusContext, raw: DataFrame | None = None, keep_choice: b
 def shard_counts(ctx: CorpusContext) -> DataFrame:
     """Flagship: how many masked training rows each shard gets."""
     return masked_rows(ctx).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_CONTEXTS: dict = {}
+
+
+def context(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> CorpusContext:
+    """Memoised per session and table folder: the vocabulary is built (and collected) once."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), cfg)
+    ctx = _CONTEXTS.get(key)
+    if ctx is None:
+        ctx = build_context(spark, sf_dir, cfg)
+        _CONTEXTS[key] = ctx
+    return ctx
+
+
+# ------------------------------------------------------------------ pairs (E-5)
+def pair_ids(ctx: CorpusContext, pairs: DataFrame, keys=("conv_id", "turn")) -> DataFrame:
+    """Both sentences encoded without special tokens: ``*keys, a, b``."""
+    enc = ctx.encoder
+    return pairs.select(*keys, enc.encode_plain("sentence1").alias("a"), enc.encode_plain("sentence2").alias("b"))
+
+
+def encoded_pairs(ctx: CorpusContext, pairs: DataFrame, max_length: int | None = None, keys=("conv_id", "turn")) -> DataFrame:
+    """``*keys, ids, type_ids`` for ``[CLS] a [SEP] b [SEP]``, longest-first truncated when ``max_length`` is set."""
+    ids = pair_ids(ctx, pairs, keys)
+    p = ctx.encoder.encode_pair("a", "b", max_length)
+    return ids.select(*keys, p["ids"].alias("ids"), p["type_ids"].alias("type_ids"))
+
+
+def padded_pairs(ctx: CorpusContext, pairs: DataFrame, max_length: int = 128, keys=("conv_id", "turn")) -> DataFrame:
+    """Truncated pairs padded to the longest encoding of the set with the mask id (pad = mask)."""
+    from tokenmill.operators.encode import pad_to_longest
+
+    enc = encoded_pairs(ctx, pairs, max_length, keys)
+    return pad_to_longest(enc, "ids", ctx.vocab.mask_id, extra_zero_cols=("type_ids",))

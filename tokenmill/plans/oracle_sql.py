@@ -149,3 +149,103 @@ masked AS (
 
 def shard_expr(num_shards: int = 100, seed: str = "shard") -> str:
     return f"floor({u(seed, 'doc_id', 'row_no')} * {num_shards})::INTEGER"
+
+
+NA_LIST = None  # filled lazily from the pair module
+
+
+def na_sql() -> str:
+    from tokenmill.operators.pairs import DEFAULT_NA_VALUES
+
+    return "(" + ", ".join(_q(v) for v in DEFAULT_NA_VALUES) + ")"
+
+
+CONV_PAIRS = """
+pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS sentence1, a.text AS sentence2
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
+)"""
+
+DOC_PAIRS = """
+doc_pairs AS (
+  SELECT d.doc_id, string_split(d.text, chr(10))[1] AS sentence1,
+    coalesce(string_split(d.text, chr(10))[2], '') AS sentence2,
+    CASE WHEN l.toxic = 1 THEN 'contradiction' WHEN l.quality = 1 THEN 'entailment' ELSE 'neutral' END AS gold_label
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+)"""
+
+
+def pair_prefix(vocab_size: int, min_count: int = 2) -> str:
+    """Vocabulary from documents, then both sentences of every conversation pair encoded: ``pair_ids(conv_id, turn, a, b)``."""
+    pw = f"""
+pw_src AS (
+  SELECT conv_id, turn, 1 AS part, regexp_extract_all(lower(strip_accents(sentence1)), {_q(PRETOKENIZE_PATTERN_RE2)}, 0) AS ws FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, 2 AS part, regexp_extract_all(lower(strip_accents(sentence2)), {_q(PRETOKENIZE_PATTERN_RE2)}, 0) AS ws FROM pairs
+),
+pwords AS (SELECT conv_id, turn, part, unnest(range(len(ws))) AS w_pos, unnest(ws) AS word FROM pw_src)"""
+    tail = """
+p_ids AS (
+  SELECT s.conv_id, s.turn, s.part, coalesce(d.ids, []::INTEGER[]) AS ids FROM pw_src s LEFT JOIN (
+    SELECT w.conv_id, w.turn, w.part, flatten(list(e.ids ORDER BY w.w_pos)) AS ids
+    FROM pwords w JOIN enc e ON e.word = w.word GROUP BY w.conv_id, w.turn, w.part
+  ) d ON d.conv_id = s.conv_id AND d.turn = s.turn AND d.part = s.part
+),
+pair_ids AS (
+  SELECT conv_id, turn, first(ids) FILTER (WHERE part = 1) AS a, first(ids) FILTER (WHERE part = 2) AS b
+  FROM p_ids GROUP BY conv_id, turn
+)"""
+    return "WITH " + ",".join([words_cte(), vocab_ctes(vocab_size, min_count), CONV_PAIRS, pw, encode_ctes(words="pwords"), tail])
+
+
+def truncated_pairs_cte(max_length: int = 128) -> str:
+    L = max_length - 3
+    return f"""
+lens AS (SELECT conv_id, turn, a, b, len(a) AS la, len(b) AS lb, least(len(a), len(b)) AS s, greatest(len(a), len(b)) AS g FROM pair_ids),
+t1 AS (SELECT *, CASE WHEN s > {L} THEN s ELSE greatest(s, {L} - s) END AS tg FROM lens),
+t2 AS (SELECT *, (s + tg > {L}) AS over FROM t1),
+t3 AS (SELECT *, least(s, CASE WHEN over THEN {L // 2} ELSE s END) AS keep_s,
+                 least(g, CASE WHEN over THEN {L // 2 + L % 2} ELSE tg END) AS keep_g FROM t2),
+t4 AS (SELECT conv_id, turn, a, b,
+         CASE WHEN la + lb <= {L} THEN la WHEN la > lb THEN keep_g ELSE keep_s END AS ka,
+         CASE WHEN la + lb <= {L} THEN lb WHEN la > lb THEN keep_s ELSE keep_g END AS kb FROM t3),
+trunc AS (
+  SELECT conv_id, turn,
+    list_concat([{CLS_ID}], list_slice(a, 1, ka), [{SEP_ID}], list_slice(b, 1, kb), [{SEP_ID}]) AS ids,
+    list_concat(list_transform(range(ka + 2), lambda x: 0), list_transform(range(kb + 1), lambda x: 1)) AS type_ids
+  FROM t4
+)"""
+
+
+def padded_pairs_cte() -> str:
+    return f"""
+longest AS (SELECT max(len(ids)) AS n FROM trunc),
+padded AS (
+  SELECT conv_id, turn,
+    list_concat(ids, list_transform(range(longest.n - len(ids)), lambda x: {MASK_ID})) AS ids,
+    list_concat(type_ids, list_transform(range(longest.n - len(type_ids)), lambda x: 0)) AS type_ids
+  FROM trunc, longest
+)"""
+
+
+SCORED = """
+ex AS (SELECT label, unnest(range(len(embedding))) AS d, unnest(embedding) AS x FROM embeddings),
+cent AS (SELECT label, d, avg(x::DOUBLE) AS m FROM ex GROUP BY label, d),
+wrow AS (SELECT label, list(m ORDER BY d) AS w FROM cent GROUP BY label),
+wm AS (SELECT list(w ORDER BY label) AS W FROM wrow),
+lg AS (
+  SELECT vec_id, label, embedding,
+    list_transform(wm.W, lambda r: list_reduce(list_transform(list_zip(r, embedding::DOUBLE[]), lambda p: p[1] * p[2]), lambda x, y: x + y, 0.0)) AS logits
+  FROM embeddings, wm
+),
+lg2 AS (SELECT *, list_max(logits) AS mx FROM lg),
+scored AS (
+  SELECT vec_id, label, embedding, logits,
+    mx + ln(list_reduce(list_transform(logits, lambda z: exp(z - mx)), lambda x, y: x + y, 0.0)) AS lse,
+    list_position(logits, mx) - 1 AS prediction
+  FROM lg2
+),
+scored2 AS (
+  SELECT *, lse - logits[label + 1] AS loss, list_transform(logits, lambda z: exp(z - lse)) AS probs FROM scored
+)"""
