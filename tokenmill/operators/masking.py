@@ -8,8 +8,10 @@ not depend on partitioning and survives re-execution unchanged.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.config import MaskingConfig
 
@@ -47,6 +49,48 @@ def random_ids_from_digests(digests, vocab_size: int) -> Column:
     return F.transform(digests, lambda h: F.floor(_u(h, 9) * vocab_size).cast("int"))
 
 
+def _mask_batch(tokens, doc_ids, row_nos, seed, t1, t2, t3, mask_id, vocab_size):
+    """Arrow-batch masking: one md5 per token position, same digest as the SQL definition."""
+    import hashlib
+
+    import numpy as np
+
+    inputs, choices = [], []
+    md5 = hashlib.md5
+    for toks, d, r in zip(tokens, doc_ids, row_nos):
+        prefix = f"{seed}|{d}|{r}|"
+        n = len(toks)
+        u1 = np.empty(n, dtype=np.float64)
+        u2 = np.empty(n, dtype=np.float64)
+        for i in range(n):
+            h = md5((prefix + str(i)).encode()).hexdigest()
+            u1[i] = int(h[:8], 16)
+            u2[i] = int(h[8:16], 16)
+        u1 /= 4294967296.0
+        u2 /= 4294967296.0
+        choice = (u1 >= t1).astype(np.int32) + (u1 >= t2) + (u1 >= t3)
+        t = np.asarray(toks, dtype=np.int32)
+        inp = np.where(choice == 1, mask_id, t)
+        inp = np.where(choice == 2, np.floor(u2 * vocab_size).astype(np.int32), inp).astype(np.int32)
+        inputs.append(inp)
+        choices.append(choice.astype(np.int32))
+    return inputs, choices
+
+
+def _mask_udf(seed, cfg, mask_id, vocab_size):
+    t1, t2, t3 = thresholds(cfg)
+    schema = T.StructType(
+        [T.StructField("input", T.ArrayType(T.IntegerType())), T.StructField("choice", T.ArrayType(T.IntegerType()))]
+    )
+
+    @F.pandas_udf(schema)
+    def mask_batch(tokens: pd.Series, doc_ids: pd.Series, row_nos: pd.Series) -> pd.DataFrame:
+        inputs, choices = _mask_batch(tokens, doc_ids, row_nos, seed, t1, t2, t3, mask_id, vocab_size)
+        return pd.DataFrame({"input": inputs, "choice": choices})
+
+    return mask_batch
+
+
 def mask_tokens(
     df: DataFrame,
     mask_id: int,
@@ -56,6 +100,38 @@ def mask_tokens(
     key_cols=("doc_id", "row_no"),
     seed: str = "mask",
     keep_choice: bool = False,
+    engine: str = "arrow",
+) -> DataFrame:
+    """Adds ``input, target, mask`` (and ``choice``) for every sequence row; drops ``tokens``.
+
+    ``engine="arrow"`` hashes in one Arrow-batched UDF (a tight loop of md5 over
+    the token positions); ``engine="sql"`` states the same thing with built-in
+    higher-order functions, which Spark interprets element by element (about
+    30x slower here). Both give identical results.
+    """
+    if engine == "sql" or len(key_cols) != 2:
+        return mask_tokens_sql(df, mask_id, vocab_size, cfg, tokens_col, key_cols, seed, keep_choice)
+    udf = _mask_udf(seed, cfg, mask_id, vocab_size)
+    staged = df.withColumn("__m", udf(F.col(tokens_col), F.col(key_cols[0]), F.col(key_cols[1])))
+    out = staged.select(
+        *[c for c in df.columns if c != tokens_col],
+        F.col("__m.input").alias("input"),
+        F.col(tokens_col).alias("target"),
+        F.transform("__m.choice", lambda c: c > 0).alias("mask"),
+        F.col("__m.choice").alias("choice"),
+    )
+    return out if keep_choice else out.drop("choice")
+
+
+def mask_tokens_sql(
+    df: DataFrame,
+    mask_id: int,
+    vocab_size: int,
+    cfg: MaskingConfig = MaskingConfig(),
+    tokens_col: str = "tokens",
+    key_cols=("doc_id", "row_no"),
+    seed: str = "mask",
+    keep_choice: bool = False,
 ) -> DataFrame:
     """Adds ``input, target, mask`` (and ``choice``) for every sequence row; drops ``tokens``.
 

@@ -94,13 +94,14 @@ def _global_window(*orders):
     return w.orderBy(*orders) if orders else w
 
 
-def word_vocabulary(counts: DataFrame, size: int, min_count: int = 2, alphabet_size: int = 100) -> DataFrame:
+def word_vocabulary(counts: DataFrame, size: int, min_count: int = 2, alphabet_size: int = 100, alpha: DataFrame | None = None) -> DataFrame:
     """A words-plus-characters vocabulary: base vocabulary, then the most frequent whole words.
 
     Words must be longer than one character, consist of alphabet characters only
     and occur at least ``min_count`` times; ranked by count desc, word asc.
+    ``counts`` is read several times: pass a persisted frame.
     """
-    alpha = alphabet(counts, alphabet_size)
+    alpha = alpha if alpha is not None else alphabet(counts, alphabet_size)
     base = base_vocabulary(alpha)
     n_base = base.agg(F.count(F.lit(1))).scalar()
     allowed = alpha.agg(F.collect_set("char")).scalar()  # bounded by alphabet_size

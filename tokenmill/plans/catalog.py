@@ -22,7 +22,15 @@ MC = C.QUERY_MIN_COUNT
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        SPARK[name] = fn
+        def run(spark, sf):
+            from tokenmill.session import ship_package
+
+            ship_package(spark)
+            return fn(spark, sf)
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        SPARK[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn

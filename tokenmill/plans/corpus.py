@@ -15,7 +15,7 @@ from tokenmill.config import Config
 from tokenmill.functions import text as tx
 from tokenmill.operators import masking, sequences, shards, vocab as V
 from tokenmill.operators.encode import Encoder
-from tokenmill.sources.readers import read_table
+from tokenmill.sources.readers import read_table, spread
 
 # Defaults of the words-plus-characters vocabulary used by the table queries.
 QUERY_VOCAB_SIZE = 2048
@@ -33,14 +33,18 @@ class CorpusContext:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def build_context(spark: SparkSession, sf_dir: str, cfg: Config = Config(), vocab_size: int = QUERY_VOCAB_SIZE, min_count: int = QUERY_MIN_COUNT) -> CorpusContext:
     docs = documents(spark, sf_dir)
-    counts = V.word_counts(docs)
-    vocab_frame = V.word_vocabulary(counts, vocab_size, min_count, cfg.tokenizer.max_alphabet_size)
+    # The count table feeds the alphabet and the word ranking: scan and count the corpus once.
+    counts = V.word_counts(docs).persist()
+    alpha = V.alphabet(counts, cfg.tokenizer.max_alphabet_size).persist()
+    vocab_frame = V.word_vocabulary(counts, vocab_size, min_count, cfg.tokenizer.max_alphabet_size, alpha)
     vocab = V.Vocab.from_frame(vocab_frame)
+    alpha.unpersist()
+    counts.unpersist()
     enc = Encoder(vocab, spark, cfg.tokenizer.max_chars_per_word)
     return CorpusContext(spark, docs, vocab.to_frame(spark), vocab, enc, cfg)
 

@@ -28,6 +28,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -73,3 +74,42 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tokenmill`` importable in Python workers (executors) via ``addPyFile``.
+
+    The package is zipped from the driver's copy once per application; Spark
+    distributes the archive to every executor, on a cluster as locally.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import hashlib
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    files = []
+    for base, _dirs, names in os.walk(pkg_dir):
+        if "__pycache__" in base:
+            continue
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(base, n))
+    digest = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    archive = os.path.join(tempfile.gettempdir(), f"tokenmill-{digest.hexdigest()[:12]}.zip")
+    if not os.path.exists(archive):
+        tmp = archive + f".{uuid.uuid4().hex[:6]}"
+        with zipfile.ZipFile(tmp, "w") as zf:
+            for f in files:
+                zf.write(f, os.path.relpath(f, root))
+        os.replace(tmp, archive)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -107,3 +107,16 @@ def scan_packed_binary(spark: SparkSession, path: str, row_len: int, dtype: str
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VOCAB_SCHEMA).parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan has fewer partitions than the cluster has cores.
+
+    Large inputs (many files / row groups) already scan in parallel and are left
+    alone, so no extra shuffle is added at scale; a small table stored as one
+    row group would otherwise run its CPU-heavy text work in a single task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -32,14 +32,32 @@ def write_packed(df: DataFrame, path: str, rows_per_file: int, order_cols=("doc_
     )
 
 
-def write_shards(df: DataFrame, path: str, shard_col="shard", order_col="h", key_cols=("doc_id", "row_no"), mode="overwrite", max_records_per_file: int | None = None) -> None:
-    """One directory per shard with exactly its rows, each in random order.
-
-    Range partitioning on the unique (shard, h, keys) spreads any shard over
-    several tasks; a shard's part files in file order hold its rows in order.
+def write_shards(
+    df: DataFrame,
+    path: str,
+    shard_col="shard",
+    order_col="h",
+    buckets_per_shard: int = 1,
+    mode="overwrite",
+    max_records_per_file: int | None = None,
+) -> None:
+    """One folder per shard with exactly its rows, in random (``h``) order.
+
+    ``bucket = floor(h * buckets_per_shard)`` splits a shard into ordered
+    sub-folders, so one shard never has to be sorted by one task; shard numbers
+    are uniform by construction, so hash partitioning on (shard, bucket) is
+    balanced without a range-sampling pass (which would recompute the whole
+    encode-and-mask plan). Reading ``shard=<n>/`` bucket by bucket, file by
+    file, gives the rows in ``h`` order.
     """
-    order = [shard_col, order_col, *key_cols]
-    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(shard_col)
+    b = F.least(F.floor(F.col(order_col) * buckets_per_shard), F.lit(buckets_per_shard - 1)).cast("int")
+    staged = df.withColumn("bucket", b)
+    writer = (
+        staged.repartition(shard_col, "bucket")
+        .sortWithinPartitions(shard_col, "bucket", order_col)
+        .write.mode(mode)
+        .partitionBy(shard_col, "bucket")
+    )
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)
