@@ -36,7 +36,7 @@ def scan_documents(spark: SparkSession, path: str, columns=("doc_id", "text")) -
 
 def scan_text_corpus(spark: SparkSession, pattern: str) -> DataFrame:
     """One document per text file: ``path, text`` (whole file, newlines normalised later)."""
-    return spark.read.option("wholetext", True).text(pattern).select(
+    return spark.read.text(pattern, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 
