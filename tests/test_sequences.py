@@ -82,3 +82,16 @@ def test_range_check(spark):
     with pytest.raises(ValueError):
         assert_in_range(df, "t", 0, 65535)
     assert F is not None
+
+
+def test_crop_mode_boundaries(spark):
+    from tokenmill.operators.crop import crop_assignment, crop_rows
+
+    counts = spark.createDataFrame([(0, 4), (1, 7), (2, 3), (3, 12), (4, 5), (5, 0)], "doc_id long, n long")
+    got = {r.doc_id: (r.kept, r.file_no) for r in crop_assignment(counts, 10).collect()}
+    assert got == {0: (4, 0), 1: (6, 0), 2: (3, 1), 3: (7, 1), 4: (5, 2)}
+    rows = spark.createDataFrame([(d, r) for d, n in [(0, 4), (1, 7)] for r in range(n)], "doc_id long, row_no int")
+    kept = crop_rows(rows, crop_assignment(counts, 10))
+    assert kept.filter("doc_id = 1").count() == 6
+    exact = spark.createDataFrame([(0, 10), (1, 3)], "doc_id long, n long")
+    assert {r.doc_id: r.file_no for r in crop_assignment(exact, 10).collect()} == {0: 0, 1: 1}

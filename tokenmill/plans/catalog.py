@@ -1083,3 +1083,29 @@ def q_evaluate_head(spark, sf):
     s = validation_split(scored(spark, sf), 100, ["vec_id"], out="m").filter(F.col("m"))
     r = loss_accuracy(s)
     return r.select(_r6(F.col("mean_loss")).alias("mean_loss"), _r6(F.col("accuracy")).alias("accuracy"), "n")
+
+
+@register(
+    "op_write_crop",
+    "WITH RECURSIVE " + CORPUS[len("WITH "):] + """,
+docs AS (
+  SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS b, sum(n) OVER (ORDER BY doc_id) AS e
+  FROM (SELECT doc_id, len(ids) // 128 AS n FROM doc_ids) WHERE n > 0
+),
+bounds(k, start) AS (
+  SELECT 0, 0::HUGEINT
+  UNION ALL
+  SELECT k + 1, (SELECT min(e) FROM docs WHERE e >= bounds.start + 1000) FROM bounds
+  WHERE (SELECT min(e) FROM docs WHERE e >= bounds.start + 1000) IS NOT NULL
+)
+SELECT docs.doc_id, docs.n::BIGINT AS n, least(docs.n, bb.start + 1000 - docs.b)::BIGINT AS kept, bb.k::INTEGER AS file_no FROM docs
+JOIN (SELECT k, start, lead(start) OVER (ORDER BY k) AS nxt FROM bounds) bb ON docs.b >= bb.start AND (bb.nxt IS NULL OR docs.b < bb.nxt)""",
+)
+def q_write_crop(spark, sf):
+    """Crop-mode numbered files of 1,000 rows: rows kept per document and its file."""
+    from tokenmill.operators.crop import crop_assignment
+    from tokenmill.operators.sequences import chunks
+
+    enc = C.encoded_documents(_ctx(spark, sf))
+    counts = enc.select("doc_id", F.size(chunks("ids", 128)).cast("long").alias("n"))
+    return crop_assignment(counts, 1000)
