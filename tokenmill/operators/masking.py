@@ -100,14 +100,14 @@ def mask_tokens(
     key_cols=("doc_id", "row_no"),
     seed: str = "mask",
     keep_choice: bool = False,
-    engine: str = "arrow",
+    engine: str = "sql",
 ) -> DataFrame:
     """Adds ``input, target, mask`` (and ``choice``) for every sequence row; drops ``tokens``.
 
-    ``engine="arrow"`` hashes in one Arrow-batched UDF (a tight loop of md5 over
-    the token positions); ``engine="sql"`` states the same thing with built-in
-    higher-order functions, which Spark interprets element by element (about
-    30x slower here). Both give identical results.
+    ``engine="sql"`` (default) uses built-in higher-order functions and stays in
+    the JVM; ``engine="arrow"`` runs the same md5 loop in one Arrow-batched UDF
+    (measured 1.4x faster on 9.6M tokens, at the cost of Python workers).
+    Both give identical results.
     """
     if engine == "sql" or len(key_cols) != 2:
         return mask_tokens_sql(df, mask_id, vocab_size, cfg, tokens_col, key_cols, seed, keep_choice)
