@@ -224,8 +224,8 @@ def train_vocabulary(
     right asc), stopping at ``vocab_size`` tokens or when the best count falls
     below ``min_frequency``. Each round reads the ranked pair list (top
     ``candidates_per_round``, only the prefix rule decides how many are used;
-    the rest are ranked again next round). The word table is persisted every
-    round and checkpointed to the shared folder every ``checkpoint_every`` rounds.
+    the rest are ranked again next round). Each round's word table is persisted
+    and every ``checkpoint_every``-th one is checkpointed to the shared folder.
     """
     spark = counts.sparkSession
     if vocab_size > MAX_VOCAB_ROWS:
@@ -234,10 +234,16 @@ def train_vocabulary(
     base_rows = base_vocabulary(alpha).collect()
     known = {r.token for r in base_rows}
     size = len(base_rows)
-    words = word_symbols(counts, alpha).select("count", "symbols").persist()
+    ensure_checkpoint_dir(spark)
+    # Words down to one symbol can never form a pair again: they leave the working table.
+    # Rounds are persisted and every ``checkpoint_every``-th is a reliable checkpoint, which
+    # cuts plan and lineage depth; persisted rounds are released only after that checkpoint,
+    # children first (releasing a parent of a cached frame would drop the child's cache).
+    words = word_symbols(counts, alpha).select("count", "symbols").filter(F.size("symbols") > 1)
+    words = words.checkpoint(eager=True)
     merges: list[tuple[str, str, str]] = []
+    pending: list[DataFrame] = []
     rounds = 0
-    ensure_checkpoint_dir(spark)
     while size < vocab_size:
         ranked_rows = (
             pair_counts(words, min_frequency)
@@ -258,15 +264,20 @@ def train_vocabulary(
                 known.add(token)
                 size += 1
         rounds += 1
-        nxt = words.select("count", _apply_merges(F.col("symbols"), round_map).alias("symbols"))
+        nxt = words.select("count", _apply_merges(F.col("symbols"), round_map).alias("symbols")).filter(
+            F.size("symbols") > 1
+        )
         if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
+            words = nxt.checkpoint(eager=True)
+            # Release the persisted rounds children first, so no cached frame loses a parent.
+            for frame in reversed(pending):
+                frame.unpersist()
+            pending = []
         else:
-            nxt = nxt.persist()
-            nxt.count()
-        words.unpersist()
-        words = nxt
-    words.unpersist()
+            words = nxt.persist()
+            pending.append(words)
+    for frame in reversed(pending):
+        frame.unpersist()
     alpha.unpersist()
     vocab_rows = [(r.token, r.id, r.kind) for r in base_rows]
     seen = {r.token for r in base_rows}

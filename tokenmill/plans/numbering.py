@@ -41,6 +41,15 @@ def _materialise(df: DataFrame, materialize: str) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _bounded(offsets: DataFrame, group_cols) -> DataFrame:
+    """Without groups the offsets table has one row per partition: broadcast it.
+
+    With groups it has up to partitions + groups rows, which grows with the
+    number of groups; the join strategy is then left to AQE's runtime size check.
+    """
+    return F.broadcast(offsets) if not group_cols else offsets
+
+
 def index_by_order(
     df: DataFrame,
     order_cols: list,
@@ -70,8 +79,7 @@ def index_by_order(
     offsets = totals.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(
         "__pid", *group_cols, "__base", "__first"
     )
-    # Bounded by partitions x groups touched; safe to broadcast.
-    joined = local.join(F.broadcast(offsets), ["__pid", *group_cols])
+    joined = local.join(_bounded(offsets, group_cols), ["__pid", *group_cols])
     return joined.withColumn(out, F.col("__base") + F.col("__local") - F.col("__first")).drop(
         "__pid", "__local", "__base", "__first"
     )
@@ -131,7 +139,7 @@ def prefix_sum(
     offsets = totals.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(
         "__pid", *group_cols, "__base"
     )
-    joined = local.join(F.broadcast(offsets), ["__pid", *group_cols])
+    joined = local.join(_bounded(offsets, group_cols), ["__pid", *group_cols])
     return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")).drop(
         "__pid", "__local", "__base"
     )
