@@ -200,7 +200,11 @@ def _apply_merges(symbols: Column, merges: dict[tuple[str, str], str]) -> Column
             .otherwise(F.struct(F.array_append(acc["out"], here).alias("out"), F.lit(False).alias("skip")))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step, lambda acc: acc["out"])
+    merged_all = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step, lambda acc: acc["out"])
+    # Only words holding a left symbol of this round can change; the rest skip the loop.
+    lefts = sorted({left for (left, _right) in merges})
+    touched = F.arrays_overlap(symbols, F.array(*[F.lit(x) for x in lefts]))
+    return F.when(touched, merged_all).otherwise(symbols)
 
 
 @dataclass
@@ -230,6 +234,8 @@ def train_vocabulary(
     spark = counts.sparkSession
     if vocab_size > MAX_VOCAB_ROWS:
         raise ValueError("vocabulary must fit 16-bit ids")
+    # Read twice below (alphabet, symbol split): count the corpus once.
+    counts = counts.persist()
     alpha = alphabet(counts, alphabet_size).cache()
     base_rows = base_vocabulary(alpha).collect()
     known = {r.token for r in base_rows}
@@ -278,6 +284,7 @@ def train_vocabulary(
             pending.append(words)
     for frame in reversed(pending):
         frame.unpersist()
+    counts.unpersist()
     alpha.unpersist()
     vocab_rows = [(r.token, r.id, r.kind) for r in base_rows]
     seen = {r.token for r in base_rows}
