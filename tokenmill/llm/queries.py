@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import decontaminate
+from tokenmill.llm import bpe, decontaminate
 from tokenmill.llm.base import read
 
 
+def op4_byte_bpe(spark, sf_dir):
+    """Whole `documents` through the public multilingual byte-level BPE, and back."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_coder(spark))
+
+
+def public_coder(spark):
+    import public_tokenizers
+
+    return bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     """Whole `documents` against all 10-word windows of `benchmark`, by training suffix arrays."""
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op8_benchmark_decontamination)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
