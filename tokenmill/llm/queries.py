@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import bpe, decontaminate
+from tokenmill.llm import bpe, decontaminate, minhash
 from tokenmill.llm.base import read
 
 
+def op3_minhash_near_duplicates(spark, sf_dir):
+    """Whole `documents` on distinct 3-word shingles, linked at 85 % of the union."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, threshold=85)
+
+
 def op4_byte_bpe(spark, sf_dir):
     """Whole `documents` through the public multilingual byte-level BPE, and back."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_coder(spark))
@@ -22,12 +27,24 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op8_benchmark_decontamination)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL = {
+    "op3_minhash_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 2], 'string_agg', ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u AS doc_id, u AS reached FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reached),
+c AS (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op8_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark WHERE item_id IS NOT NULL),
