@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import bpe, decontaminate, minhash
+from tokenmill.llm import bpe, decontaminate, minhash, repeats
 from tokenmill.llm.base import read
 
 
@@ -22,12 +22,17 @@ def public_coder(spark):
     return bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark, sf_dir):
+    """Whole `documents` without the words of 50-word windows that a smaller doc_id has, too."""
+    return repeats.remove(read(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     """Whole `documents` against all 10-word windows of `benchmark`, by training suffix arrays."""
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -45,6 +50,16 @@ r AS (SELECT u AS doc_id, u AS reached FROM e UNION SELECT r.doc_id, e.v FROM r
 c AS (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, list_aggregate(ws[i:i + 49], 'string_agg', ' ') AS t
+        FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+lo AS (SELECT t, min(doc_id) AS lo FROM win GROUP BY t HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM win JOIN lo USING (t) WHERE doc_id > lo),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM d),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op8_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark WHERE item_id IS NOT NULL),
