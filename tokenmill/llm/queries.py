@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import bpe, decontaminate, minhash, repeats
+from tokenmill.llm import bpe, decontaminate, minhash, repeats, toxicity
 from tokenmill.llm.base import read
 
 
@@ -32,7 +32,12 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination)}
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of whole `documents`, learnt from `labels` that are not held out."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
