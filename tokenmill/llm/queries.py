@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import bpe, decontaminate, minhash, repeats, toxicity
+from tokenmill.llm import bpe, decontaminate, minhash, permutation, repeats, toxicity
 from tokenmill.llm.base import read
 
 
+def op1_permutation_index(spark, sf_dir):
+    """20 nearest rows of `embeddings` for every row whose vec_id is divisible by 20."""
+    t = read(spark, sf_dir, "embeddings")
+    return permutation.search(t, t.where("vec_id % 20 = 0"))
+
+
 def op3_minhash_near_duplicates(spark, sf_dir):
     """Whole `documents` on distinct 3-word shingles, linked at 85 % of the union."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, threshold=85)
@@ -37,12 +43,21 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL = {
+    # brute force; at the size of this comparison every vector is reranked
+    "op1_permutation_index": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: coalesce(CAST(isfinite(x) AS INT), 0)), 'min') = 1
+             AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, x.e) DESC, x.vec_id) AS rank
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
     "op3_minhash_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 2], 'string_agg', ' ') AS g
