@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import bpe, decontaminate, minhash, permutation, repeats, toxicity
+from pyspark.sql import functions as F
+
+from tokenmill.llm import bpe, decontaminate, minhash, permutation, pii, repeats, toxicity
 from tokenmill.llm.base import read
 
 
@@ -43,7 +45,13 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity)}
+def op10_pii_surrogates(spark, sf_dir):
+    """Whole `documents` with keyed surrogates for personal data and secrets."""
+    out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), found="types")
+    return out.select("doc_id", F.size("types").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("types")).alias("types"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity, op10_pii_surrogates)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
