@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.llm import bitmap, graph
-from tokenmill.llm.base import arrow_stage, batch, lists, stored
+from tokenmill.llm.base import arrow_stage, batch, fresh, lists, stored
 from tokenmill.llm.words import Words, gram_hashes, mix64, slices, words
 
 M = 16
@@ -249,3 +249,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lost = sig.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     out = out.unionByName(lost)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
+    """Rows of ``docs`` (all columns) without near duplicates; rows without an id stay.
+
+    Of rows that repeat a kept doc_id, those of equal shingles are one document, too: one stays.
+    """
+    spark = docs.sparkSession
+    out = near_duplicates(docs, doc_id, text, size, threshold)
+    gone = stored(out.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    again = stored(out.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "repeated")
+    bits = spark.sparkContext.broadcast(bitmap.build(gone.union(again), "gone_id", gone.count() + again.count()))
+
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(bitmap.test(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    id_ = F.col(doc_id).cast("long")
+    id_name, rank = fresh(docs.columns, "gone_id"), fresh(docs.columns, "row_rank")
+    gone, again = gone.toDF(id_name), again.toDF(id_name)
+    # only rows that may be dropped are exchanged
+    sure = docs.where(~F.coalesce(maybe(id_), F.lit(False)))
+    asked = docs.where(F.coalesce(maybe(id_), F.lit(False))).withColumn(id_name, id_).join(gone, id_name, "left_anti")
+    single = asked.join(again, id_name, "left_anti")
+    order = Window.partitionBy(id_name, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    many = asked.join(again, id_name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return sure.unionByName(single.unionByName(many).drop(id_name))
