@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, decontaminate, minhash, permutation, pii, repeats, toxicity
+from tokenmill.llm import bpe, decontaminate, minhash, permutation, pii, repeats, toxicity, warc
 from tokenmill.llm.base import read
 
 
@@ -14,6 +14,12 @@ def op1_permutation_index(spark, sf_dir):
     return permutation.search(t, t.where("vec_id % 20 = 0"))
 
 
+def op2_warc_revisits(spark, sf_dir):
+    """Revisit records derived from all of `pages`, resolved by the latest earlier full response."""
+    out = warc.resolve(warc.captures(read(spark, sf_dir, "pages")))
+    return out.select("record_id", "url", "canon", "at", "verdict", "source_id", warc.header_lines(F.col("headers")).alias("headers"))
+
+
 def op3_minhash_near_duplicates(spark, sf_dir):
     """Whole `documents` on distinct 3-word shingles, linked at 85 % of the union."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, threshold=85)
@@ -51,7 +57,7 @@ def op10_pii_surrogates(spark, sf_dir):
     return out.select("doc_id", F.size("types").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("types")).alias("types"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_warc_revisits, op3_minhash_near_duplicates, op4_byte_bpe, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity, op10_pii_surrogates)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -66,6 +72,35 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, x.e) DESC, x.vec_id) AS rank
   FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
+    "op2_warc_revisits": r"""
+WITH b AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS VARCHAR) AS size FROM pages),
+t AS (SELECT *, '"' || substr(digest, 1, 16) || '"' AS tag, 'day ' || CAST(CAST(floor(p / 7.0) AS BIGINT) AS VARCHAR) AS day FROM b),
+rec AS (
+  SELECT 4 * p AS record_id, url, 10 * p AS "at", true AS is_full, CASE WHEN p % 5 <> 4 THEN tag END AS etag, day AS lm, digest,
+         ['cache-control: max-age=60', 'content-length: ' || size, 'content-type: text/html', 'date: ' || CAST(10 * p AS VARCHAR)] AS h FROM t
+  UNION ALL
+  SELECT 4 * p + 1, regexp_replace(url, '^http://', 'HTTP://') || CASE WHEN contains(url, '?') THEN '&utm_campaign=x' ELSE '?utm_campaign=x' END,
+         10 * (p + 1 + p % 7) + 3, false, CASE p % 4 WHEN 0 THEN 'W/' || tag WHEN 1 THEN tag WHEN 3 THEN '"stale"' END, CASE WHEN p % 4 = 2 THEN day END, NULL,
+         ['cache-control: max-age=120', 'date: ' || CAST(10 * (p + 1 + p % 7) + 3 AS VARCHAR), 'vary: accept'] FROM t
+  UNION ALL
+  SELECT 4 * p + 2, url, 10 * p - 5, false, tag, day, digest, ['date: ' || CAST(10 * p - 5 AS VARCHAR)] FROM t),
+u1 AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM rec),
+u2 AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r FROM u1),
+u3 AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(r, '^([^/?]*)', 1)), '^www[.]', ''), CASE scheme WHEN 'https' THEN ':443$' ELSE ':80$' END, '') AS host,
+         regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(r, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z_]+|gclid|fbclid)='))) AS q FROM u2),
+c AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canon FROM u3),
+j AS (SELECT a.*, f.record_id AS sid, f.etag AS setag, f.lm AS slm, f.digest AS sdigest, f.h AS sh
+      FROM (SELECT * FROM c WHERE NOT is_full) a ASOF LEFT JOIN (SELECT * FROM c WHERE is_full) f ON a.canon = f.canon AND a."at" > f."at"),
+v AS (SELECT *, CASE WHEN sid IS NULL THEN 'no-response'
+        WHEN etag IS NOT NULL AND setag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = setag THEN 'etag' ELSE 'mismatch' END
+        WHEN lm IS NOT NULL AND slm IS NOT NULL THEN CASE WHEN lm = slm THEN 'last-modified' ELSE 'mismatch' END
+        WHEN digest IS NOT NULL AND sdigest IS NOT NULL THEN CASE WHEN digest = sdigest THEN 'digest' ELSE 'mismatch' END
+        ELSE 'unchecked' END AS verdict FROM j)
+SELECT record_id, url, canon, "at", verdict, CASE WHEN verdict IN ('etag', 'last-modified', 'digest') THEN sid END AS source_id,
+       CASE WHEN verdict IN ('etag', 'last-modified', 'digest') THEN
+         array_to_string(list_sort(list_concat(h, list_filter(sh, lambda x: NOT list_contains(list_transform(h, lambda y: split_part(y, ':', 1)), split_part(x, ':', 1))))), chr(10)) END AS headers
+FROM v""",
     "op3_minhash_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 2], 'string_agg', ' ') AS g
