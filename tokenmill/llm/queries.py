@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, chat, decontaminate, minhash, permutation, pii, repeats, toxicity, warc
+from tokenmill.llm import bpe, chat, decontaminate, minhash, permutation, pii, quality, repeats, toxicity, warc
 from tokenmill.llm.base import read
 
 
@@ -41,6 +41,11 @@ def op5_chat_role_repair(spark, sf_dir):
     return chat.repair(read(spark, sf_dir, "conversations"))
 
 
+def op6_quality(spark, sf_dir):
+    """Quality of all whole `documents`, learnt from heuristic labellers alone."""
+    return quality.score(read(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     """Whole `documents` without the words of 50-word windows that a smaller doc_id has, too."""
     return repeats.remove(read(spark, sf_dir, "documents"), texts=False).drop("kept")
@@ -62,7 +67,7 @@ def op10_pii_surrogates(spark, sf_dir):
     return out.select("doc_id", F.size("types").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("types")).alias("types"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_warc_revisits, op3_minhash_near_duplicates, op4_byte_bpe, op5_chat_role_repair, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_warc_revisits, op3_minhash_near_duplicates, op4_byte_bpe, op5_chat_role_repair, op6_quality, op7_substring_dedup, op8_benchmark_decontamination, op9_toxicity, op10_pii_surrogates)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
