@@ -28,6 +28,7 @@ TAUGHT = 20_000  # texts that the scorer learns from at most
 STEPS = 24
 RATE, RIDGE = 0.25, 1e-5
 ROUNDS = 200  # of expectation-maximisation at most; it stops earlier once it stands still
+FALSE_ALARM = 0.01  # share of good texts that a labeller may call bad, at most
 GOOD, BAD, SILENT = 2, 1, 0
 
 _MARK = np.zeros(256, bool)
@@ -125,6 +126,9 @@ def weigh(pattern: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             for j in range(v.shape[1]):
                 rates[c, j] = np.bincount(v[:, j], weights=member[:, c] * n, minlength=3) + 0.1
                 rates[c, j] /= rates[c, j].sum()
+                if c == 0 and rates[c, j, BAD] > FALSE_ALARM:  # else one class could explain everything by chance
+                    rates[c, j] *= (1 - FALSE_ALARM) / (1 - rates[c, j, BAD])
+                    rates[c, j, BAD] = FALSE_ALARM
                 log[:, c] += np.log(rates[c, j][v[:, j]])
         new = np.exp(log - log.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
