@@ -10,24 +10,47 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A plain expression used inside a lambda is evaluated again for every element;
+    the variable of an outer one-element ``transform`` is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _zero() -> Column:
+    return F.lit(0.0).cast("double")
+
+
+def _total(xs) -> Column:
+    return F.aggregate(xs, _zero(), lambda acc, x: acc + x)
+
+
+def _shifted(xs, body) -> Column:
+    """``body(xs, maximum, exponentials of xs - maximum)``, each computed once."""
+    return let(
+        F.struct(_c(xs).alias("x"), F.array_max(_c(xs)).alias("m")),
+        lambda s: let(
+            F.struct(s["x"].alias("x"), s["m"].alias("m"), F.transform(s["x"], lambda v: F.exp(v - s["m"])).alias("e")),
+            lambda t: body(t["x"], t["m"], t["e"]),
+        ),
+    )
+
+
 def log_sum_exp(xs) -> Column:
-    xs = _c(xs)
-    m = F.array_max(xs)
-    return m + F.log(F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)))
+    return _shifted(xs, lambda x, m, e: m + F.log(_total(e)))
 
 
 def softmax(xs) -> Column:
     """Max-shifted softmax of a vector."""
-    xs = _c(xs)
-    m = F.array_max(xs)
-    total = F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))
-    return F.transform(xs, lambda x: F.exp(x - m) / total)
+    return _shifted(xs, lambda x, m, e: let(F.struct(e.alias("e"), _total(e).alias("n")), lambda s: F.transform(s["e"], lambda v: v / s["n"])))
 
 
 def log_softmax(xs) -> Column:
-    xs = _c(xs)
-    lse = log_sum_exp(xs)
-    return F.transform(xs, lambda x: x - lse)
+    return _shifted(
+        xs, lambda x, m, e: let(F.struct(x.alias("x"), (m + F.log(_total(e))).alias("n")), lambda s: F.transform(s["x"], lambda v: v - s["n"]))
+    )
 
 
 def one_hot(index, n: int) -> Column:

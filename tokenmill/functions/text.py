@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,7 +63,19 @@ def pretokenize(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(PRETOKENIZE_PATTERN), 0)
 
 
-def _normalize_one(s):
+@cache
+def _splitter():
+    import regex
+
+    return regex.compile(PRETOKENIZE_PATTERN)
+
+
+def split_words(s: str) -> list[str]:
+    """The same split inside a Python worker."""
+    return _splitter().findall(s)
+
+
+def normalize_one(s):
     if s is None:
         return None
     if s.isascii():
@@ -74,7 +87,7 @@ def _normalize_one(s):
 
 @F.pandas_udf(T.StringType())
 def _normalize_udf(s: pd.Series) -> pd.Series:
-    return s.map(_normalize_one)
+    return s.map(normalize_one)
 
 
 def normalize(text) -> Column:

@@ -1,12 +1,14 @@
 """Encoding operators: subword encoding, special tokens, truncation, padding, decoding.
 
-Only the greedy longest-match step runs in Python (an Arrow-batched UDF over
-word arrays, vocabulary broadcast once, per-worker word cache); special tokens,
+Text goes to ids in one Arrow-batched function (normalise, split, greedy longest
+match; vocabulary broadcast once, word cache kept by each worker); special tokens,
 pair layout, truncation, padding and decoding are built-in array functions.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions import text as tx
-from tokenmill.operators.vocab import CONTINUATION, SPECIAL_TOKENS, Vocab
+from tokenmill.operators.vocab import CONTINUATION, Vocab
 
 _WORKER_STATE: dict = {}
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 500_000  # words a worker remembers at most; results do not depend on it
+_STATES = 4  # vocabularies a worker keeps at most
 
 
 def wordpiece_word(word: str, table: dict, unk: int, max_chars: int, max_piece: int) -> list[int]:
@@ -43,8 +46,9 @@ def wordpiece_word(word: str, table: dict, unk: int, max_chars: int, max_piece:
     return out
 
 
-def _worker_table(bc):
-    state = _WORKER_STATE.get(bc.id) if hasattr(bc, "id") else None
+def _worker_table(bc, key: str):
+    """Token table and word cache of one vocabulary, kept by a Python worker from batch to batch."""
+    state = _WORKER_STATE.get(key)
     if state is None:
         tokens = bc.value
         table = {t: i for i, t in enumerate(tokens)}
@@ -52,36 +56,37 @@ def _worker_table(bc):
         for t in tokens:
             core = t[len(CONTINUATION):] if t.startswith(CONTINUATION) else t
             max_piece = max(max_piece, len(core))
-        state = (table, max_piece, {})
-        if hasattr(bc, "id"):
-            _WORKER_STATE[bc.id] = state
+        if len(_WORKER_STATE) >= _STATES:
+            _WORKER_STATE.clear()
+        state = _WORKER_STATE[key] = (table, max_piece, {})
     return state
 
 
-def _make_encoder(vocab: Vocab, bc, max_chars: int):
+def _make_encoders(vocab: Vocab, bc, max_chars: int):
+    """Functions of words, of normalised text and of raw text; each gives the ids in one crossing to Python."""
     unk = vocab.unk_id
+    key = hashlib.sha1("\n".join([str(max_chars), *vocab.tokens]).encode()).hexdigest()
+
+    def ids_of(words, table, max_piece, cache):
+        ids: list[int] = []
+        for w in words:
+            got = cache.get(w)
+            if got is None:
+                if len(cache) >= _CACHE_LIMIT:
+                    cache.clear()
+                got = cache[w] = wordpiece_word(w, table, unk, max_chars, max_piece)
+            ids += got
+        return np.asarray(ids, dtype=np.int32)
+
+    def encoder(split):
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def encode(values: pd.Series) -> pd.Series:
+            state = _worker_table(bc, key)
+            return pd.Series([None if v is None else ids_of(split(v), *state) for v in values], dtype=object)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_words(words: pd.Series) -> pd.Series:
-        table, max_piece, cache = _worker_table(bc)
-        if len(cache) > _CACHE_LIMIT:
-            cache.clear()
-        out = []
-        for ws in words:
-            if ws is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in ws:
-                got = cache.get(w)
-                if got is None:
-                    got = wordpiece_word(w, table, unk, max_chars, max_piece)
-                    cache[w] = got
-                ids.extend(got)
-            out.append(np.asarray(ids, dtype=np.int32))
-        return pd.Series(out)
-
-    return encode_words
+        return encode
+
+    return encoder(lambda words: words), encoder(tx.split_words), encoder(lambda text: tx.split_words(tx.normalize_one(text)))
 
 
 class Encoder:
@@ -91,18 +96,17 @@ class Encoder:
         self.vocab = vocab
         self.max_chars = max_chars_per_word
         self._bc = spark.sparkContext.broadcast(list(vocab.tokens))
-        self._udf = _make_encoder(vocab, self._bc, max_chars_per_word)
+        self._words, self._normalized, self._raw = _make_encoders(vocab, self._bc, max_chars_per_word)
 
     # C4: words -> ids
     def encode_words(self, words) -> Column:
         words = F.col(words) if isinstance(words, str) else words
-        return self._udf(words)
+        return self._words(words)
 
     # C5: text -> ids without special tokens (normalise, pre-tokenise, subword)
     def encode_plain(self, text, normalized: bool = False) -> Column:
         text = F.col(text) if isinstance(text, str) else text
-        norm = text if normalized else tx.normalize(text)
-        return self.encode_words(tx.pretokenize(norm))
+        return self._normalized(text) if normalized else self._raw(text)
 
     # C6: [CLS] ids [SEP], optionally truncated to ``max_length`` including specials
     def encode_single(self, ids, max_length: int | None = None) -> Column:
@@ -212,7 +216,3 @@ def decode(ids, vocab: Vocab, skip_special_tokens: bool = True) -> Column:
 
 def highlight_mask(text, mask_token: str = "[MASK]") -> Column:
     return F.replace(_c(text), F.lit(mask_token), F.lit(f"**{mask_token}**"))
-
-
-def special_token_list() -> list[str]:
-    return list(SPECIAL_TOKENS)
