@@ -40,5 +40,5 @@ def test_prefix_sum_matches_running_sum(spark):
 
 def test_checkpoint_mode(spark):
     df = spark.range(0, 50).withColumnRenamed("id", "k")
-    got = sorted((r.k, r.idx) for r in index_by_order(df, ["k"], materialize="checkpoint").collect())
+    got = sorted((r.k, r.idx) for r in index_by_order(df, ["k"]).collect())
     assert got == [(i, i) for i in range(50)]

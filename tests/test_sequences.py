@@ -1,12 +1,10 @@
 """Id halves, packing, chunking, key masks, batches (unit tests on small inline frames)."""
 
-from pyspark.sql import functions as F
-
 from tokenmill.operators import sequences as S
 
 
 def test_id_round_trip(spark):
-    ids = [0, -150, 65535, 1_999_403_492]
+    ids = [0, 1, -1, -70_000, 65_535, 65_536, 2**31 - 1, 987_654_321]
     df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     out = df.select("doc_id", S.encode_id_hi("doc_id").alias("hi"), S.encode_id_lo("doc_id").alias("lo"))
     out = out.select("doc_id", "hi", "lo", S.decode_id("hi", "lo").alias("back")).collect()
@@ -36,10 +34,9 @@ def test_pack_unpack_round_trip(spark):
 
 def test_key_mask_padding(spark):
     df = spark.createDataFrame([([1] * 10,), ([1] * 5 + [0] * 5,)], "ids array<int>")
-    rows = df.select(S.key_mask("ids", 0).alias("m"), S.key_mask_matrix("ids", 0).alias("mm")).collect()
+    rows = df.select(S.key_mask("ids", 0).alias("m")).collect()
     assert rows[0].m == [True] * 10
     assert rows[1].m == [True] * 5 + [False] * 5
-    assert len(rows[1].mm) == 10 and all(r == rows[1].m for r in rows[1].mm)
 
 
 def test_batches_drop_last_and_keep(spark):
@@ -68,7 +65,6 @@ def test_zero_rows_are_detected(spark):
 
     with pytest.raises(ValueError):
         assert_no_zero_chunks(bad)
-    assert_no_zero_chunks(bad, mode="chunk") if False else None
     with pytest.raises(ValueError):
         assert_no_zero_chunks(bad, mode="row")
 
@@ -81,7 +77,6 @@ def test_range_check(spark):
     df = spark.createDataFrame([([1, 70000],)], "t array<int>")
     with pytest.raises(ValueError):
         assert_in_range(df, "t", 0, 65535)
-    assert F is not None
 
 
 def test_crop_mode_boundaries(spark):

@@ -5,7 +5,6 @@ here instead hashes (seed word, row keys...) so results are the same for any
 partitioning, on re-execution after a lost executor, and in SQL engines.
 
 u(seed, k1, k2, ...) = int(first 8 hex digits of md5("seed|k1|k2|...")) / 2**32
-A second, independent uniform comes from hex digits 9..16 of the same digest.
 """
 
 from __future__ import annotations
@@ -28,15 +27,3 @@ def _hex_uniform(hexcol: Column, start: int) -> Column:
 def uniform(seed: str, *keys) -> Column:
     """Uniform double in [0, 1) keyed by ``seed`` and the key columns."""
     return _hex_uniform(digest(seed, *keys), 1)
-
-
-def uniform_pair(seed: str, *keys) -> tuple[Column, Column]:
-    """Two independent uniforms from one digest (the digest is computed once per row by CSE)."""
-    d = digest(seed, *keys)
-    return _hex_uniform(d, 1), _hex_uniform(d, 9)
-
-
-def sql_uniform(seed: str, *keys: str, start: int = 1) -> str:
-    """The same uniform as DuckDB SQL text (used by oracle queries and tests)."""
-    inner = ", ".join([f"'{seed}'"] + list(keys))
-    return f"(('0x' || substr(md5(concat_ws('|', {inner})), {start}, 8))::BIGINT / 4294967296.0)"

@@ -104,37 +104,75 @@ CONTROL_CHAR_PATTERN = r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\u
 LINE_BREAK_PATTERN = r"\r\n|[\r\u2028\u2029\x85]"
 
 
-def _fix_entities_and_encoding(s):
+#: Characters that a byte above 127 becomes when UTF-8 is misread as Latin-1 or the Western code page.
+_WESTERN = {chr(b): b for b in range(0x80, 0x100)} | {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80, 0x100)}
+
+
+@cache
+def _damage():
+    import re
+
+    # one UTF-8 sequence of two to four bytes, as the characters its bytes were misread as
+    lead = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in _WESTERN.items() if lo <= b <= hi) + "]"
+    tail = lead(0x80, 0xBF)
+    return re.compile(f"{lead(0xC2, 0xDF)}{tail}|{lead(0xE0, 0xEF)}{tail}{{2}}|{lead(0xF0, 0xF4)}{tail}{{3}}")
+
+
+def _reread(m) -> str:
+    try:
+        return bytes(_WESTERN[c] for c in m.group()).decode("utf-8")
+    except UnicodeDecodeError:
+        return m.group()
+
+
+def repair_encoding(s: str) -> str:
+    """Misread UTF-8 sequences become the characters they stood for, each on its own; the rest stays.
+
+    Text misread twice is repaired twice. U+FFFD marks a loss that cannot be undone and stays.
+    """
+    for _ in range(3):
+        t = _damage().sub(_reread, s)
+        if t == s:
+            break
+        s = t
+    return s
+
+
+def _decoded_one(s):
     if s is None:
         return None
     if "&" in s:
         s = html.unescape(s)
-    if any(marker in s for marker in ("Ã", "â€", "Â")):
-        try:
-            s = s.encode("cp1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            pass
-    s = s.replace("�", "")
-    return unicodedata.normalize("NFKD", s)
+    return s if s.isascii() else repair_encoding(s)
+
+
+@F.pandas_udf(T.StringType())
+def _decode_udf(s: pd.Series) -> pd.Series:
+    return s.map(_decoded_one)
 
 
 @F.pandas_udf(T.StringType())
-def _fix_udf(s: pd.Series) -> pd.Series:
-    return s.map(_fix_entities_and_encoding)
+def _compose_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
 
-def fix_text_builtin(text) -> Column:
+def decode_entities(text) -> Column:
+    """HTML entities decoded, then misread encodings repaired."""
+    return _decode_udf(_c(text))
+
+
+def straighten(text) -> Column:
     """The built-in part of the repair: escapes, line breaks, quotes, control characters."""
     t = F.regexp_replace(_c(text), TERMINAL_ESCAPE_PATTERN, "")
-    t = F.regexp_replace(t, LINE_BREAK_PATTERN, "\n")
     t = F.translate(t, SINGLE_QUOTES, "'" * len(SINGLE_QUOTES))
     t = F.translate(t, DOUBLE_QUOTES, '"' * len(DOUBLE_QUOTES))
+    t = F.regexp_replace(t, LINE_BREAK_PATTERN, "\n")
     return F.regexp_replace(t, CONTROL_CHAR_PATTERN, "")
 
 
 def fix_text(text) -> Column:
-    """Full repair: built-in steps, then HTML entities, mojibake round trip and NFKD in one UDF.
+    """Full repair: what decoding brings to light is straightened after it, and NFKD comes last.
 
     NFKD also folds Latin ligatures and full-width characters.
     """
-    return _fix_udf(fix_text_builtin(text))
+    return _compose_udf(straighten(decode_entities(text)))

@@ -19,7 +19,7 @@ from tokenmill.plans.numbering import prefix_sum
 
 
 def file_boundaries(per_doc: DataFrame, capacity: int) -> list[int]:
-    """Start offsets of the files, from a persisted ``B, E`` table."""
+    """Start offsets of the files, from a written ``B, E`` table."""
     starts = [0]
     while True:
         nxt = per_doc.filter(F.col("E") >= starts[-1] + capacity).agg(F.min("E")).first()[0]
@@ -31,7 +31,7 @@ def file_boundaries(per_doc: DataFrame, capacity: int) -> list[int]:
 def crop_assignment(counts: DataFrame, capacity: int, doc_col: str = "doc_id", n_col: str = "n") -> DataFrame:
     """``doc_id, n, kept, file_no`` for every document with at least one row."""
     per_doc = prefix_sum(counts.filter(F.col(n_col) > 0), [doc_col], n_col, out="B")
-    per_doc = per_doc.withColumn("E", F.col("B") + F.col(n_col)).persist()
+    per_doc = per_doc.withColumn("E", F.col("B") + F.col(n_col))  # reads a written table
     starts = file_boundaries(per_doc, capacity)
     bounds = F.array(*[F.lit(s).cast("long") for s in starts])
     file_no = (F.size(F.filter(bounds, lambda s: s <= F.col("B"))) - 1).cast("int")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Label domain, in id order.
 LABELS = ["neutral", "entailment", "contradiction"]
@@ -48,10 +47,6 @@ def length_filter(df: DataFrame, max_chars: int = 1000, cols=("sentence1", "sent
     return df.filter(F.coalesce(cond, F.lit(False)))
 
 
-def tag_subset(df: DataFrame, subset: str, col: str = "subset") -> DataFrame:
-    return df.withColumn(col, F.lit(subset))
-
-
 def union_all(*frames: DataFrame) -> DataFrame:
     """Stack frames of one schema by column name, keeping duplicates."""
     out = frames[0]
@@ -60,13 +55,6 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def apply_na(df: DataFrame, cols, na_values=DEFAULT_NA_VALUES) -> DataFrame:
-    """Default NA mode: listed strings become null in ``cols``."""
-    for c in cols:
-        df = df.withColumn(c, F.when(F.col(c).isin(*na_values), None).otherwise(F.col(c)))
-    return df
-
-
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
     """Unlabelled pairs: a user turn and the assistant turn right after it.
 
@@ -82,10 +70,11 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def document_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled pairs from labelled documents: first and second line, gold label from the label table.
+    """Labelled pairs from labelled documents: every line with the next one, gold label from the label table.
 
-    toxic -> contradiction, else quality 1 -> entailment, else neutral. ``doc_id,
-    sentence1, sentence2, gold_label``; documents with one line get an empty second sentence.
+    toxic -> contradiction, else quality 1 -> entailment, else neutral. ``doc_id, pair_no,
+    sentence1, sentence2, gold_label``; a document of one line gives one pair with an empty
+    second sentence.
     """
     lines = F.split(F.col("text"), "\n", -1)
     gold = (
@@ -93,19 +82,8 @@ def document_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(F.col("quality") == 1, F.lit("entailment"))
         .otherwise(F.lit("neutral"))
     )
+    firsts = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))
+    seconds = F.when(F.size(lines) > 1, F.slice(lines, 2, F.size(lines))).otherwise(F.array(F.lit("")))
     joined = documents.select("doc_id", "text").join(labels, "doc_id")
-    return joined.select(
-        "doc_id",
-        F.element_at(lines, 1).alias("sentence1"),
-        F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("sentence2"),
-        gold.alias("gold_label"),
-    )
-
-
-PAIR_SCHEMA = T.StructType(
-    [
-        T.StructField("sentence1", T.StringType()),
-        T.StructField("sentence2", T.StringType()),
-        T.StructField("gold_label", T.StringType()),
-    ]
-)
+    pairs = joined.select("doc_id", gold.alias("gold_label"), F.posexplode(F.arrays_zip(firsts.alias("a"), seconds.alias("b"))).alias("pair_no", "p"))
+    return pairs.select("doc_id", "pair_no", F.col("p.a").alias("sentence1"), F.col("p.b").alias("sentence2"), "gold_label")

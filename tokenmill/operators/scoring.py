@@ -45,50 +45,59 @@ def predict_linear(df: DataFrame, weights: DataFrame, vec_col: str = "embedding"
     return scored.drop("__W").withColumn("probs", A.softmax("logits")).withColumn("prediction", A.argmax("logits"))
 
 
-def fit_linear_head(df: DataFrame, vec_col: str = "embedding", label_col: str = "label", max_iter: int = 100, reg: float = 0.0):
-    """Multinomial logistic regression without intercept (a linear head trained with cross-entropy)."""
+def fit_linear_head(df: DataFrame, vec_col: str = "embedding", label_col: str = "label", max_iter: int = 1000, reg: float = 0.01, tol: float = 1e-8):
+    """Multinomial logistic regression without intercept (a linear head trained with cross-entropy).
+
+    With ``reg > 0`` the optimum is unique. A fit that has not converged after ``max_iter``
+    iterations is an error, never returned silently.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     data = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"), F.col(label_col).cast("double").alias("label"))
-    lr = LogisticRegression(family="multinomial", fitIntercept=False, maxIter=max_iter, regParam=reg, standardization=False)
-    return lr.fit(data)
+    lr = LogisticRegression(family="multinomial", fitIntercept=False, maxIter=max_iter, regParam=reg, tol=tol, standardization=False)
+    model = lr.fit(data)
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the head has not converged in {max_iter} iterations")
+    return model
 
 
-def head_coefficients(model) -> DataFrame:
+def head_coefficients(spark, model) -> DataFrame:
     """``label, weights`` rows of a fitted head (class count x dimension; small)."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     mat = model.coefficientMatrix.toArray()
     return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(mat)], "label INT, weights ARRAY<DOUBLE>")
 
 
-def batch_predict(df: DataFrame, weights_np: np.ndarray, vec_col: str = "embedding", batch_size: int = 256) -> DataFrame:
-    """Score rows in Arrow batches with a user model (here a linear head matrix) via ``predict_batch_udf``.
+def linear_predictor(weights: np.ndarray):
+    """A model for ``batch_predict``: a linear head given by its class rows."""
+    w = np.asarray(weights, dtype=np.float64)
+
+    def make_predict_fn():
+        return lambda x: x.astype(np.float64) @ w.T
+
+    return make_predict_fn
+
+
+def batch_predict(df: DataFrame, make_predict_fn, width: int, vec_col: str = "embedding", out: str = "logits", batch_size: int = 256) -> DataFrame:
+    """Score rows in Arrow batches with the caller's model via ``predict_batch_udf``.
 
-    The model is built once per Python worker; the output keeps row identity, so no
-    positional alignment is needed.
+    ``make_predict_fn`` builds the model once per Python worker and returns a function
+    from a float matrix (rows x ``width``) to one vector per row. Rows keep their
+    identity, so no positional alignment is needed.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    w = np.asarray(weights_np, dtype=np.float64)
-
-    def make_predict_fn():
-        mat = w
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
+    return df.withColumn(out, udf(F.col(vec_col).cast("array<float>")))
 
-        def predict(x: np.ndarray) -> np.ndarray:
-            return x.astype(np.float64) @ mat.T
 
-        return predict
+def gather_rows(df: DataFrame, id_col: str, table: DataFrame, key_col: str) -> DataFrame:
+    """Row of ``table`` for every id; ids without a row keep nulls, so nothing is lost.
 
-    udf = predict_batch_udf(
-        make_predict_fn,
-        return_type=T.ArrayType(T.DoubleType()),
-        batch_size=batch_size,
-        input_tensor_shapes=[[w.shape[1]]],
-    )
-    return df.withColumn("logits", udf(F.col(vec_col).cast("array<float>")))
+    The join strategy is left to the measured table size; frequent ids are skewed
+    keys, which adaptive execution splits.
+    """
+    return df.join(table, df[id_col] == table[key_col], "left")
 
 
 def cross_entropy(df: DataFrame, logits_col: str = "logits", target_col: str = "label", out="loss") -> DataFrame:

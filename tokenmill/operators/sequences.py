@@ -78,12 +78,6 @@ def key_mask(ids, pad_id: int) -> Column:
     return F.transform(_c(ids), lambda t: t != F.lit(pad_id))
 
 
-def key_mask_matrix(ids, pad_id: int) -> Column:
-    """n x n form: the key mask repeated for every query position."""
-    m = key_mask(ids, pad_id)
-    return F.array_repeat(m, F.size(_c(ids)))
-
-
 def masked_positions(df: DataFrame, keep=("doc_id", "row_no"), target_col="target", mask_col="mask") -> DataFrame:
     """Rows ``*keep, pos, target`` for the positions that count for the loss."""
     z = F.arrays_zip(F.col(target_col).alias("t"), F.col(mask_col).alias("m"))

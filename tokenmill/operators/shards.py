@@ -17,21 +17,10 @@ def assign_shard(df: DataFrame, num_shards: int, key_cols=("doc_id", "row_no"),
 
 
 def shuffle_key(df: DataFrame, key_cols=("doc_id", "row_no"), seed: str = "order", out: str = "h") -> DataFrame:
-    """A random sort key per row (ties impossible in practice; key columns break them)."""
+    """A random sort key per row; it has 32 bits, so ties happen and the key columns must break them."""
     return df.withColumn(out, uniform(seed, *key_cols))
 
 
-def shuffle_within_shard(df: DataFrame, key_cols=("doc_id", "row_no"), shard_col="shard", seed: str = "order") -> DataFrame:
-    """Random order inside each shard, as a range-partitioned, sorted frame.
-
-    All sort keys are unique, so range partitioning balances any shard size; a
-    shard may span several partitions, which together hold it in order.
-    """
-    keyed = shuffle_key(df, key_cols, seed)
-    order = [shard_col, "h", *key_cols]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def rank_within_shard(df: DataFrame, key_cols=("doc_id", "row_no"), shard_col="shard", seed: str = "order", out="pos") -> DataFrame:
     """0-based position of each row in its shard's random order (partition offsets, no one-task window)."""
     keyed = shuffle_key(df, key_cols, seed)
@@ -56,11 +45,22 @@ def shuffle_rows(df: DataFrame, key_cols, seed: str = "rows", out: str = "rank")
     return index_by_order(keyed, ["__h", *key_cols], out=out).drop("__h")
 
 
-def validation_split(df: DataFrame, n_validation: int, key_cols, seed: str = "split", out="is_validation") -> DataFrame:
-    """Holds out the first ``n_validation`` rows of a keyed-hash order (disjoint by construction)."""
-    keyed = df.withColumn("__h", uniform(seed, *key_cols))
-    ranked = index_by_order(keyed, ["__h", *key_cols], out="__r")
-    return ranked.withColumn(out, F.col("__r") < n_validation).drop("__h", "__r")
+def validation_split(df: DataFrame, key_cols, share: float | None = None, n: int | None = None, seed: str = "split", out="is_validation") -> DataFrame:
+    """Marks rows to hold out by a keyed hash: a ``share`` of them, or exactly ``n``.
+
+    A share needs no exchange. For ``n`` rows the n-th smallest hash is found by a
+    distributed top-n, and rows are compared with it.
+    """
+    if (share is None) == (n is None):
+        raise ValueError("give either a share or a number of rows")
+    h = uniform(seed, *key_cols)
+    if n is None:
+        return df.withColumn(out, h < share)
+    if n <= 0:
+        return df.withColumn(out, F.lit(False))
+    key = F.struct(h.alias("h"), *key_cols)
+    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k")).scalar()
+    return df.withColumn(out, key <= last)
 
 
 def sample_batch(batched: DataFrame, files: DataFrame, shard_col="shard") -> DataFrame:

@@ -296,54 +296,6 @@ def train_vocabulary(
     return TrainResult(vocab, merges, rounds)
 
 
-def train_vocabulary_one_by_one(counts_rows, vocab_size, min_frequency=2, alphabet_size=100):
-    """Reference loop in plain Python (tests only): one best merge at a time."""
-    from collections import Counter
-
-    char_totals: Counter = Counter()
-    for word, c in counts_rows:
-        for ch in word:
-            char_totals[ch] += c
-    alpha = sorted(char_totals.items(), key=lambda kv: (-kv[1], kv[0]))[:alphabet_size]
-    allowed = sorted(ch for ch, _ in alpha)
-    vocab = list(SPECIAL_TOKENS) + allowed + [CONTINUATION + ch for ch in allowed]
-    known = set(vocab)
-    words = []
-    for word, c in counts_rows:
-        cs = [ch for ch in word if ch in set(allowed)]
-        if cs:
-            words.append(([cs[0]] + [CONTINUATION + ch for ch in cs[1:]], c))
-    merges = []
-    while len(vocab) < vocab_size:
-        pc: Counter = Counter()
-        for syms, c in words:
-            for a, b in zip(syms, syms[1:]):
-                pc[(a, b)] += c
-        if not pc:
-            break
-        (a, b), c = min(pc.items(), key=lambda kv: (-kv[1], kv[0][0], kv[0][1]))
-        if c < min_frequency:
-            break
-        token = merge_token(a, b)
-        merges.append((a, b, token))
-        if token not in known:
-            known.add(token)
-            vocab.append(token)
-        new_words = []
-        for syms, cnt in words:
-            out, i = [], 0
-            while i < len(syms):
-                if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                    out.append(token)
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            new_words.append((out, cnt))
-        words = new_words
-    return vocab, merges
-
-
 def check_vocabulary(vocab: DataFrame) -> DataFrame:
     """One-row report: size, id range, duplicate tokens / ids (must be 0)."""
     return vocab.agg(
@@ -409,9 +361,3 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, token_col: str = "token", out: s
     """token -> id as a broadcast hash join (vocabulary size is bounded by 16-bit ids)."""
     v = vocab.select(F.col("token").alias("__tok"), F.col("id").alias(out))
     return df.join(F.broadcast(v), df[token_col] == v["__tok"], "left").drop("__tok")
-
-
-def lookup_tokens(df: DataFrame, vocab: DataFrame, id_col: str = "id", out: str = "token") -> DataFrame:
-    """id -> token as a broadcast hash join."""
-    v = vocab.select(F.col("id").alias("__id"), F.col("token").alias(out))
-    return df.join(F.broadcast(v), df[id_col] == v["__id"], "left").drop("__id")

@@ -16,6 +16,7 @@ from tokenmill.plans import oracle_sql as O
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+VALIDATION = 0.2  # share of rows held out by the queries
 VS = C.QUERY_VOCAB_SIZE
 MC = C.QUERY_MIN_COUNT
 
@@ -84,7 +85,7 @@ def q_scan_documents(spark, sf):
 @register(
     "op_scan_pair_tsv",
     "WITH " + O.DOC_PAIRS + f"""
-SELECT doc_id,
+SELECT doc_id, pair_no,
   CASE WHEN sentence1 IN {NA} THEN NULL ELSE sentence1 END AS sentence1,
   CASE WHEN sentence2 IN {NA} THEN NULL ELSE sentence2 END AS sentence2,
   CASE WHEN gold_label IN {NA} THEN NULL ELSE gold_label END AS gold_label
@@ -99,7 +100,7 @@ def q_scan_pair_tsv(spark, sf):
 
     path = scratch_path(spark, "pairs-tsv")
     write_tsv(document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")), path)
-    return scan_pair_tsv(spark, path, ("doc_id", "sentence1", "sentence2", "gold_label"), default_na=True, types={"doc_id": "long"})
+    return scan_pair_tsv(spark, path, ("doc_id", "pair_no", "sentence1", "sentence2", "gold_label"), default_na=True, types={"doc_id": "long", "pair_no": "int"})
 
 
 @register(
@@ -150,8 +151,8 @@ def q_dataset_size(spark, sf):
 @register(
     "op_write_predictions",
     "WITH " + O.SCORED + f""",
-split AS (SELECT vec_id, row_number() OVER (ORDER BY {O.u('split', 'vec_id')}, vec_id) - 1 AS r FROM embeddings)
-SELECT s.vec_id AS index, s.prediction::VARCHAR AS prediction, CASE WHEN sp.r < 100 THEN 'validation' ELSE 'train' END AS subset
+split AS (SELECT vec_id, {O.u('split', 'vec_id')} AS r FROM embeddings)
+SELECT s.vec_id AS index, s.prediction::VARCHAR AS prediction, CASE WHEN sp.r < 0.2 THEN 'validation' ELSE 'train' END AS subset
 FROM scored s JOIN split sp ON sp.vec_id = s.vec_id""",
 )
 def q_write_predictions(spark, sf):
@@ -161,7 +162,7 @@ def q_write_predictions(spark, sf):
     from tokenmill.session import scratch_path
     from tokenmill.sources.sinks import read_predictions, write_predictions
 
-    s = validation_split(scored(spark, sf), 100, ["vec_id"])
+    s = validation_split(scored(spark, sf), ["vec_id"], share=VALIDATION)
     s = s.select(
         F.col("vec_id").alias("index"),
         F.col("prediction").cast("string").alias("prediction"),
@@ -228,7 +229,7 @@ def q_project_columns(spark, sf):
 
 @register(
     "op_pair_length_filter",
-    "WITH " + O.DOC_PAIRS + "\nSELECT doc_id, sentence1, sentence2, gold_label FROM doc_pairs WHERE length(sentence1) < 1000 AND length(sentence2) < 1000",
+    "WITH " + O.DOC_PAIRS + "\nSELECT doc_id, pair_no, sentence1, sentence2, gold_label FROM doc_pairs WHERE length(sentence1) < 1000 AND length(sentence2) < 1000",
 )
 def q_pair_length_filter(spark, sf):
     from tokenmill.operators.pairs import document_pairs, length_filter
@@ -239,23 +240,23 @@ def q_pair_length_filter(spark, sf):
 _LABEL_CASE = "CASE gold_label WHEN 'neutral' THEN 0 WHEN 'entailment' THEN 1 WHEN 'contradiction' THEN 2 END"
 
 
-@register("op_label_encode", "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, gold_label, {_LABEL_CASE} AS label_id FROM doc_pairs")
+@register("op_label_encode", "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, pair_no, gold_label, {_LABEL_CASE} AS label_id FROM doc_pairs")
 def q_label_encode(spark, sf):
     from tokenmill.operators.pairs import document_pairs, label_encode
 
     p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
-    return p.select("doc_id", "gold_label", label_encode("gold_label").alias("label_id"))
+    return p.select("doc_id", "pair_no", "gold_label", label_encode("gold_label").alias("label_id"))
 
 
 @register(
     "op_label_decode",
-    "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, {_LABEL_CASE} AS label_id, ['neutral', 'entailment', 'contradiction'][{_LABEL_CASE} + 1] AS label FROM doc_pairs",
+    "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, pair_no, {_LABEL_CASE} AS label_id, ['neutral', 'entailment', 'contradiction'][{_LABEL_CASE} + 1] AS label FROM doc_pairs",
 )
 def q_label_decode(spark, sf):
     from tokenmill.operators.pairs import document_pairs, label_decode, label_encode
 
     p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
-    p = p.select("doc_id", label_encode("gold_label").alias("label_id"))
+    p = p.select("doc_id", "pair_no", label_encode("gold_label").alias("label_id"))
     return p.withColumn("label", label_decode("label_id"))
 
 
@@ -373,6 +374,29 @@ def q_fix_text(spark, sf):
     return _table(spark, sf, "pages").select("page_id", fix_text("html").alias("text"))
 
 
+def _straighten_sql(expr: str) -> str:
+    escapes = "chr(27) || '\\[[0-9;]*[A-Za-z]'"
+    breaks = "chr(13) || chr(10) || '|[' || chr(13) || chr(8232) || chr(8233) || chr(133) || ']'"
+    controls = r"'[\x{00}-\x{08}\x{0b}\x{0e}-\x{1f}\x{7f}\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}]'"
+    single = "chr(700) || chr(8216) || chr(8217) || chr(8218) || chr(8219)"
+    double = "chr(8220) || chr(8221) || chr(8222) || chr(8223)"
+    t = f"regexp_replace({expr}, {escapes}, '', 'g')"
+    t = f"translate(translate({t}, {single}, repeat(chr(39), 5)), {double}, repeat(chr(34), 4))"
+    return f"regexp_replace(regexp_replace({t}, {breaks}, chr(10), 'g'), {controls}, '', 'g')"
+
+
+# The entities that the pages hold, decoded in SQL; the ampersand's own comes last.
+_ENTITIES_SQL = "regexp_replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
+@register("op_fix_text_steps", f"SELECT page_id, {_straighten_sql(_ENTITIES_SQL)} AS text FROM pages")
+def q_fix_text_steps(spark, sf):
+    """The repair before its last step (NFKD): entities, encoding, escapes, quotes, line breaks, controls."""
+    from tokenmill.functions.text import decode_entities, straighten
+
+    return _table(spark, sf, "pages").select("page_id", straighten(decode_entities("html")).alias("text"))
+
+
 @register("op_wordpiece_encode", CORPUS + "\nSELECT word, ids FROM enc")
 def q_wordpiece_encode(spark, sf):
     """Every distinct corpus word with its subword ids."""
@@ -648,16 +672,19 @@ def q_masked_positions(spark, sf):
     PADDED + """
 SELECT p.conv_id, p.turn, p.pos, p.id, e.embedding FROM (
   SELECT conv_id, turn, unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM padded
-) p JOIN embeddings e ON e.vec_id = p.id""",
+) p LEFT JOIN embeddings e ON e.vec_id = p.id % (SELECT count(*) FROM embeddings)""",
 )
 def q_embedding_lookup(spark, sf):
-    """Gather a vector row per token id of the padded pair encodings (equi-join on the id)."""
+    """A vector for every token id of the padded pair encodings; ids wrap around the table's rows, no token is lost."""
     from tokenmill.operators.pairs import conversation_pairs
+    from tokenmill.operators.scoring import gather_rows
 
     p = C.padded_pairs(_ctx(spark, sf), conversation_pairs(_table(spark, sf, "conversations")))
     tok = p.select("conv_id", "turn", F.posexplode("ids").alias("pos", "id"))
-    emb = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return tok.join(emb, "id").select("conv_id", "turn", "pos", "id", "embedding")
+    emb = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows = emb.agg(F.count(F.lit(1))).scalar()
+    tok = tok.withColumn("row", F.pmod(F.col("id").cast("long"), rows))
+    return gather_rows(tok, "row", emb, "vec_id").select("conv_id", "turn", "pos", "id", "embedding")
 
 
 @register(
@@ -678,13 +705,13 @@ def q_positional_zip(spark, sf):
     "op_label_join",
     "WITH " + O.DOC_PAIRS + f""",
 lt AS (SELECT * FROM (VALUES (0, 'neutral'), (1, 'entailment'), (2, 'contradiction')) t(label_id, label))
-SELECT p.doc_id, p.label_id, lt.label FROM (SELECT doc_id, {_LABEL_CASE} AS label_id FROM doc_pairs) p LEFT JOIN lt ON lt.label_id = p.label_id""",
+SELECT p.doc_id, p.pair_no, p.label_id, lt.label FROM (SELECT doc_id, pair_no, {_LABEL_CASE} AS label_id FROM doc_pairs) p LEFT JOIN lt ON lt.label_id = p.label_id""",
 )
 def q_label_join(spark, sf):
     from tokenmill.operators.pairs import document_pairs, label_encode, label_join
 
     p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
-    return label_join(p.select("doc_id", label_encode("gold_label").alias("label_id")))
+    return label_join(p.select("doc_id", "pair_no", label_encode("gold_label").alias("label_id")))
 
 
 # F. aggregations ----------------------------------------------------------------------
@@ -717,7 +744,7 @@ def q_cross_entropy(spark, sf):
     return scored(spark, sf).select("vec_id", "label", _r6(F.col("loss")).alias("loss"))
 
 
-_SPLIT_SQL = f"""split AS (SELECT vec_id, (row_number() OVER (ORDER BY {O.u('split', 'vec_id')}, vec_id) - 1) < 100 AS m FROM embeddings)"""
+_SPLIT_SQL = f"""split AS (SELECT vec_id, {O.u('split', 'vec_id')} < 0.2 AS m FROM embeddings)"""
 
 
 @register(
@@ -731,7 +758,7 @@ def q_masked_loss(spark, sf):
     from tokenmill.operators.shards import validation_split
     from tokenmill.plans.scoring import scored
 
-    s = validation_split(scored(spark, sf), 100, ["vec_id"], out="m")
+    s = validation_split(scored(spark, sf), ["vec_id"], share=VALIDATION, out="m")
     return masked_loss(s, "loss", "m").select(_r6(F.col("masked_loss")).alias("masked_loss"))
 
 
@@ -908,14 +935,14 @@ def q_shuffle_shard_order(spark, sf):
 
 @register(
     "op_shuffle_rows",
-    "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, row_number() OVER (ORDER BY {O.u('rows', 'doc_id')}, doc_id) - 1 AS rank FROM doc_pairs",
+    "WITH " + O.DOC_PAIRS + f"\nSELECT doc_id, pair_no, row_number() OVER (ORDER BY {O.u('rows', 'doc_id', 'pair_no')}, doc_id, pair_no) - 1 AS rank FROM doc_pairs",
 )
 def q_shuffle_rows(spark, sf):
     from tokenmill.operators.pairs import document_pairs
     from tokenmill.operators.shards import shuffle_rows
 
-    p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")).select("doc_id")
-    return shuffle_rows(p, ["doc_id"])
+    p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")).select("doc_id", "pair_no")
+    return shuffle_rows(p, ["doc_id", "pair_no"])
 
 
 @register(
@@ -937,12 +964,16 @@ def q_rank_labels(spark, sf):
 
 @register(
     "op_validation_split",
-    f"SELECT vec_id, (row_number() OVER (ORDER BY {O.u('split', 'vec_id')}, vec_id) - 1) < 100 AS is_validation FROM embeddings",
+    f"""WITH o AS (SELECT vec_id, {O.u('split', 'vec_id')} AS h, row_number() OVER (ORDER BY {O.u('split', 'vec_id')}, vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings)
+SELECT vec_id, h < 0.2 AS is_validation, r < n // 5 AS is_validation_n FROM o""",
 )
 def q_validation_split(spark, sf):
+    """Held-out rows by share, and exactly a fifth of the rows (a number that comes with the table)."""
     from tokenmill.operators.shards import validation_split
 
-    return validation_split(_table(spark, sf, "embeddings").select("vec_id"), 100, ["vec_id"])
+    v = _table(spark, sf, "embeddings").select("vec_id")
+    v = validation_split(v, ["vec_id"], share=VALIDATION)
+    return validation_split(v, ["vec_id"], n=v.count() // 5, out="is_validation_n")
 
 
 @register("op_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax FROM embeddings")
@@ -1040,23 +1071,24 @@ def q_batch_predict(spark, sf):
     import numpy as np
 
     from tokenmill.functions.arrays import argmax
-    from tokenmill.operators.scoring import batch_predict, centroid_weights
+    from tokenmill.operators.scoring import batch_predict, centroid_weights, linear_predictor
 
     emb = _table(spark, sf, "embeddings")
     # The head is class-count x dimension: bounded, so it may be collected and shipped to workers.
     rows = centroid_weights(emb).orderBy("label").collect()
     w = np.array([r.weights for r in rows], dtype=np.float64)
-    scored = batch_predict(emb, w)
+    scored = batch_predict(emb, linear_predictor(w), w.shape[1])
     return scored.select("vec_id", argmax("logits").alias("prediction"))
 
 
 @register("op_fit_linear_head")
 def q_fit_linear_head(spark, sf):
-    """Multinomial logistic head without intercept on embeddings (rows: one weight vector per class)."""
+    """Multinomial logistic head without intercept, fitted to convergence on the rows not held out (one weight vector per class)."""
     from tokenmill.operators.scoring import fit_linear_head, head_coefficients
+    from tokenmill.operators.shards import validation_split
 
-    model = fit_linear_head(_table(spark, sf, "embeddings"), max_iter=50)
-    return head_coefficients(model)
+    train = validation_split(_table(spark, sf, "embeddings"), ["vec_id"], share=VALIDATION).filter(~F.col("is_validation"))
+    return head_coefficients(spark, fit_linear_head(train, reg=0.01))
 
 
 @register(
@@ -1071,7 +1103,7 @@ def q_predict_linear_head(spark, sf):
 
 @register(
     "op_evaluate_head",
-    "WITH " + O.SCORED + "," + _SPLIT_SQL + """
+    "WITH " + _SPLIT_SQL + "," + O.scored_ctes("(SELECT e.* FROM embeddings e JOIN split USING (vec_id) WHERE NOT m)") + """
 SELECT round(avg(loss), 6) AS mean_loss, round(avg((prediction = label)::INTEGER), 6) AS accuracy, count(*) AS n
 FROM scored2 JOIN split USING (vec_id) WHERE m""",
 )
@@ -1080,8 +1112,8 @@ def q_evaluate_head(spark, sf):
     from tokenmill.operators.shards import validation_split
     from tokenmill.plans.scoring import scored
 
-    s = validation_split(scored(spark, sf), 100, ["vec_id"], out="m").filter(F.col("m"))
-    r = loss_accuracy(s)
+    # the head is fitted on the rows that are not held out
+    r = loss_accuracy(scored(spark, sf, held_out=lambda df: validation_split(df, ["vec_id"], share=VALIDATION, out="m")))
     return r.select(_r6(F.col("mean_loss")).alias("mean_loss"), _r6(F.col("accuracy")).alias("accuracy"), "n")
 
 

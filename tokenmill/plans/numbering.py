@@ -7,16 +7,15 @@ partition numbers its own rows, and a small table of per-partition totals
 (one row per partition and group, bounded by the partition count) gives every
 partition its offset. Rows never leave their partition after the range shuffle.
 
-The numbered frame is read twice (totals, then rows), so it is materialised
-once: persisted (default; a lost block is rebuilt from the same shuffle output,
-hence identically) or reliably checkpointed to the shared folder. Two separate
-evaluations could otherwise sample different range bounds.
+The numbered frame is read twice (totals, then rows), so it is written once to the
+shared folder: two separate evaluations could sample different range bounds, a
+written table survives lost executors, and nothing stays persisted in the session.
+Number narrow frames (keys only) and join rows to them where rows are wide.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +31,12 @@ def _sorted(df: DataFrame, group_cols, order_cols, num_partitions):
     return df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
 
 
-def _materialise(df: DataFrame, materialize: str) -> DataFrame:
-    if materialize == "checkpoint":
-        from tokenmill.session import ensure_checkpoint_dir
+def _written(df: DataFrame) -> DataFrame:
+    from tokenmill.session import scratch_path
 
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(df.sparkSession, "numbered")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _bounded(offsets: DataFrame, group_cols) -> DataFrame:
@@ -56,7 +54,6 @@ def index_by_order(
     out: str = "idx",
     group_cols: list | tuple = (),
     num_partitions: int | None = None,
-    materialize: str = "persist",
 ) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (within ``group_cols``).
 
@@ -68,7 +65,7 @@ def index_by_order(
     local = ordered.withColumn("__pid", F.spark_partition_id()).withColumn(
         "__local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))
     )
-    local = _materialise(local, materialize)
+    local = _written(local)
     totals = local.groupBy("__pid", *group_cols).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__local").alias("__first")
     )
@@ -92,7 +89,6 @@ def prefix_sum(
     out: str = "start",
     group_cols: list | tuple = (),
     num_partitions: int | None = None,
-    materialize: str = "persist",
 ) -> DataFrame:
     """Exclusive running sum of ``weight`` in ``order_cols`` order (within ``group_cols``).
 
@@ -130,7 +126,7 @@ def prefix_sum(
             pdf["__pid"] = pid
             yield pdf
 
-    local = _materialise(ordered.mapInPandas(running, schema), materialize)
+    local = _written(ordered.mapInPandas(running, schema))
     totals = local.groupBy("__pid", *group_cols).agg(F.sum(F.col(weight)).alias("__n"))
     if group_cols:
         w = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

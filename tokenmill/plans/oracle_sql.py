@@ -151,9 +151,6 @@ def shard_expr(num_shards: int = 100, seed: str = "shard") -> str:
     return f"floor({u(seed, 'doc_id', 'row_no')} * {num_shards})::INTEGER"
 
 
-NA_LIST = None  # filled lazily from the pair module
-
-
 def na_sql() -> str:
     from tokenmill.operators.pairs import DEFAULT_NA_VALUES
 
@@ -169,10 +166,10 @@ pairs AS (
 
 DOC_PAIRS = """
 doc_pairs AS (
-  SELECT d.doc_id, string_split(d.text, chr(10))[1] AS sentence1,
-    coalesce(string_split(d.text, chr(10))[2], '') AS sentence2,
-    CASE WHEN l.toxic = 1 THEN 'contradiction' WHEN l.quality = 1 THEN 'entailment' ELSE 'neutral' END AS gold_label
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+  SELECT doc_id, (i - 1)::INTEGER AS pair_no, ls[i] AS sentence1, coalesce(ls[i + 1], '') AS sentence2, gold_label FROM (
+    SELECT d.doc_id, string_split(d.text, chr(10)) AS ls, unnest(generate_series(1, greatest(len(string_split(d.text, chr(10))) - 1, 1))) AS i,
+      CASE WHEN l.toxic = 1 THEN 'contradiction' WHEN l.quality = 1 THEN 'entailment' ELSE 'neutral' END AS gold_label
+    FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
 )"""
 
 
@@ -229,8 +226,8 @@ padded AS (
 )"""
 
 
-SCORED = """
-ex AS (SELECT label, unnest(range(len(embedding))) AS d, unnest(embedding) AS x FROM embeddings),
+_SCORED = """
+ex AS (SELECT label, unnest(range(len(embedding))) AS d, unnest(embedding) AS x FROM <fitted on>),
 cent AS (SELECT label, d, avg(x::DOUBLE) AS m FROM ex GROUP BY label, d),
 wrow AS (SELECT label, list(m ORDER BY d) AS w FROM cent GROUP BY label),
 wm AS (SELECT list(w ORDER BY label) AS W FROM wrow),
@@ -249,3 +246,11 @@ scored AS (
 scored2 AS (
   SELECT *, lse - logits[label + 1] AS loss, list_transform(logits, lambda z: exp(z - lse)) AS probs FROM scored
 )"""
+
+
+def scored_ctes(fitted_on: str = "embeddings") -> str:
+    """All rows scored by the class means of the rows of ``fitted_on``."""
+    return _SCORED.replace("<fitted on>", fitted_on)
+
+
+SCORED = scored_ctes()

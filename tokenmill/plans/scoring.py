@@ -14,9 +14,16 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, label, logits, probs, prediction, loss`` with the class-mean linear head."""
+def scored(spark: SparkSession, sf_dir: str, held_out=None) -> DataFrame:
+    """``vec_id, label, logits, probs, prediction, loss`` with the class-mean linear head.
+
+    ``held_out`` adds a boolean column ``m`` to the vectors: the head is then fitted on the
+    others, and only the held-out rows are scored.
+    """
     emb = embeddings(spark, sf_dir)
-    weights = S.centroid_weights(emb)
-    pred = S.predict_linear(emb, weights)
+    train = emb
+    if held_out is not None:
+        emb = held_out(emb)
+        train, emb = emb.filter(~F.col("m")), emb.filter(F.col("m"))
+    pred = S.predict_linear(emb, S.centroid_weights(train))
     return pred.withColumn("loss", A.cross_entropy("logits", "label"))

@@ -37,13 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a folder every executor can reach; it is
     read from the session. Only where it is unset (local tests) is a folder of
-    our own created and registered.
+    our own created and registered; a cluster without the setting is an error, as
+    every executor would write to a disk of its own.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
         return conf_dir
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tokenmill-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -67,15 +70,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-file fixtures in tests."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 _SHIPPED: set = set()
 
 

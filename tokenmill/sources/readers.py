@@ -64,16 +64,17 @@ def scan_pair_tsv(
     default_na: bool = True,
     types: dict | None = None,
 ) -> DataFrame:
-    """Header TSV, chosen columns only.
+    """Header TSV, chosen columns only. One record per line, so a large file is read by many tasks.
 
     ``default_na=True``: the default missing-value strings become null (training
     reader); ``False`` keeps every string as read (evaluation reader).
     """
     types = types or {}
-    header = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option(
-        "quote", '"'
-    ).option("escape", '"').option("multiLine", True).option("nullValue", None).option("emptyValue", "")
-    df = header.csv(path)
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": "", "mode": "FAILFAST"}
+    # the header alone decides where the wanted columns stand; all fields are read as text
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    df = spark.read.schema(schema).options(**options).csv(path)
     df = df.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in columns])
     if default_na:
         str_cols = [c for c in columns if types.get(c, "string") == "string"]

@@ -17,7 +17,7 @@ from tokenmill.sources.readers import DOCUMENT_SCHEMA
 
 
 def packed_stream(spark: SparkSession, source: str, ctx, sequence_size: int = 128) -> DataFrame:
-    docs = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    docs = spark.readStream.schema(DOCUMENT_SCHEMA).parquet(source)
     enc = docs.select("doc_id", ctx.encoder.encode_plain("text").alias("ids"))
     seqs = sequences.chunk_sequences(enc, "ids", sequence_size)
     packed = sequences.pack(seqs)
@@ -40,11 +40,9 @@ def run_stream_pack(spark: SparkSession, source: str, sink: str, checkpoint: str
 
 
 def stream_pack(spark: SparkSession, sf_dir: str, ctx, sequence_size: int = 128) -> DataFrame:
-    """Run the stream over the documents table folder and return what the sink holds."""
+    """Run the stream over the documents table itself (a file or a folder) and return what the sink holds."""
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
-    source = scratch_path(spark, "stream-src")
-    # The file source watches a folder: expose the table there as Spark-written parquet files.
-    spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").write.parquet(source)
+    source = f"{sf_dir.rstrip('/')}/documents.parquet*"  # a pattern may name a file as well as a folder
     run_stream_pack(spark, source, sink, ckpt, ctx, sequence_size)
     return spark.read.parquet(sink).select("doc_id", "row_no", "row")
