@@ -61,7 +61,7 @@ def main() -> None:
     timed("pairs_padded", lambda: C.padded_pairs(ctx, conversation_pairs(conv)).agg(F.sum(F.size("ids"))).collect())
     timed("scoring", lambda: loss_accuracy(scored(spark, sf_dir)).collect())
     t0 = time.time()
-    res = V.train_vocabulary(V.word_counts(docs), vocab_size=180, min_frequency=2)
+    res = V.train_vocabulary(V.word_counts(docs), vocab_size=300, min_frequency=500)
     times["train_vocab"] = round(time.time() - t0, 3)
     extra["train_vocab_s_per_round"] = round(times["train_vocab"] / max(res.rounds, 1), 3)
 

@@ -70,7 +70,7 @@ def test_select_round_rules():
 def test_batched_training_equals_one_by_one(spark):
     counts = spark.createDataFrame(WORDS, "word string, count long")
     for size in (20, 28, 40):
-        res = V.train_vocabulary(counts, vocab_size=size, min_frequency=2, candidates_per_round=4, checkpoint_every=3)
+        res = V.train_vocabulary(counts, vocab_size=size, min_frequency=2, candidates_per_round=4)
         got = [r.token for r in res.vocabulary.orderBy("id").collect()]
         want, merges = _one_by_one(WORDS, size, min_frequency=2)
         assert got == want

@@ -40,6 +40,27 @@ def range_report(df: DataFrame, col: str, lo: int, hi: int) -> DataFrame:
     )
 
 
+def range_reports(df: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
+    """``name, min_value, max_value, out_of_range`` of several int columns (or arrays) in one pass."""
+    kinds = dict(df.dtypes)
+    lo = lambda c: F.array_min(c) if kinds[c].startswith("array") else F.col(c)
+    hi = lambda c: F.array_max(c) if kinds[c].startswith("array") else F.col(c)
+
+    def outside(c, a, b):
+        bad = lambda v: (v < a) | (v > b)
+        return F.size(F.filter(c, bad)) if kinds[c].startswith("array") else bad(F.col(c)).cast("int")
+
+    one = df.agg(
+        F.array(
+            *(
+                F.struct(F.lit(c).alias("name"), F.min(lo(c)).cast("long").alias("min_value"), F.max(hi(c)).cast("long").alias("max_value"), F.sum(outside(c, a, b)).alias("out_of_range"))
+                for c, (a, b) in bounds.items()
+            )
+        ).alias("r")
+    )
+    return one.select(F.inline("r"))
+
+
 def assert_in_range(df: DataFrame, col: str, lo: int, hi: int) -> None:
     rep = range_report(df, col, lo, hi).first()
     if rep["out_of_range"]:

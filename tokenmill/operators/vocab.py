@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions import text as tx
-from tokenmill.session import ensure_checkpoint_dir
 
 # Special tokens, in id order 0..3.
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[MASK]", "[UNK]"]
@@ -185,28 +184,6 @@ def select_round(
     return taken
 
 
-def _apply_merges(symbols: Column, merges: dict[tuple[str, str], str]) -> Column:
-    """Left-to-right, non-overlapping merge of every listed pair (pairs share no symbols)."""
-    mapping = F.create_map(*[x for (l, r), t in merges.items() for x in (F.lit(l + " " + r), F.lit(t))])
-    n = F.size(symbols)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-
-    def step(acc, i):
-        here = F.element_at(symbols, i)
-        merged = F.when(i < n, F.element_at(mapping, F.concat_ws(" ", here, F.element_at(symbols, F.least(i + 1, n)))))
-        return (
-            F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip")))
-            .when(merged.isNotNull(), F.struct(F.array_append(acc["out"], merged).alias("out"), F.lit(True).alias("skip")))
-            .otherwise(F.struct(F.array_append(acc["out"], here).alias("out"), F.lit(False).alias("skip")))
-        )
-
-    merged_all = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step, lambda acc: acc["out"])
-    # Only words holding a left symbol of this round can change; the rest skip the loop.
-    lefts = sorted({left for (left, _right) in merges})
-    touched = F.arrays_overlap(symbols, F.array(*[F.lit(x) for x in lefts]))
-    return F.when(touched, merged_all).otherwise(symbols)
-
-
 @dataclass
 class TrainResult:
     vocabulary: DataFrame
@@ -214,78 +191,140 @@ class TrainResult:
     rounds: int
 
 
+class _Part:
+    """Words of one partition as they stand after the merges applied so far, with their pair counts.
+
+    A worker keeps it from round to round, so a round touches only words that hold a
+    merged pair. It is only a cache: from the written words and the list of merges any
+    worker can build it again.
+    """
+
+    def __init__(self, rows):
+        self.words = [list(s) for s, _ in rows]
+        self.weight = [c for _, c in rows]
+        self.done = 0
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.where: dict[tuple[str, str], set[int]] = {}
+        for i in range(len(rows)):
+            self._count(i, 1)
+
+    def _count(self, i: int, sign: int) -> None:
+        w, c = self.words[i], sign * self.weight[i]
+        for p in zip(w, w[1:]):
+            n = self.pairs.get(p, 0) + c
+            if n:
+                self.pairs[p] = n
+            else:
+                del self.pairs[p]
+            if sign > 0:
+                self.where.setdefault(p, set()).add(i)
+
+    def merge(self, merges: list[tuple[str, str, str]]) -> None:
+        """Left-to-right, non-overlapping merges, one after the other."""
+        for left, right, token in merges[self.done :]:
+            for i in self.where.pop((left, right), ()):
+                old = self.words[i]
+                if (left, right) not in zip(old, old[1:]):
+                    continue  # an earlier merge has taken it
+                self._count(i, -1)
+                new, k = [], 0
+                while k < len(old):
+                    if old[k] == left and k + 1 < len(old) and old[k + 1] == right:
+                        new.append(token)
+                        k += 2
+                    else:
+                        new.append(old[k])
+                        k += 1
+                self.words[i] = new
+                self._count(i, 1)
+        self.done = len(merges)
+
+
+_PARTS: dict = {}
+_KEPT_PARTS = 16  # partitions a worker keeps at most
+
+
+def _round_pairs(run: str, merges):
+    """Pair counts of each partition after ``merges`` (a broadcast list)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def pairs(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        # a partition is known by its rows, however Spark numbers it
+        key = (run, sum(b.num_rows for b in batches), sum(pc.sum(b.column(0)).as_py() for b in batches))
+        part = _PARTS.pop(key, None)
+        if part is None or part.done > len(merges.value):
+            part = _Part([(s, c) for b in batches for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+        part.merge(merges.value)
+        while len(_PARTS) >= _KEPT_PARTS:
+            _PARTS.pop(next(iter(_PARTS)))
+        _PARTS[key] = part
+        left, right, count = [], [], []
+        for (a, b), n in part.pairs.items():
+            left.append(a)
+            right.append(b)
+            count.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(count, pa.int64())], names=["left", "right", "count"])
+
+    return pairs
+
+
 def train_vocabulary(
     counts: DataFrame,
     vocab_size: int,
     min_frequency: int = 2,
     alphabet_size: int = 100,
-    candidates_per_round: int = 256,
-    checkpoint_every: int = 10,
+    candidates_per_round: int = 1024,
 ) -> TrainResult:
-    """Merge training on the word-count table, several merges per Spark round.
+    """Merge training on the word-count table, one Spark job per round, several merges per round.
 
     Same result as merging one best pair at a time (rank: count desc, left asc,
     right asc), stopping at ``vocab_size`` tokens or when the best count falls
-    below ``min_frequency``. Each round reads the ranked pair list (top
-    ``candidates_per_round``, only the prefix rule decides how many are used;
-    the rest are ranked again next round). Each round's word table is persisted
-    and every ``checkpoint_every``-th one is checkpointed to the shared folder.
+    below ``min_frequency``. The words are split into symbols and written once; each
+    round, workers bring their partitions up to date, pair counts are summed over
+    partitions, and the head of the ranking (``candidates_per_round`` rows) decides
+    the next merges. The rest is ranked again in the next round, so the head's
+    length changes the number of rounds only.
     """
+    from tokenmill.session import scratch_path
+
     spark = counts.sparkSession
     if vocab_size > MAX_VOCAB_ROWS:
         raise ValueError("vocabulary must fit 16-bit ids")
-    # Read twice below (alphabet, symbol split): count the corpus once.
-    counts = counts.persist()
-    alpha = alphabet(counts, alphabet_size).cache()
+    path = scratch_path(spark, "word-counts")
+    counts.write.parquet(path)  # read twice below: the corpus is counted once
+    counts = spark.read.schema(counts.schema).parquet(path)
+    alpha = spark.createDataFrame(alphabet(counts, alphabet_size).collect(), "char string, count long")  # bounded
     base_rows = base_vocabulary(alpha).collect()
     known = {r.token for r in base_rows}
     size = len(base_rows)
-    ensure_checkpoint_dir(spark)
-    # Words down to one symbol can never form a pair again: they leave the working table.
-    # Rounds are persisted and every ``checkpoint_every``-th is a reliable checkpoint, which
-    # cuts plan and lineage depth; persisted rounds are released only after that checkpoint,
-    # children first (releasing a parent of a cached frame would drop the child's cache).
-    words = word_symbols(counts, alpha).select("count", "symbols").filter(F.size("symbols") > 1)
-    words = words.checkpoint(eager=True)
+    path = scratch_path(spark, "words")
+    # words of one symbol can never form a pair
+    words = word_symbols(counts, alpha).filter(F.size("symbols") > 1)
+    words.select(F.crc32(F.col("word").cast("binary")).alias("id"), "symbols", F.col("count").cast("long").alias("count")).repartition("id").write.parquet(path)
+    words = spark.read.schema("id long, symbols array<string>, count long").parquet(path)
+    run = path.rsplit("/", 1)[-1]
     merges: list[tuple[str, str, str]] = []
-    pending: list[DataFrame] = []
     rounds = 0
     while size < vocab_size:
-        ranked_rows = (
-            pair_counts(words, min_frequency)
-            .orderBy(F.desc("count"), F.asc("left"), F.asc("right"))
-            .limit(candidates_per_round)
-            .collect()
-        )
-        if not ranked_rows:
+        sent = spark.sparkContext.broadcast(merges)
+        totals = words.mapInArrow(_round_pairs(run, sent), "left string, right string, count long").groupBy("left", "right").agg(F.sum("count").alias("count"))
+        head = totals.filter(F.col("count") >= min_frequency).orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(candidates_per_round).collect()
+        sent.destroy()
+        if not head:
             break
-        ranked = [(r.left, r.right, int(r["count"])) for r in ranked_rows]
-        chosen = select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round)
-        round_map = {}
-        for left, right, _ in chosen:
+        ranked = [(r["left"], r["right"], int(r["count"])) for r in head]
+        merges = list(merges)
+        for left, right, _ in select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round):
             token = merge_token(left, right)
-            round_map[(left, right)] = token
             merges.append((left, right, token))
             if token not in known:
                 known.add(token)
                 size += 1
         rounds += 1
-        nxt = words.select("count", _apply_merges(F.col("symbols"), round_map).alias("symbols")).filter(
-            F.size("symbols") > 1
-        )
-        if rounds % checkpoint_every == 0:
-            words = nxt.checkpoint(eager=True)
-            # Release the persisted rounds children first, so no cached frame loses a parent.
-            for frame in reversed(pending):
-                frame.unpersist()
-            pending = []
-        else:
-            words = nxt.persist()
-            pending.append(words)
-    for frame in reversed(pending):
-        frame.unpersist()
-    counts.unpersist()
-    alpha.unpersist()
     vocab_rows = [(r.token, r.id, r.kind) for r in base_rows]
     seen = {r.token for r in base_rows}
     for _, _, token in merges:
@@ -360,4 +399,6 @@ class Vocab:
 def lookup_ids(df: DataFrame, vocab: DataFrame, token_col: str = "token", out: str = "id") -> DataFrame:
     """token -> id as a broadcast hash join (vocabulary size is bounded by 16-bit ids)."""
     v = vocab.select(F.col("token").alias("__tok"), F.col("id").alias(out))
+    if v.limit(MAX_VOCAB_ROWS + 1).count() > MAX_VOCAB_ROWS:
+        raise ValueError("vocabulary must fit 16-bit ids")
     return df.join(F.broadcast(v), df[token_col] == v["__tok"], "left").drop("__tok")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenmill.plans import corpus as C
@@ -82,6 +82,22 @@ def q_scan_documents(spark, sf):
     return scan_documents(spark, f"{sf}/documents.parquet", ("doc_id", "text", "lang", "source", "n_chars"))
 
 
+@register(
+    "op_scan_text_corpus",
+    """SELECT row_number() OVER (ORDER BY doc_id::VARCHAR || '/') - 1 AS file_no, doc_id::VARCHAR AS folder, text || chr(10) AS text FROM documents""",
+)
+def q_scan_text_corpus(spark, sf):
+    """One text file per document, written by Spark, read back whole and numbered in the order of their paths."""
+    from tokenmill.session import scratch_path
+    from tokenmill.sources.readers import assign_doc_ids, scan_text_corpus
+
+    path = scratch_path(spark, "books")
+    _table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files = scan_text_corpus(spark, f"{path}/*/*.txt")
+    folder = F.regexp_extract("path", "doc_id=([^/]*)/[^/]*$", 1)
+    return assign_doc_ids(files.select("path", "text")).select(F.col("doc_id").alias("file_no"), folder.alias("folder"), "text")
+
+
 @register(
     "op_scan_pair_tsv",
     "WITH " + O.DOC_PAIRS + f"""
@@ -123,20 +139,34 @@ def q_write_packed(spark, sf):
     )
 
 
+_DIGEST_SQL = "md5(array_to_string(input, ',') || '|' || array_to_string(target, ',') || '|' || array_to_string(list_transform(mask, lambda m: m::INTEGER), ','))"
+
+
 @register(
     "op_write_shards",
-    CORPUS + f"\nSELECT {O.shard_expr()} AS shard, count(*) AS rows, count(DISTINCT doc_id) AS docs FROM seqs GROUP BY 1",
+    MASKED + f"""
+SELECT doc_id, row_no, {O.shard_expr()} AS shard,
+  least(floor({O.u('order', 'doc_id', 'row_no')} * greatest(ceil(count(*) OVER () / 2000.0), 1)), greatest(ceil(count(*) OVER () / 2000.0), 1) - 1)::INTEGER AS bucket,
+  row_number() OVER (PARTITION BY {O.shard_expr()} ORDER BY {O.u('order', 'doc_id', 'row_no')}, doc_id, row_no) - 1 AS pos, {_DIGEST_SQL} AS digest FROM masked""",
 )
 def q_write_shards(spark, sf):
-    """Masked rows written one folder per shard (random order inside), read back: rows per shard."""
+    """Masked rows written one folder per shard and bucket in random order, read back: place and content of every row.
+
+    Files of 20 rows show the split of a shard on small tables, too.
+    """
     from tokenmill.operators.shards import shuffle_key
     from tokenmill.session import scratch_path
     from tokenmill.sources.sinks import write_shards
 
     path = scratch_path(spark, "shards")
-    write_shards(shuffle_key(C.masked_rows(_ctx(spark, sf))), path)
-    back = spark.read.parquet(path)
-    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("docs"))
+    ctx = _ctx(spark, sf)
+    write_shards(shuffle_key(C.masked_rows(ctx)), path, num_shards=ctx.cfg.data.num_shards, rows_per_file=20, total_rows=C.raw_sequences(ctx).count())
+    # the place of a row in its file, then in its shard: files are in order, a shard's buckets are, too
+    back = spark.read.parquet(path).select("doc_id", "row_no", "shard", "bucket", "input", "target", "mask", F.monotonically_increasing_id().alias("place"))
+    pos = F.row_number().over(Window.partitionBy("shard").orderBy("bucket", "place")) - 1
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",")
+    digest = F.md5(F.concat(text("input"), F.lit("|"), text("target"), F.lit("|"), text("mask")))
+    return back.select("doc_id", "row_no", "shard", "bucket", pos.cast("long").alias("pos"), digest.alias("digest"))
 
 
 @register("op_dataset_size", CORPUS + "\nSELECT count(*) AS rows FROM seqs")
@@ -313,20 +343,30 @@ def q_zero_row_check(spark, sf):
 
 @register(
     "op_range_check",
-    CORPUS + """
-SELECT min(t) AS min_value, max(t) AS max_value, count_if(t < 0 OR t > 65535) AS out_of_range FROM (SELECT unnest(tokens) AS t FROM seqs)""",
+    CORPUS + f""",
+v AS (
+  SELECT 'tokens' AS name, unnest(tokens) AS t, 65535 AS hi FROM seqs
+  UNION ALL SELECT 'id_hi', doc_id >> 16, 65535 FROM seqs
+  UNION ALL SELECT 'id_lo', doc_id & 65535, 65535 FROM seqs
+  UNION ALL SELECT 'shard', {O.shard_expr()}, 99 FROM seqs
+)
+SELECT name, min(t)::BIGINT AS min_value, max(t)::BIGINT AS max_value, count_if(t < 0 OR t > hi) AS out_of_range FROM v GROUP BY name""",
 )
 def q_range_check(spark, sf):
-    from tokenmill.operators.checks import range_report
+    """Every stored number within its width: tokens, id halves, shard numbers."""
+    from tokenmill.operators.checks import range_reports
+    from tokenmill.operators.shards import assign_shard
 
-    return range_report(C.raw_sequences(_ctx(spark, sf)), "tokens", 0, 65535)
+    rows = assign_shard(C.raw_sequences(_ctx(spark, sf)), 100)
+    return range_reports(rows, {"tokens": (0, 65535), "id_hi": (0, 65535), "id_lo": (0, 65535), "shard": (0, 99)})
 
 
 @register(
     "op_quality_assert",
-    "WITH " + O.SCORED + "," + O.DOC_PAIRS + f"""
+    CORPUS + "," + O.SCORED + "," + O.DOC_PAIRS + f"""
 SELECT (SELECT count_if(isnan(loss)) FROM scored2) AS nan_losses,
-       (SELECT count_if(({_LABEL_CASE}) IS NULL) FROM doc_pairs) AS unknown_labels""",
+       (SELECT count_if(({_LABEL_CASE}) IS NULL) FROM doc_pairs) AS unknown_labels,
+       (SELECT count(*) FROM seqs) - (SELECT sum(rows) FROM (SELECT {O.shard_expr()} AS shard, count(*) AS rows FROM seqs GROUP BY 1))::BIGINT AS rows_not_counted""",
 )
 def q_quality_assert(spark, sf):
     from tokenmill.operators.checks import quality_report
@@ -334,7 +374,11 @@ def q_quality_assert(spark, sf):
     from tokenmill.plans.scoring import scored
 
     p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")).withColumn("label_id", label_encode("gold_label"))
-    return quality_report(scored(spark, sf), "loss", p, "label_id")
+    report = quality_report(scored(spark, sf), "loss", p, "label_id")
+    # the counters of all shards together are the size of the dataset
+    ctx = _ctx(spark, sf)
+    counted = C.shard_counts(ctx).agg(F.sum("rows").alias("n")).scalar()
+    return report.withColumn("rows_not_counted", C.raw_sequences(ctx).agg(F.count(F.lit(1))).scalar() - counted)
 
 
 @register(
@@ -441,6 +485,16 @@ def q_truncate(spark, sf):
     return C.encoded_pairs(_ctx(spark, sf), conversation_pairs(_table(spark, sf, "conversations")), 128)
 
 
+@register(
+    "op_truncate_plain",
+    CORPUS + f"\nSELECT doc_id, list_slice(list_concat([{O.CLS_ID}], ids, [{O.SEP_ID}]), 1, 128) AS ids FROM doc_ids",
+)
+def q_truncate_plain(spark, sf):
+    """The plain cut of a single encoding: the first 128 ids, whatever they are, so a long text loses its [SEP]."""
+    ctx = _ctx(spark, sf)
+    return C.encoded_documents(ctx).select("doc_id", F.slice(ctx.encoder.encode_single("ids"), 1, 128).alias("ids"))
+
+
 PADDED = PAIRS + "," + O.truncated_pairs_cte() + "," + O.padded_pairs_cte()
 
 
@@ -521,18 +575,31 @@ SELECT l AS "left", r AS "right", sum(count) AS count FROM pr GROUP BY l, r HAVI
 )
 def q_pair_counts(spark, sf):
     from tokenmill.operators.vocab import alphabet, pair_counts, word_counts, word_symbols
+    from tokenmill.session import scratch_path
 
-    wc = word_counts(C.documents(spark, sf))
+    # the corpus is tokenised once: alphabet and symbols read the written counts
+    path = scratch_path(spark, "word-counts")
+    word_counts(C.documents(spark, sf)).write.parquet(path)
+    wc = spark.read.parquet(path)
     return pair_counts(word_symbols(wc, alphabet(wc, 100)), 2)
 
 
 @register("op_train_vocab")
 def q_train_vocab(spark, sf):
-    """Merge training on the corpus word counts (small target size: every round is a Spark job)."""
-    from tokenmill.operators.vocab import train_vocabulary, word_counts
+    """Merge training on the corpus word counts with the configured size and least frequency."""
+    return C.merge_vocabulary(spark, sf).vocabulary
+
 
-    res = train_vocabulary(word_counts(C.documents(spark, sf)), vocab_size=180, min_frequency=2)
-    return res.vocabulary
+@register("op_encode_merged")
+def q_encode_merged(spark, sf):
+    """All documents encoded with the vocabulary trained on them (training and encoding as one plan)."""
+    from tokenmill.operators.encode import Encoder
+    from tokenmill.operators.vocab import Vocab
+
+    cfg = C.Config()
+    vocab = Vocab.from_frame(C.merge_vocabulary(spark, sf, cfg).vocabulary)
+    enc = Encoder(vocab, spark, cfg.tokenizer.max_chars_per_word)
+    return C.documents(spark, sf).select("doc_id", enc.encode_plain("text").alias("ids"))
 
 
 @register(
@@ -693,12 +760,12 @@ def q_embedding_lookup(spark, sf):
 SELECT doc_id, row_no, len(tokens) AS n_tokens, {O.shard_expr()} AS shard FROM seqs""",
 )
 def q_positional_zip(spark, sf):
-    """Sequences and their separately computed shard numbers paired on the explicit row key."""
+    """Sequences paired with their shard numbers."""
     from tokenmill.operators.shards import assign_shard
 
-    raw = C.raw_sequences(_ctx(spark, sf))
-    dist = assign_shard(raw.select("doc_id", "row_no"), 100)
-    return raw.select("doc_id", "row_no", F.size("tokens").alias("n_tokens")).join(dist, ["doc_id", "row_no"])
+    # both sides are columns of one row, so nothing has to be encoded twice or joined
+    raw = assign_shard(C.raw_sequences(_ctx(spark, sf)), 100)
+    return raw.select("doc_id", "row_no", F.size("tokens").alias("n_tokens"), "shard")
 
 
 @register(
@@ -1001,6 +1068,29 @@ def q_take_sample_batch(spark, sf):
     return sample_batch(b, shard_order(raw)).select("doc_id", "row_no", "shard", "batch_no")
 
 
+@register(
+    "op_sample_table",
+    MASKED + "," + VOCAB_TOKENS + f""",
+b AS (SELECT doc_id, row_no, input, target, {O.shard_expr()} AS shard FROM masked),
+f AS (SELECT shard FROM (SELECT DISTINCT shard FROM b) ORDER BY {O.u('files', 'shard')}, shard LIMIT 1),
+s AS (SELECT * FROM b WHERE shard IN (SELECT shard FROM f) ORDER BY {_H_SQL}, doc_id, row_no LIMIT 16)
+SELECT doc_id, row_no, replace({_decode_sql('input', False)}, '[MASK]', '**[MASK]**') AS input, {_decode_sql('target', True)} AS target FROM s, vt""",
+)
+def q_sample_table(spark, sf):
+    """What a reader looks at during training: the first batch in words, masks marked, beside its targets."""
+    from tokenmill.functions.rng import uniform
+    from tokenmill.operators.encode import highlight_mask
+    from tokenmill.operators.shards import assign_shard, shuffle_key
+
+    ctx = _ctx(spark, sf)
+    # at most num_shards shard numbers, of which the first in file order is read
+    first = assign_shard(C.raw_sequences(ctx).select("doc_id", "row_no"), 100).select("shard").distinct()
+    first = first.orderBy(uniform("files", "shard"), "shard").limit(1).select(F.col("shard").alias("first")).agg(F.max("first")).scalar()
+    rows = shuffle_key(C.masked_rows(ctx)).filter(F.col("shard") == first).orderBy("h", "doc_id", "row_no").limit(16)
+    d = ctx.encoder.decode
+    return rows.select("doc_id", "row_no", highlight_mask(d("input", skip_special_tokens=False)).alias("input"), d("target").alias("target"))
+
+
 # J. scalar functions -------------------------------------------------------------------
 @register(
     "op_softmax",

@@ -15,6 +15,7 @@ from tokenmill.config import Config
 from tokenmill.functions import text as tx
 from tokenmill.operators import masking, sequences, shards, vocab as V
 from tokenmill.operators.encode import Encoder
+from tokenmill.session import scratch_path
 from tokenmill.sources.readers import read_table, spread
 
 # Defaults of the words-plus-characters vocabulary used by the table queries.
@@ -81,9 +82,18 @@ def shard_counts(ctx: CorpusContext) -> DataFrame:
 _CONTEXTS: dict = {}
 
 
+def table_version(spark: SparkSession, path: str) -> tuple:
+    """Path, files, bytes and time of a table, from the file system's listing; a rewritten table has another version."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(p)
+    return path, len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
 def context(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> CorpusContext:
-    """Memoised per session and table folder: the vocabulary is built (and collected) once."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), cfg)
+    """Memoised per session and version of the table: the vocabulary is built (and collected) once."""
+    key = (spark.sparkContext.applicationId, table_version(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), cfg)
     ctx = _CONTEXTS.get(key)
     if ctx is None:
         ctx = build_context(spark, sf_dir, cfg)
@@ -91,6 +101,17 @@ def context(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> CorpusC
     return ctx
 
 
+def merge_vocabulary(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> V.TrainResult:
+    """The merge-trained vocabulary of the documents, as configured; trained once per version of the table."""
+    t = cfg.tokenizer
+    key = (spark.sparkContext.applicationId, "merged", table_version(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), t)
+    if key not in _CONTEXTS:
+        fix = tx.fix_text if t.fix_text else None
+        counts = V.word_counts(documents(spark, sf_dir), fix=fix)
+        _CONTEXTS[key] = V.train_vocabulary(counts, t.vocab_size, t.min_token_frequency, t.max_alphabet_size)
+    return _CONTEXTS[key]
+
+
 # ------------------------------------------------------------------ pairs (E-5)
 def pair_ids(ctx: CorpusContext, pairs: DataFrame, keys=("conv_id", "turn")) -> DataFrame:
     """Both sentences encoded without special tokens: ``*keys, a, b``."""
@@ -109,5 +130,9 @@ def padded_pairs(ctx: CorpusContext, pairs: DataFrame, max_length: int = 128, ke
     """Truncated pairs padded to the longest encoding of the set with the mask id (pad = mask)."""
     from tokenmill.operators.encode import pad_to_longest
 
+    # written once: the longest length and the rows are read from the same ids
+    path = scratch_path(ctx.spark, "pair-ids")
     enc = encoded_pairs(ctx, pairs, max_length, keys)
+    enc.write.parquet(path)
+    enc = ctx.spark.read.schema(enc.schema).parquet(path)
     return pad_to_longest(enc, "ids", ctx.vocab.mask_id, extra_zero_cols=("type_ids",))

@@ -37,30 +37,33 @@ def write_shards(
     path: str,
     shard_col="shard",
     order_col="h",
-    buckets_per_shard: int = 1,
+    key_cols=("doc_id", "row_no"),
+    num_shards: int = 100,
+    rows_per_file: int = 100_000,
+    total_rows: int | None = None,
     mode="overwrite",
-    max_records_per_file: int | None = None,
-) -> None:
+) -> int:
     """One folder per shard with exactly its rows, in random (``h``) order.
 
-    ``bucket = floor(h * buckets_per_shard)`` splits a shard into ordered
-    sub-folders, so one shard never has to be sorted by one task; shard numbers
-    are uniform by construction, so hash partitioning on (shard, bucket) is
-    balanced without a range-sampling pass (which would recompute the whole
-    encode-and-mask plan). Reading ``shard=<n>/`` bucket by bucket, file by
-    file, gives the rows in ``h`` order.
+    ``bucket = floor(h * buckets)`` splits a shard into ordered sub-folders of about
+    ``rows_per_file`` rows, so a shard of any size is spread over many tasks. The number
+    of buckets follows from the rows in the table (``total_rows``, counted if not given)
+    and is returned. Shard numbers and ``h`` are uniform hashes, so (shard, bucket) groups
+    are of equal size up to chance; a task may get several. Rows with equal ``h`` stand in
+    the order of their key. Reading ``shard=<n>/`` bucket by bucket gives the rows in order.
     """
+    total = df.count() if total_rows is None else total_rows
+    buckets_per_shard = max(1, -(-total // (num_shards * rows_per_file)))
     b = F.least(F.floor(F.col(order_col) * buckets_per_shard), F.lit(buckets_per_shard - 1)).cast("int")
     staged = df.withColumn("bucket", b)
     writer = (
         staged.repartition(shard_col, "bucket")
-        .sortWithinPartitions(shard_col, "bucket", order_col)
+        .sortWithinPartitions(shard_col, "bucket", order_col, *key_cols)
         .write.mode(mode)
         .partitionBy(shard_col, "bucket")
     )
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)
+    return buckets_per_shard
 
 
 def write_predictions(df: DataFrame, path: str, subset_col="subset", cols=("index", "prediction"), mode="overwrite") -> None:
