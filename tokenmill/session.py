@@ -70,6 +70,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows that Spark hands to a Python worker at once; its default of 10,000 documents may be gigabytes.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in any session, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _SHIPPED: set = set()
 
 
@@ -79,6 +90,7 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped from the driver's copy once per application; Spark
     distributes the archive to every executor, on a cluster as locally.
     """
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
