@@ -244,24 +244,34 @@ _PARTS: dict = {}
 _KEPT_PARTS = 16  # partitions a worker keeps at most
 
 
+def _part_after(run: str, batches, merges) -> _Part:
+    """A partition's words after ``merges``, from this worker's cache or from the rows.
+
+    A function of the module, not of a closure: only then is its cache the worker's own.
+    """
+    import pyarrow.compute as pc
+
+    # a partition is known by its rows, however Spark numbers it
+    key = (run, sum(b.num_rows for b in batches), sum(pc.sum(b.column(0)).as_py() for b in batches))
+    part = _PARTS.pop(key, None)
+    if part is None or part.done > len(merges):
+        part = _Part([(s, c) for b in batches for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+    part.merge(merges)
+    while len(_PARTS) >= _KEPT_PARTS:
+        _PARTS.pop(next(iter(_PARTS)))
+    _PARTS[key] = part
+    return part
+
+
 def _round_pairs(run: str, merges):
     """Pair counts of each partition after ``merges`` (a broadcast list)."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     def pairs(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        # a partition is known by its rows, however Spark numbers it
-        key = (run, sum(b.num_rows for b in batches), sum(pc.sum(b.column(0)).as_py() for b in batches))
-        part = _PARTS.pop(key, None)
-        if part is None or part.done > len(merges.value):
-            part = _Part([(s, c) for b in batches for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
-        part.merge(merges.value)
-        while len(_PARTS) >= _KEPT_PARTS:
-            _PARTS.pop(next(iter(_PARTS)))
-        _PARTS[key] = part
+        part = _part_after(run, batches, merges.value)
         left, right, count = [], [], []
         for (a, b), n in part.pairs.items():
             left.append(a)
