@@ -52,10 +52,9 @@ def main() -> None:
     n_tokens = timed("encode_documents", lambda: enc.agg(F.sum(F.size("ids"))).collect()[0][0])
     extra["documents_per_s"] = round(n_docs / times["encode_documents"], 1)
     extra["tokens_per_s"] = round(n_tokens / times["encode_documents"], 1)
-    timed("shard_counts", lambda: C.shard_counts(ctx).collect())
+    n_rows = sum(r["rows"] for r in timed("shard_counts", lambda: C.shard_counts(ctx).collect()))
     path = scratch_path(spark, "bench-shards")
-    timed("write_shards", lambda: write_shards(shuffle_key(C.masked_rows(ctx)), path))
-    n_rows = spark.read.parquet(path).count()
+    timed("write_shards", lambda: write_shards(shuffle_key(C.masked_rows(ctx)), path, total_rows=n_rows, rows_per_file=10_000))
     extra["masked_rows_per_s"] = round(n_rows / times["write_shards"], 1)
     conv = read_table(spark, sf_dir, "conversations")
     timed("pairs_padded", lambda: C.padded_pairs(ctx, conversation_pairs(conv)).agg(F.sum(F.size("ids"))).collect())

@@ -584,13 +584,20 @@ def q_pair_counts(spark, sf):
     return pair_counts(word_symbols(wc, alphabet(wc, 100)), 2)
 
 
-@register("op_train_vocab")
+_TRAINING = C.Config().tokenizer
+TRAINED = O.merged_vocab_prefix(_TRAINING.vocab_size, _TRAINING.min_token_frequency, _TRAINING.max_alphabet_size)
+
+
+@register("op_train_vocab", TRAINED + "\nSELECT token, id, kind FROM mv")
 def q_train_vocab(spark, sf):
     """Merge training on the corpus word counts with the configured size and least frequency."""
     return C.merge_vocabulary(spark, sf).vocabulary
 
 
-@register("op_encode_merged")
+@register(
+    "op_encode_merged",
+    TRAINED + "," + O.longest_match_ctes("mv", _TRAINING.max_chars_per_word) + "," + O.doc_ids_cte() + "\nSELECT doc_id, ids FROM doc_ids",
+)
 def q_encode_merged(spark, sf):
     """All documents encoded with the vocabulary trained on them (training and encoding as one plan)."""
     from tokenmill.operators.encode import Encoder

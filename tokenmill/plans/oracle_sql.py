@@ -254,3 +254,70 @@ def scored_ctes(fitted_on: str = "embeddings") -> str:
 
 
 SCORED = scored_ctes()
+
+
+def merged_vocab_prefix(vocab_size: int, min_frequency: int, alphabet_size: int = 100) -> str:
+    """Merge training, one merge a step: ``mv(token, id, kind)``.
+
+    The recursion holds every word as text with two spaces between symbols; a step
+    replaces the most frequent pair (count, then left, then right) in the words that hold
+    it and adds a row with a negative key for the merge.
+    """
+    return "WITH RECURSIVE " + ",".join([words_cte(), vocab_ctes(0, 2, alphabet_size)]) + f""",
+sym AS (
+  SELECT row_number() OVER (ORDER BY word) AS wid, count, ' ' || array_to_string(s, '  ') || ' ' AS s FROM (
+    SELECT word, count, list_transform(list_filter(regexp_extract_all(word, '.', 0), lambda c: list_contains(an.chars, c)),
+                                       lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END) AS s FROM wc, alpha_n an)
+  WHERE len(s) > 1
+),
+w(wid, count, s) USING KEY (wid) AS (
+  SELECT wid, count::BIGINT, s FROM sym
+  UNION
+  (WITH cur AS (SELECT wid, count, s FROM recurring.w WHERE wid > 0),
+   pr AS (
+     SELECT count, unnest(list_slice(t, 1, len(t) - 1)) AS l, unnest(list_slice(t, 2, len(t))) AS r
+     FROM (SELECT count, string_split(trim(s), '  ') AS t FROM cur) WHERE len(t) > 1
+   ),
+   best AS (
+     SELECT l, r, CASE WHEN starts_with(r, '##') THEN l || substr(r, 3) ELSE l || r END AS m FROM pr
+     GROUP BY l, r HAVING sum(count) >= {min_frequency} ORDER BY sum(count) DESC, l, r LIMIT 1
+   ),
+   done AS (SELECT count(*) AS n FROM recurring.w WHERE wid < 0)
+   SELECT wid, count, replace(s, ' ' || l || '  ' || r || ' ', ' ' || m || ' ') FROM cur, best WHERE contains(s, ' ' || l || '  ' || r || ' ')
+   UNION ALL
+   SELECT -1 - n, 0, m FROM best, done)
+),
+new_tokens AS (
+  SELECT s AS token, min(-wid) AS step FROM w WHERE wid < 0 AND s NOT IN (SELECT token FROM base) GROUP BY s
+),
+mv AS (
+  SELECT token, id, kind FROM base
+  UNION ALL
+  SELECT token, id, 'merge' FROM (
+    SELECT token, (row_number() OVER (ORDER BY step) + 3 + 2 * (SELECT n FROM alpha_n))::INTEGER AS id FROM new_tokens
+  ) WHERE id < {vocab_size}
+)"""
+
+
+def longest_match_ctes(vocab: str = "mv", max_chars: int = 50) -> str:
+    """Greedy longest match with any vocabulary: ``enc(word, ids)``; pieces after the first carry ``##``."""
+    return f"""
+dw AS (SELECT DISTINCT word FROM words),
+longest AS (
+  SELECT word, a, max(n) AS n FROM (
+    SELECT word, a, unnest(range(1, length(word) - a + 2)) AS n FROM (
+      SELECT word, unnest(range(1, length(word) + 1)) AS a FROM dw WHERE length(word) <= {max_chars}))
+  JOIN {vocab} v ON v.token = CASE WHEN a = 1 THEN '' ELSE '##' END || substr(word, a, n)
+  GROUP BY word, a
+),
+piece AS (
+  SELECT word, a, a + n AS b, v.id FROM longest JOIN {vocab} v ON v.token = CASE WHEN a = 1 THEN '' ELSE '##' END || substr(word, a, n)
+),
+walk AS (
+  SELECT word, 1::BIGINT AS a, []::INTEGER[] AS ids FROM dw WHERE length(word) <= {max_chars}
+  UNION ALL
+  SELECT walk.word, p.b, list_append(walk.ids, p.id) FROM walk JOIN piece p ON p.word = walk.word AND p.a = walk.a
+),
+enc AS (
+  SELECT dw.word, coalesce(k.ids, [{UNK_ID}]) AS ids FROM dw LEFT JOIN (SELECT word, ids FROM walk WHERE a = length(word) + 1) k ON k.word = dw.word
+)"""
