@@ -255,7 +255,7 @@ def _part_after(run: str, batches, merges) -> _Part:
     key = (run, sum(b.num_rows for b in batches), sum(pc.sum(b.column(0)).as_py() for b in batches))
     part = _PARTS.pop(key, None)
     if part is None or part.done > len(merges):
-        part = _Part([(s, c) for b in batches for s, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+        part = _Part([([w[0], *(CONTINUATION + ch for ch in w[1:])], c) for b in batches for w, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
     part.merge(merges)
     while len(_PARTS) >= _KEPT_PARTS:
         _PARTS.pop(next(iter(_PARTS)))
@@ -293,8 +293,7 @@ def train_vocabulary(
 
     Same result as merging one best pair at a time (rank: count desc, left asc,
     right asc), stopping at ``vocab_size`` tokens or when the best count falls
-    below ``min_frequency``. The words are split into symbols and written once; each
-    round, workers bring their partitions up to date, pair counts are summed over
+    below ``min_frequency``. The words are written once; each round, workers bring their partitions up to date, pair counts are summed over
     partitions, and the head of the ranking (``candidates_per_round`` rows) decides
     the next merges. The rest is ranked again in the next round, so the head's
     length changes the number of rounds only.
@@ -312,10 +311,12 @@ def train_vocabulary(
     known = {r.token for r in base_rows}
     size = len(base_rows)
     path = scratch_path(spark, "words")
-    # words of one symbol can never form a pair
-    words = word_symbols(counts, alpha).filter(F.size("symbols") > 1)
-    words.select(F.crc32(F.col("word").cast("binary")).alias("id"), "symbols", F.col("count").cast("long").alias("count")).repartition("id").write.parquet(path)
-    words = spark.read.schema("id long, symbols array<string>, count long").parquet(path)
+    # words as strings of their alphabet characters, which rounds pass on cheaply; one symbol can never form a pair
+    allowed = "".join(r["char"] for r in alpha.select("char").collect())
+    kept = F.array_join(F.filter(_chars(F.col("word")), lambda ch: F.contains(F.lit(allowed), ch)), "")
+    words = counts.select(F.crc32(F.col("word").cast("binary")).alias("id"), kept.alias("word"), F.col("count").cast("long").alias("count"))
+    words.filter(F.char_length("word") > 1).repartition("id").write.parquet(path)
+    words = spark.read.schema("id long, word string, count long").parquet(path)
     run = path.rsplit("/", 1)[-1]
     merges: list[tuple[str, str, str]] = []
     rounds = 0
