@@ -67,7 +67,7 @@ def test_shards_hold_rows_in_hash_order(spark, tmp_path):
     df = spark.createDataFrame([(d, r) for d in range(50) for r in range(4)], "doc_id long, row_no int")
     keyed = shuffle_key(assign_shard(df, 5))
     out = str(tmp_path / "shards")
-    K.write_shards(keyed, out, buckets_per_shard=3)
+    assert K.write_shards(keyed, out, num_shards=5, rows_per_file=14) == 3  # buckets of a shard
     back = spark.read.parquet(out)
     assert back.count() == 200
     counts = {r.shard: r.n for r in back.groupBy("shard").agg(F.count("*").alias("n")).collect()}
