@@ -90,3 +90,12 @@ def test_crop_mode_boundaries(spark):
     assert kept.filter("doc_id = 1").count() == 6
     exact = spark.createDataFrame([(0, 10), (1, 3)], "doc_id long, n long")
     assert {r.doc_id: r.file_no for r in crop_assignment(exact, 10).collect()} == {0: 0, 1: 1}
+
+
+def test_batches_need_one_full_batch(spark):
+    import pytest
+
+    df = spark.range(0, 9).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        S.batches(df, ["k"], 10, drop_last=True)
+    assert S.batches(df, ["k"], 10, drop_last=False).count() == 9

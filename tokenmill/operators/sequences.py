@@ -95,8 +95,8 @@ def batches(
 ) -> DataFrame:
     """Consecutive fixed-size batches in ``order_cols`` order (within ``group_cols``).
 
-    ``drop_last`` removes the short last batch of each group. Fewer rows than
-    one batch is an error in the reference helper; use ``check_batchable``.
+    ``drop_last`` removes the short last batch of each group. Without groups, fewer
+    rows than one batch are an error then, as nothing would be left.
     """
     if batch_size <= 0:
         raise ValueError("batch size must be positive")
@@ -105,13 +105,13 @@ def batches(
     if drop_last:
         group_cols = list(group_cols)
         if group_cols:
-            sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+            sizes = indexed.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
             indexed = indexed.join(sizes, group_cols)
             full = F.floor(F.col("__n") / batch_size) * batch_size
             indexed = indexed.filter(F.col("__row") < full).drop("__n")
         else:
-            n = df.agg(F.count(F.lit(1))).scalar()
-            indexed = indexed.filter(F.col("__row") < F.floor(n / batch_size) * batch_size)
+            n = check_batchable(indexed, batch_size)  # counts the written numbering, not the input again
+            indexed = indexed.filter(F.col("__row") < n // batch_size * batch_size)
     return indexed.drop("__row")
 
 

@@ -1214,9 +1214,7 @@ def q_evaluate_head(spark, sf):
     return r.select(_r6(F.col("mean_loss")).alias("mean_loss"), _r6(F.col("accuracy")).alias("accuracy"), "n")
 
 
-@register(
-    "op_write_crop",
-    "WITH RECURSIVE " + CORPUS[len("WITH "):] + """,
+CROPPED = "WITH RECURSIVE " + CORPUS[len("WITH "):] + """,
 docs AS (
   SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS b, sum(n) OVER (ORDER BY doc_id) AS e
   FROM (SELECT doc_id, len(ids) // 128 AS n FROM doc_ids) WHERE n > 0
@@ -1226,10 +1224,15 @@ bounds(k, start) AS (
   UNION ALL
   SELECT k + 1, (SELECT min(e) FROM docs WHERE e >= bounds.start + 1000) FROM bounds
   WHERE (SELECT min(e) FROM docs WHERE e >= bounds.start + 1000) IS NOT NULL
-)
+),
+kept AS (
 SELECT docs.doc_id, docs.n::BIGINT AS n, least(docs.n, bb.start + 1000 - docs.b)::BIGINT AS kept, bb.k::INTEGER AS file_no FROM docs
-JOIN (SELECT k, start, lead(start) OVER (ORDER BY k) AS nxt FROM bounds) bb ON docs.b >= bb.start AND (bb.nxt IS NULL OR docs.b < bb.nxt)""",
+JOIN (SELECT k, start, lead(start) OVER (ORDER BY k) AS nxt FROM bounds) bb ON docs.b >= bb.start AND (bb.nxt IS NULL OR docs.b < bb.nxt)
 )
+"""
+
+
+@register("op_write_crop", CROPPED + "SELECT doc_id, n, kept, file_no FROM kept")
 def q_write_crop(spark, sf):
     """Crop-mode numbered files of 1,000 rows: rows kept per document and its file."""
     from tokenmill.operators.crop import crop_assignment
@@ -1238,3 +1241,22 @@ def q_write_crop(spark, sf):
     enc = C.encoded_documents(_ctx(spark, sf))
     counts = enc.select("doc_id", F.size(chunks("ids", 128)).cast("long").alias("n"))
     return crop_assignment(counts, 1000)
+
+
+@register(
+    "op_write_crop_rows",
+    CROPPED + "SELECT seqs.doc_id, seqs.row_no, kept.file_no, md5(array_to_string(seqs.tokens, ',')) AS digest FROM seqs JOIN kept USING (doc_id) WHERE seqs.row_no < kept.kept",
+)
+def q_write_crop_rows(spark, sf):
+    """The rows that crop mode keeps, written to their numbered files and read back."""
+    from tokenmill.operators.crop import crop_assignment
+    from tokenmill.session import scratch_path
+    from tokenmill.sources.sinks import write_crop
+
+    path = scratch_path(spark, "sequences")
+    C.raw_sequences(_ctx(spark, sf)).select("doc_id", "row_no", "tokens").write.parquet(path)  # encoded once
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = scratch_path(spark, "cropped")
+    write_crop(rows, crop_assignment(counts, 1000), out)
+    return spark.read.parquet(out).select("doc_id", "row_no", "file_no", F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))

@@ -66,6 +66,14 @@ def write_shards(
     return buckets_per_shard
 
 
+def write_crop(rows: DataFrame, assignment: DataFrame, path: str, order_cols=("doc_id", "row_no"), mode="overwrite") -> None:
+    """Numbered files in crop mode: rows that do not fit into their document's file are left out."""
+    from tokenmill.operators.crop import crop_rows
+
+    kept = crop_rows(rows, assignment)
+    kept.repartition("file_no").sortWithinPartitions("file_no", *order_cols).write.mode(mode).partitionBy("file_no").parquet(path)
+
+
 def write_predictions(df: DataFrame, path: str, subset_col="subset", cols=("index", "prediction"), mode="overwrite") -> None:
     """``index<TAB>prediction`` without header, one folder per subset."""
     df.select(subset_col, *cols).write.mode(mode).partitionBy(subset_col).option("sep", "\t").option(
