@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tests.llm.common import odd_documents
+from tests.llm.common import odd_documents, rng
 from tokenmill.llm import quality, toxicity
 from tokenmill.llm.queries import op6_quality, op9_toxicity
 
@@ -36,6 +36,29 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_words_do_not_share_counts(spark):
+    """More words than 2^18: ordinary words seen in a toxic word's place stay ordinary, and the toxic one stays toxic."""
+    n, a = 300_000, 1000
+    texts = [" ".join(f"w{k}" for k in range(i * a, (i + 1) * a)) for i in range(n // a)]
+    bad = [f"zorp{i} slur zorq{i}" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(len(texts))] + [(len(texts) + i, 1) for i in range(100)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert all(r.predicted == (i >= len(texts)) for i, r in got.items())
+    assert len({got[i].score for i in range(len(texts))}) == 1  # none has evidence
+
+
+def test_number_of_pairs_is_estimated():
+    r = np.random.default_rng(3)
+    for n in (100, 50_000, 1_000_000):
+        key = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, n, dtype=np.uint64)
+        rest = key >> np.uint64(toxicity.REGISTERS)
+        rank = 64 - toxicity.REGISTERS + 1 - np.array([int(x).bit_length() for x in rest])
+        register = np.zeros(1 << toxicity.REGISTERS, np.int64)
+        np.maximum.at(register, (key & np.uint64((1 << toxicity.REGISTERS) - 1)).astype(np.int64), rank)
+        assert abs(toxicity.estimate(register) / n - 1) < 0.04
+
+
 def test_toxicity_folds(spark):
     import zlib
 
