@@ -48,6 +48,20 @@ def test_toxicity_words_do_not_share_counts(spark):
     assert len({got[i].score for i in range(len(texts))}) == 1  # none has evidence
 
 
+def test_toxicity_of_ordinary_words_together(spark):
+    """Words that are as common in ordinary texts make a toxic expression."""
+    r = rng(5)
+    fill = lambda: " ".join(f"v{r.randrange(300)}" for _ in range(8))
+    kinds = ["{} go {} home {}", "{} home {} go {}", "{} go home {}"]
+    texts = [kinds[i % 3].format(fill(), fill(), fill()) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert all(r.predicted == (i % 3 == 2) for i, r in got.items())
+    kept = toxicity.remove(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 3 != 2]
+
+
 def test_number_of_pairs_is_estimated():
     r = np.random.default_rng(3)
     for n in (100, 50_000, 1_000_000):
