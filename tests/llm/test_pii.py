@@ -65,6 +65,19 @@ def test_distinct_and_new(spark):
     assert len({(r.type, r.core) for r in got}) == 11 and any(r.core.startswith("[aws-") for r in got)
 
 
+def test_long_secrets(spark):
+    """The value of a secret is replaced to its end; values that differ late are two entities."""
+    head = "".join(chr(97 + 7 * i * i % 26) + str(i % 10) for i in range(450))
+    values = [head + "x" * 100, head + "y" * 100]
+    out = pii.pseudonymise(odd_documents(spark, [f"token={v} end" for v in values]), found="types").collect()
+    got = {r.doc_id: r.text for r in out}
+    new = [got[i][len("token=") : -len(" end")] for i in (0, 1)]
+    for v, n in zip(values, new):
+        assert _shape(v) == _shape(n) and not any(v[k : k + 12] in n for k in range(0, 988, 4))
+    assert new[0] != new[1] and new[0][:900] != new[1][:900]
+    assert all(list(r.types) == ["secret"] for r in out if r.doc_id in (0, 1))
+
+
 def test_empty_table(spark):
     assert pii.pseudonymise(odd_documents(spark, ["a@b.cd"]).limit(0)).count() == 0
 

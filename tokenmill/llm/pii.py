@@ -43,7 +43,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern, in order of preference at one place of a text.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,2}[=:]\s{0,2}["']?[^\s"'=:,;]{6,200}""",
+    "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,2}[=:]\s{0,2}["']?[^\s"'=:,;]{6,}+""",
     "aws": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -83,13 +83,13 @@ def _canonical() -> Column:
 
 
 def _bytes(what: str, n: str) -> str:
-    """Keyed hash as hex, long enough for ``n`` values of 4 digits."""
-    return f"array_join(transform(sequence(0, ({n}) DIV 32), b -> sha2(concat_ws('|', key, type, {what}, attempt, b), 512)), '')"
+    """Keyed hashes as hex, enough for ``n`` values of 4 digits, 32 in each."""
+    return f"transform(sequence(0, ({n}) DIV 32), b -> sha2(concat_ws('|', key, type, {what}, attempt, b), 512))"
 
 
 
 def _value(hex_: str, i: str) -> str:
-    return f"CAST(conv(substr({hex_}, 4 * ({i}) + 1, 4), 16, 10) AS INT)"
+    return f"CAST(conv(substr({hex_}[CAST(({i}) DIV 32 AS INT)], 4 * (({i}) % 32) + 1, 4), 16, 10) AS INT)"
 
 
 def _pick(letters: str, v: str) -> str:
@@ -127,7 +127,7 @@ def _core() -> dict[str, str]:
     """Expressions for the surrogate of a canonical form. They need key, type, canon and attempt."""
     fixed = """CASE type WHEN 'phone' THEN IF(canon LIKE '+1%' OR canon LIKE '+7%', 2, IF(canon LIKE '+%', 3, 0)) WHEN 'card' THEN 1 WHEN 'aws' THEN 4 WHEN 'iban' THEN 2 ELSE 0 END"""
     upto = "IF(type = 'email', length(canon) - length(substring_index(canon, '.', -1)), length(canon))"
-    chars = f"""array_join(transform(sequence(1, length(canon)), i -> IF(i <= fixed OR i > upto, substr(canon, i, 1), {_drawn('substr(canon, i, 1)', _value('hex', 'i'))})), '')"""
+    chars = f"""array_join(transform(split(canon, ''), (c, i) -> IF(i < fixed OR i >= upto, c, {_drawn('c', _value('hex', '(i + 1)'))})), '')"""
     octets = f"""array_join(transform(split(canon, '[.]'), (o, i) -> CAST(CASE length(o) WHEN 1 THEN {_value('hex', 'i')} % 10 WHEN 2 THEN 10 + {_value('hex', 'i')} % 90 ELSE 100 + {_value('hex', 'i')} % 156 END AS STRING)), '.')"""
     checked = f"""IF({_luhn('canon')} % 10 = 0, substr(drawn, 1, length(drawn) - 1) || CAST((10 - ({_luhn("(substr(drawn, 1, length(drawn) - 1) || '0')")}) % 10) % 10 AS STRING), drawn)"""
     words = f"""array_join(transform(split(canon, ' '), (w, i) -> CASE WHEN w RLIKE '\\\\p{{IsCyrillic}}' THEN {_name_word('cyrillic')} WHEN w RLIKE '\\\\p{{IsGreek}}' THEN {_name_word('greek')} ELSE {_name_word('latin')} END), ' ')"""
