@@ -1,5 +1,6 @@
 """Decontamination against all windows, one block of the benchmark or several."""
 
+import hashlib
 import re
 
 import pytest
@@ -47,6 +48,18 @@ def test_all_windows(spark, block):
     assert sorted(x.doc_id for x in clean.collect()) == sorted(i for i, (_, n, _) in want.items() if not n)
 
 
+@pytest.mark.parametrize("block", [1 << 25, 60])
+def test_repeated_items_count_once(spark, block):
+    """Two rows of one id, both found in a document; one block of the benchmark or several."""
+    rows = [("x", "one two three four five six seven eight nine ten"), ("x", "red green blue black white grey pink brown gold tan"), ("y", "one two three four five six seven eight nine ten"), ("x", "one two three four five six seven eight nine ten")]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    df = odd_documents(spark, [f"{rows[0][1]} and {rows[1][1]}"])
+    found = decontaminate.find(df, bench, block_bytes=block).where("doc_id = 0")
+    assert found.collect()[0]["items"] == ["x", "y"]
+    got = decontaminate.digest(found).collect()[0]
+    assert got.n_items == 2 and got.n_hit == 20 and got.items_sha256 == hashlib.sha256(b"x,y").hexdigest()
+
+
 def test_longest_match_and_empty_tables(spark):
     item = " ".join(f"w{i}" for i in range(40))
     df = odd_documents(spark, ["x " + item[10:120] + " y", item + " " + item])

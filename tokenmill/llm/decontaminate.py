@@ -145,7 +145,7 @@ def _rows(p: np.ndarray, t: np.ndarray, first: int, n_words: int, test: Windows)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(pos) != 1) | (np.diff(item) != 0) | (np.diff(shift) != 0))))
     last = np.append(new[1:], len(pos)) - 1
     longest = int((pos[last] + length[last] - pos[new]).max())
-    return spans, [test.names[i] for i in items], longest
+    return spans, sorted({test.names[i] for i in items}), longest
 
 
 def _search(test: Windows, chained: bool):
