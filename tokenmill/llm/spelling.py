@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.base import arrow_stage, stored
+from tokenmill.llm.base import arrow_stage, lists, stored
 from tokenmill.llm.suffixes import Hashed
 from tokenmill.llm.words import _powers, buffers, mix64, slices
 from tokenmill.plans.numbering import index_by_order
@@ -86,6 +86,9 @@ def _crc(state: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray)
 def _slice_words(ids: list, raw: np.ndarray, off: np.ndarray, least: int):
     """Bytes, start and end of words (damaged ones apart, as bytes) of a few texts; too short ones left out."""
     low, start, end = _runs(raw, off)
+    leads = np.concatenate(([0], np.cumsum(low == 0xC3, dtype=np.int32)))
+    long = end - start - (leads[end] - leads[start]) >= least
+    start, end = start[long], end[long]
     if not len(start):
         return low, start, end, []
     seed = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids], np.uint32)
@@ -97,9 +100,7 @@ def _slice_words(ids: list, raw: np.ndarray, off: np.ndarray, least: int):
         k = int(h) % len(word)
         if len(word) > least:
             damaged.append((word[:k] + word[k + 1 :]).encode())
-    leads = np.concatenate(([0], np.cumsum(low == 0xC3)))
-    keep = ~hit & (end - start - (leads[end] - leads[start]) >= least)
-    return low, start[keep], end[keep], damaged
+    return low, start[~hit], end[~hit], damaged
 
 
 def _counted(least: int):
@@ -141,16 +142,24 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 # ---- the trie
 
 
+def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all prefixes of each word, the empty one first, and how many each word has."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(_U) + _U(1)
+    start = np.cumsum(size) - size
+    place = np.arange(len(c)) - np.repeat(start, size)
+    c = mix64(c * _U(0x9E3779B97F4A7C15)) * _powers(0xDA942042E4DD58B5, int(size.max(initial=0)) + 1)[place]
+    total = np.concatenate((np.zeros(1, _U), np.cumsum(c)))
+    n = size + 1
+    first = np.repeat(start, n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix64(total[first + step] - total[first] + step.astype(_U) * _U(0xD1342543DE82EF95)).view(np.int64), n
+
+
 def _prefix_hashes(b: pa.RecordBatch):
-    """Of each row's word: the hashes of its prefixes, the empty one first; the last one is the word's own."""
-    side, words = b.column(0), b.column(1)
-    out = []
-    for w in words.to_pylist():
-        c = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(_U) + _U(1)
-        p = np.cumsum(mix64(c * _U(0x9E3779B97F4A7C15)) * _powers(0xDA942042E4DD58B5, len(c)))
-        out.append(mix64(np.concatenate((np.zeros(1, _U), p)) + np.arange(len(c) + 1, dtype=_U) * _U(0xD1342543DE82EF95)).view(np.int64))
-    own = pa.array([x[-1] for x in out], pa.int64())
-    yield pa.RecordBatch.from_arrays([side, words, own, pa.array(out, pa.list_(pa.int64()))], names=["side", "word", "wid", "nodes"])
+    """Of each row's word: the hashes of its prefixes; the last one is the word's own."""
+    h, n = _hashes(b.column(1).to_pylist())
+    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h[np.cumsum(n) - 1]), lists(h, n, pa.int64())], names=["side", "word", "wid", "nodes"])
 
 
 def _both_ways(words: DataFrame) -> DataFrame:
@@ -169,30 +178,31 @@ def trie(words: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
     """
     sides = _both_ways(words)
     spelt = stored(sides.select("side", "word", "wid"), "trie-words")
-    order = stored(index_by_order(spelt, ["side", "word"], out="at"), "trie-order")
+    order = index_by_order(spelt.select("side", "word"), ["side", "word"], out="at")
     nxt = order.select((F.col("at") - 1).alias("at"), F.col("side").alias("s2"), F.col("word").alias("w2"))
     # where a word and its neighbour in order part, a node stands
-    common = F.arrow_udf(_common, "int")
-    parts = order.join(nxt, "at").where("side = s2").select("side", "wid", common("word", "w2").alias("pos"))
+    parting = F.arrow_udf(_parting, "long")
+    branch = order.join(nxt, "at").where("side = s2").select("side", parting("word", "w2").alias("node"), F.lit(False).alias("ends"))
+    nodes = spelt.select("side", F.col("wid").alias("node"), F.lit(True).alias("ends")).unionByName(branch).groupBy("side", "node").agg(F.bool_or("ends").alias("ends"))
     n = F.size("nodes") - 1
     half = F.when(F.col("side") == 0, F.floor(n / 2)).otherwise(n - F.floor(n / 2)).cast("int")
-    paths = sides.select("side", "wid", half.alias("half"), n.alias("size"), F.posexplode("nodes").alias("pos", "node")).where(F.col("pos") >= low)
-    paths = stored(paths.select("side", "wid", "half", "pos", "node", (F.col("pos") == F.col("size")).alias("ends")), "trie-paths")
-    branch = paths.join(parts, ["side", "wid", "pos"], "left_semi").select("side", "node", "ends")
-    nodes = paths.where("ends").select("side", "node", "ends").unionByName(branch).groupBy("side", "node").agg(F.bool_or("ends").alias("ends"))
-    explicit = stored(paths.drop("ends").join(nodes, ["side", "node"]), "trie-nodes")
+    paths = sides.select("side", "wid", half.alias("half"), F.posexplode("nodes").alias("pos", "node")).where(F.col("pos") >= low)
+    explicit = stored(paths.join(nodes, ["side", "node"]), "trie-nodes")
     w = Window.partitionBy("side", "wid").orderBy("pos")
     steps = explicit.select("side", "wid", "node", "pos", F.lead("pos").over(w).alias("pos2"), F.lead("node").over(w).alias("child"), F.lead("ends").over(w).alias("ends")).where("child IS NOT NULL")
     edges = steps.groupBy("side", "node", "child").agg(F.min(F.struct("wid", "pos", "pos2")).alias("by"), F.bool_or("ends").alias("ends"))
     edges = edges.select("side", "node", "child", "ends", "by.wid", "by.pos", "by.pos2").join(spelt, ["side", "wid"])
     edges = edges.select("side", "node", "child", "ends", F.expr("substring(word, pos + 1, pos2 - pos)").alias("label"))
-    edges = stored(edges.withColumn("first", F.substring("label", 1, 1)), "trie-edges")
+    edges = stored(edges.withColumns({"first": F.substring("label", 1, 1), "bit": F.expr("shiftleft(1L, ascii(label) % 63)")}), "trie-edges")
+    # which characters may follow behind a child: most states that cannot go on are never made
+    follow = edges.groupBy("side", F.col("node").alias("child")).agg(F.bit_or("bit").alias("follow"))
+    edges = stored(edges.drop("bit").join(follow, ["side", "child"], "left").withColumn("follow", F.coalesce("follow", F.lit(0).cast("long"))), "trie-follow")
     start = explicit.where("pos >= half").groupBy("side", "wid").agg(F.min(F.struct("pos", "node", "ends")).alias("s"))
     return edges, start.join(spelt, ["side", "wid"]).select("side", "word", "s.pos", "s.node", "s.ends")
 
 
-def _common(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Length of the common prefix of two words, in characters."""
+def _parting(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Hash of the longest common prefix of two words."""
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
         n = min(len(x), len(y))
@@ -202,8 +212,9 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
         k = min(k, n)
         while k < n and x[k] == y[k]:
             k += 1
-        out.append(k)
-    return pa.array(out, pa.int32())
+        out.append(x[:k])
+    h, n = _hashes(out)
+    return pa.array(h[np.cumsum(n) - 1])
 
 
 # ---- the frontier
@@ -211,20 +222,21 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """All states one edge further."""
-    e = edges.select("side", "node", F.col("child"), "label", "first", F.col("ends").alias("ends2"))
-    j = states.where("pos < char_length(word)").join(e, ["side", "node"])
+    e = edges.select("side", "node", "child", "label", "first", F.col("ends").alias("ends2"), "follow").hint("shuffle_hash")
     n = "char_length(label)"
-    own = f"substring(word, pos + 1, {n}) = label"
+    # a target is behind the child, or it is the child and a word ends there
+    may = lambda pos: f"IF({pos} = char_length(word), ends2, follow & shiftleft(1L, ascii(substring(word, {pos} + 1, 1)) % 63) <> 0)"
+    own = f"substring(word, pos + 1, {n}) = label AND (edits = 0 OR {may(f'pos + {n}')})"
     # a character replaced by a larger one; a character skipped, the last one of its kind in a row
-    other = f"substring(word, pos + 2, {n} - 1) = substring(label, 2)" " AND first > substring(word, pos + 1, 1)"
-    skip = f"first <> substring(word, pos + 1, 1) AND substring(word, pos + 2, {n}) = label"
-    moves = F.expr(f"""filter(array(
+    other = f"edits = 0 AND first > substring(word, pos + 1, 1) AND substring(word, pos + 2, {n} - 1) = substring(label, 2) AND pos + {n} <= char_length(word) AND {may(f'pos + {n}')}"
+    skip = f"edits = 0 AND first <> substring(word, pos + 1, 1) AND substring(word, pos + 2, {n}) = label AND {may(f'pos + 1 + {n}')}"
+    moves = F.expr(f"""array(
         IF({own}, named_struct('pos', pos + {n}, 'edits', edits), NULL),
-        IF(edits = 0 AND {other}, named_struct('pos', pos + {n}, 'edits', 1), NULL),
-        IF(edits = 0 AND {skip}, named_struct('pos', pos + 1 + {n}, 'edits', 1), NULL)), x -> x IS NOT NULL)""")
-    out = j.select("side", "word", F.explode(moves).alias("m"), F.col("child").alias("node"), F.col("ends2").alias("ends"))
-    # a state beyond its word, or with too little left, has no target
-    return out.select("side", "word", F.col("m.pos").alias("pos"), "node", "ends", F.col("m.edits").alias("edits")).where("pos <= char_length(word)")
+        IF({other}, named_struct('pos', pos + {n}, 'edits', 1), NULL),
+        IF({skip}, named_struct('pos', pos + 1 + {n}, 'edits', 1), NULL))""")
+    out = states.where("pos < char_length(word)").join(e, ["side", "node"]).where(f"({own}) OR ({other}) OR ({skip})")
+    out = out.select("side", "word", F.explode(moves).alias("m"), F.col("child").alias("node"), F.col("ends2").alias("ends")).where("m IS NOT NULL")
+    return out.select("side", "word", F.col("m.pos").alias("pos"), "node", "ends", F.col("m.edits").alias("edits"))
 
 
 def near_pairs(words: DataFrame, least_length: int = 0) -> DataFrame:
@@ -246,7 +258,7 @@ def near_pairs(words: DataFrame, least_length: int = 0) -> DataFrame:
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    pairs = hits.distinct().join(ends, ["side", "node"]).select(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("a"), "b")
+    pairs = hits.join(ends, ["side", "node"]).select(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("a"), "b")
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
