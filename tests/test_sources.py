@@ -91,3 +91,50 @@ def test_predictions_and_vocab_round_trip(spark, tmp_path):
     assert content == "0\tneutral\n"
     back = K.read_predictions(spark, str(tmp_path / "pred"))
     assert back.count() == 2
+
+
+def test_packed_binary_round_trip_by_byte_ranges(spark, tmp_path, monkeypatch):
+    rows = [(d, r, [d, r, 65535 - d, 1]) for d in range(40) for r in range(d % 5)]
+    df = spark.createDataFrame(rows, "doc_id long, row_no int, row array<long>").repartition(7)
+    out = str(tmp_path / "packed")
+    K.write_packed_binary(df, out, rows_per_file=11, row_len=4)
+    names = sorted(os.listdir(out))
+    assert names == sorted(f"{i}.npy" for i in range(-(-len(rows) // 11)))
+    flat = np.concatenate([np.fromfile(f"{out}/{i}.npy", "<u2").reshape(-1, 4) for i in range(len(names))])
+    want = [r for _, _, r in sorted(rows)]
+    assert flat[: len(rows)].tolist() == want and not flat[len(rows) :].any() and len(flat) % 11 == 0
+    back = [r.row for r in R.scan_packed_binary(spark, out, 4).collect() if any(r.row)]
+    assert sorted(back) == sorted(want)
+    from tokenmill.sources import packed_rows
+
+    monkeypatch.setattr(packed_rows, "RANGE_BYTES", 24)
+    parts = packed_rows.Reader(out, 4, "<u2").partitions()
+    assert len(parts) == 4 * len(names) and max(p.end - p.start for p in parts) == 24
+
+
+def test_records_with_line_breaks_across_many_splits(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    r = random.Random(4)
+    bits = ["a b", 'say "hi"', "two\nlines", "tab\there", "crlf\r\nin it", "", "x" * 30, '"', "\n\n", "ends\n"]
+    rows = [(i, r.choice(bits) + r.choice(bits), r.choice(bits), r.choice(["neutral", "NA"])) for i in range(300)]
+    buf = io.StringIO()
+    w = csv.writer(buf, delimiter="\t", lineterminator="\n")
+    w.writerow(["index", "sentence1", "sentence2", "gold_label"])
+    w.writerows(rows)
+    buf.write('300\tstray " quote inside\tit is 5" long\tneutral\n')
+    (tmp_path / "a.tsv").write_bytes(buf.getvalue().encode())
+    rows.append((300, 'stray " quote inside', 'it is 5" long', "neutral"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("70", "977", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = R.scan_pair_tsv(spark, str(tmp_path / "a.tsv"), ("index", "sentence1", "sentence2", "gold_label"), default_na=False, types={"index": "int"})
+            got = sorted(tuple(x) for x in df.collect())
+            assert [(a, (b or ""), (c or ""), d) for a, b, c, d in got] == sorted(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,6 +1,8 @@
 """Normalise, pre-tokenise, subword-encode and decode: round trips as in the reference tests,
 plus equality with the public tokenizers package's normaliser / pre-tokeniser where installed."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,21 +11,30 @@ from tokenmill.operators import vocab as V
 from tokenmill.operators.encode import Encoder, pair_truncation_lengths
 
 LONG_WORD = "ab" * 150
-CASES = [
-    ("", ""),
-    ("\t many   gaps \n here ", "many gaps here"),
-    ("MiXed CASE", "mixed case"),
-    ("stops, and marks!", "stops, and marks!"),
-    ("an 龘 odd sign", "an odd sign"),
-    ("year 1984 here", "year 1 9 8 4 here"),
-    (LONG_WORD, ""),
-]
+WORDS = "many gaps here mixed case stops , and marks ! an odd sign year 1 9 8 4"
+
+
+def _texts():
+    """Random texts of words, case, blanks, digits, signs and characters that the vocabulary lacks."""
+    r = random.Random(11)
+    vocabulary = [w for w in WORDS.split() if w.isalpha()]
+    for _ in range(60):
+        parts, want = [], ""
+        for _ in range(r.randrange(6)):
+            word = r.choice(vocabulary)
+            kind = r.randrange(5)
+            parts.append({0: word, 1: word.upper(), 2: word + ",", 3: word + "!", 4: r.choice(["龘", LONG_WORD, "19"])}[kind])
+            if kind < 4:
+                want += (" " if want else "") + word + {2: ",", 3: "!"}.get(kind, "")
+            elif parts[-1] == "19":
+                want += (" " if want else "") + "1 9"
+        yield "".join(r.choice([" ", "  ", "\t", "\n "]) + p for p in parts) + r.choice(["", " "]), want
 
 
 @pytest.fixture(scope="module")
 def encoder(spark):
     # Vocabulary built from a small corpus covering the words (the odd character excluded).
-    corpus = ["many gaps here mixed case stops , and marks ! an odd sign year 1 9 8 4"] * 3
+    corpus = [WORDS] * 3
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
     counts = V.word_counts(docs)
     vocab = V.Vocab.from_frame(V.word_vocabulary(counts, 200, 2))
@@ -31,9 +42,33 @@ def encoder(spark):
 
 
 def test_round_trips(spark, encoder):
-    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(CASES)], "i int, text string")
+    cases = list(_texts())
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, text string")
     out = df.select("i", encoder.decode(encoder.encode_plain("text")).alias("back")).orderBy("i").collect()
-    assert [r.back for r in out] == [e for _, e in CASES]
+    assert [r.back for r in out] == [e for _, e in cases]
+
+
+def test_decode_of_a_large_vocabulary(spark):
+    from tokenmill.operators.encode import decode
+
+    tokens = tuple([*V.SPECIAL_TOKENS, *(f"##p{i}" if i % 3 == 0 else f"w{i}" for i in range(65_531))])
+    v = V.Vocab(tokens)
+    rows = [([4, 65_534, 7], "##p0 w65530p3"), ([0, 5, 1], "w1"), ([], ""), (None, None), ([65_533, 65_533], "##p65529p65529")]
+    df = spark.createDataFrame(rows, "ids array<int>, want string")
+    plan = df.select("want", decode("ids", v).alias("text"))
+    assert {(r.text, r.want) for r in plan.collect()} == {(w, w) for _, w in rows}
+    assert len(plan._jdf.queryExecution().toString()) < 20_000
+
+
+def test_lower_case_by_character(spark):
+    df = spark.createDataFrame([("ΟΔΟΣ ΣΑΣ",)], "text string")
+    assert df.select(tx.normalize(F.col("text")).alias("t")).first().t == "οδοσ σασ"
+
+
+def test_decode_refuses_unknown_ids(spark, encoder):
+    df = spark.createDataFrame([([encoder.vocab.size],)], "ids array<int>")
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        df.select(encoder.decode("ids")).collect()
 
 
 def test_long_word_is_one_unknown(spark, encoder):
@@ -145,3 +180,18 @@ def test_fix_text_builtin_steps(spark):
     df = spark.createDataFrame([(raw,)], "t string")
     out = df.select(tx.fix_text("t").alias("f")).first().f
     assert out == "ared\nline'quote' \"dq\"bell & fine"
+
+
+def test_sequences_that_lost_bytes():
+    right = "«naïve» ½ – „Æther“ … 😀 voilà?"
+    misread = "".join(bytes([b]).decode("cp1252", "ignore") or "\ufffd" for b in right.encode())
+    got = tx.repair_encoding(misread)
+    # of the curved quotes and the emoji a byte has no character in the code page
+    assert got.replace("\ufffd", "") == "".join(c for c in right if all(bytes([b]).decode("cp1252", "ignore") for b in c.encode()))
+    assert tx.repair_encoding("quote â€\ufffd end") == "quote \ufffd end"
+    assert tx.repair_encoding("quote â€\x1a end") == "quote \ufffd end"
+    assert tx.repair_encoding("space Â? end") == "space \ufffd end"
+    assert tx.repair_encoding("dash â?“ end") == "dash \ufffd end"
+    assert tx.repair_encoding("smile ðŸ?€ end") == "smile \ufffd end"
+    for whole in ("voilà? oui", "déjà vu??", "où est-il? là?", "plain \ufffd stays", "é?? what"):
+        assert tx.repair_encoding(whole) == whole

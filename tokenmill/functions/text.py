@@ -81,8 +81,8 @@ def normalize_one(s):
     if s.isascii():
         return s.lower()
     d = unicodedata.normalize("NFKD", s)
-    d = "".join(ch for ch in d if unicodedata.category(ch) != "Mn")
-    return d.lower()
+    # each character by itself: the form of a letter does not depend on its place in the word
+    return "".join(ch.lower() for ch in d if unicodedata.category(ch) != "Mn")
 
 
 @F.pandas_udf(T.StringType())
@@ -115,10 +115,18 @@ def _damage():
     # one UTF-8 sequence of two to four bytes, as the characters its bytes were misread as
     lead = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in _WESTERN.items() if lo <= b <= hi) + "]"
     tail = lead(0x80, 0xBF)
-    return re.compile(f"{lead(0xC2, 0xDF)}{tail}|{lead(0xE0, 0xEF)}{tail}{{2}}|{lead(0xF0, 0xF4)}{tail}{{3}}")
+    whole = f"{lead(0xC2, 0xDF)}{tail}|{lead(0xE0, 0xEF)}{tail}{{2}}|{lead(0xF0, 0xF4)}{tail}{{3}}"
+    # the same with bytes lost on the way: U+FFFD or a substitute character, or a question mark beside a byte that is still there
+    gone, left = "[\ufffd\x1a]", f"(?:{tail}|[\ufffd\x1a])"
+    some = f"(?:{left}|[?])"
+    ends = lambda n: f"(?=.{{0,{n - 1}}}[\ufffd\x1a?])(?=[?]{{0,{n - 1}}}{left}){some}{{{n}}}"
+    lossy = f"{lead(0xC2, 0xDF)}{gone}|{lead(0xC2, 0xC3)}[?]|{lead(0xE0, 0xEF)}{ends(2)}|{lead(0xF0, 0xF4)}{ends(3)}"
+    return re.compile(f"(?P<whole>{whole})|(?P<lossy>{lossy})", re.DOTALL)
 
 
 def _reread(m) -> str:
+    if m["lossy"]:
+        return "\ufffd"
     try:
         return bytes(_WESTERN[c] for c in m.group()).decode("utf-8")
     except UnicodeDecodeError:
@@ -128,7 +136,8 @@ def _reread(m) -> str:
 def repair_encoding(s: str) -> str:
     """Misread UTF-8 sequences become the characters they stood for, each on its own; the rest stays.
 
-    Text misread twice is repaired twice. U+FFFD marks a loss that cannot be undone and stays.
+    Text misread twice is repaired twice. A sequence that has lost bytes (U+FFFD, a substitute
+    character or a question mark stands for them) becomes one U+FFFD, as what it stood for is unknown.
     """
     for _ in range(3):
         t = _damage().sub(_reread, s)

@@ -8,10 +8,13 @@ pair layout, truncation, padding and decoding are built-in array functions.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,28 +193,60 @@ def pad_to_longest(df: DataFrame, ids_col: str, pad_id: int, out: str | None = N
 NO_SPACE_BEFORE = [".", "?", "!", ",", "n't", "'m", "'s", "'ve", "'re"]
 
 
+def _decoder(tokens: tuple[str, ...], special_ids):
+    """Arrow form of ``decode`` over a broadcast vocabulary: two entries a token, inside a text and at its start."""
+    inner = []
+    for t in tokens:
+        if t.startswith(CONTINUATION):
+            inner.append(t[len(CONTINUATION) :])
+        else:
+            inner.append(t if t.startswith(tuple(NO_SPACE_BEFORE)) else " " + t)
+    table = pa.array([*inner, *tokens], pa.large_string())
+    n = len(tokens)
+    keep = np.ones(n, bool)
+    keep[list(special_ids)] = False
+
+    def run(ids):
+        lists = ids.cast(pa.large_list(pa.int64()))
+        valid = lists.is_valid().to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)
+        if (known & ((flat < 0) | (flat >= n))).any():
+            raise ValueError("an id is not in the vocabulary")
+        some = known & keep[np.where(known, flat, 0)]
+        flat, row = flat[some], row[some]
+        first = np.ones(len(row), bool)
+        first[1:] = row[1:] != row[:-1]
+        pieces = table.take(pa.array(flat + n * first))
+        ends = np.searchsorted(row, np.arange(len(size) + 1))
+        # the pieces of a row lie side by side, so its text is a range of their buffer
+        bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)[ends]
+        text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pieces.buffers()[2]).cast(pa.string())
+        return pc.if_else(pa.array(valid), text, pa.scalar(None, pa.string()))
+
+    return run
+
+
 def decode(ids, vocab: Vocab, skip_special_tokens: bool = True) -> Column:
-    """ids -> text: ``##`` pieces glued, other tokens space-separated, no space before . ? ! , and contractions."""
-    ids = _c(ids)
-    table = F.array(*[F.lit(t) for t in vocab.tokens])
-    if skip_special_tokens:
-        special = set(vocab.special_ids)
-        ids = F.filter(ids, lambda i: ~i.isin(*special)) if special else ids
-    tokens = F.transform(ids, lambda i: F.element_at(table, i + 1))
-
-    def piece(tok, i):
-        starts = None
-        for p in NO_SPACE_BEFORE:
-            c = tok.startswith(p)
-            starts = c if starts is None else (starts | c)
-        return (
-            F.when(i == 0, tok)
-            .when(tok.startswith(CONTINUATION), F.substring(tok, len(CONTINUATION) + 1, 1 << 30))
-            .when(starts, tok)
-            .otherwise(F.concat(F.lit(" "), tok))
-        )
-
-    return F.array_join(F.transform(tokens, piece), "")
+    """ids -> text: ``##`` pieces glued, other tokens space-separated, no space before . ? ! , and contractions.
+
+    The vocabulary travels as one broadcast and ids are gathered from it in Arrow buffers, so
+    the plan has the same size for any vocabulary. An id outside it is an error.
+    """
+    spark = SparkSession.getActiveSession()
+    special = tuple(vocab.special_ids) if skip_special_tokens else ()
+    sent = spark.sparkContext.broadcast((vocab.tokens, special))
+
+    @F.arrow_udf("string")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = _decoder(*sent.value)
+        for b in batches:
+            yield run(b)
+
+    return text_of(_c(ids))
 
 
 def highlight_mask(text, mask_token: str = "[MASK]") -> Column:

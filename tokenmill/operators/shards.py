@@ -45,22 +45,44 @@ def shuffle_rows(df: DataFrame, key_cols, seed: str = "rows", out: str = "rank")
     return index_by_order(keyed, ["__h", *key_cols], out=out).drop("__h")
 
 
+def nth_smallest(df: DataFrame, key_cols, n: int, seed: str):
+    """Condition that holds for exactly the ``n`` rows that come first by keyed hash, then key.
+
+    Selection by radix: counts by the upper 16 bits of the hash (at most 65,536 rows reach
+    the driver) name the bucket that holds the n-th row, counts by the lower 16 bits inside it
+    the hash value. Only rows of that one value are ordered by their keys.
+    """
+    x = (uniform(seed, *key_cols) * (1 << 32)).cast("long")
+    high, low = F.shiftright(x, 16), x.bitwiseAND(F.lit(0xFFFF))
+    rest, found = n, []
+    for part, inside in ((high, F.lit(True)), (low, None)):
+        within = high == found[0] if inside is None else inside
+        counts = df.where(within).groupBy(part.alias("b")).count().toArrow()
+        for b, c in sorted(zip(counts["b"].to_pylist(), counts["count"].to_pylist())):
+            if rest <= c:
+                found.append(b)
+                break
+            rest -= c
+        else:
+            return F.lit(True)  # fewer than n rows
+    value = (found[0] << 16) + found[1]
+    key = F.struct(*key_cols)
+    last = df.where(x == value).select(key.alias("k")).orderBy("k").limit(rest).agg(F.max("k")).scalar()
+    return (x < value) | ((x == value) & (key <= last))
+
+
 def validation_split(df: DataFrame, key_cols, share: float | None = None, n: int | None = None, seed: str = "split", out="is_validation") -> DataFrame:
     """Marks rows to hold out by a keyed hash: a ``share`` of them, or exactly ``n``.
 
-    A share needs no exchange. For ``n`` rows the n-th smallest hash is found by a
-    distributed top-n, and rows are compared with it.
+    A share needs no exchange; for ``n`` rows see ``nth_smallest``.
     """
     if (share is None) == (n is None):
         raise ValueError("give either a share or a number of rows")
-    h = uniform(seed, *key_cols)
     if n is None:
-        return df.withColumn(out, h < share)
+        return df.withColumn(out, uniform(seed, *key_cols) < share)
     if n <= 0:
         return df.withColumn(out, F.lit(False))
-    key = F.struct(h.alias("h"), *key_cols)
-    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k")).scalar()
-    return df.withColumn(out, key <= last)
+    return df.withColumn(out, nth_smallest(df, key_cols, n, seed))
 
 
 def sample_batch(batched: DataFrame, files: DataFrame, shard_col="shard") -> DataFrame:

@@ -139,3 +139,44 @@ def prefix_sum(
     return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")).drop(
         "__pid", "__local", "__base"
     )
+
+
+def nearest(queries: DataFrame, at: str, points: DataFrame, value: str, out: str, forward: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Each query row with ``out``: the smallest point not below ``at`` (the largest not above it, unless ``forward``), or null.
+
+    One sorted pass: queries and points are range-partitioned together, every partition
+    carries the last point it has seen along its rows, and a query that no point of its own
+    partition answers takes the nearest one of the partitions before it (a table of one row
+    per partition, which is broadcast). ``at`` and ``value`` are longs; points need not be unique.
+    """
+    if num_partitions is None:
+        num_partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sign = -1 if forward else 1  # the pass runs downwards for the next point
+    row = F.struct(*queries.columns)
+    q = queries.select((F.lit(sign) * F.col(at)).alias("__v"), F.lit(1).alias("__kind"), row.alias("__row"))
+    p = points.select((F.lit(sign) * F.col(value)).alias("__v"), F.lit(0).alias("__kind"), F.lit(None).cast(q.schema["__row"].dataType).alias("__row")).distinct()
+    both = q.unionByName(p).repartitionByRange(num_partitions, "__v", "__kind").sortWithinPartitions("__v", "__kind")
+    schema = T.StructType([*both.schema.fields, T.StructField("__found", T.LongType()), T.StructField("__pid", T.IntegerType())])
+
+    def carried(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        pid, last = TaskContext.get().partitionId(), None
+        for b in batches:
+            v, kind = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            seen = pd.Series(v, dtype="Int64").where(kind == 0).ffill()
+            if last is not None:
+                seen = seen.fillna(last)
+            if len(seen) and not pd.isna(seen.iloc[-1]):
+                last = int(seen.iloc[-1])
+            found = pa.Array.from_pandas(seen).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found, pa.array([pid] * b.num_rows, pa.int32())], names=[*b.schema.names, "__found", "__pid"])
+
+    local = _written(both.mapInArrow(carried, schema))
+    lasts = local.where("__kind = 0").groupBy("__pid").agg(F.max("__v").alias("__last"))
+    pids = local.select("__pid").distinct().join(lasts, "__pid", "left")  # one row per partition
+    w = Window.partitionBy(F.lit(0)).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = pids.select("__pid", F.max("__last").over(w).alias("__before"))
+    joined = local.where("__kind = 1").join(F.broadcast(before), "__pid")
+    return joined.select("__row.*", (F.lit(sign) * F.coalesce("__found", "__before")).alias(out))

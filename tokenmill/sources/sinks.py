@@ -32,6 +32,20 @@ def write_packed(df: DataFrame, path: str, rows_per_file: int, order_cols=("doc_
     )
 
 
+def write_packed_binary(df: DataFrame, path: str, rows_per_file: int, row_len: int, dtype: str = "<u2", order_cols=("doc_id", "row_no")) -> None:
+    """Headerless fixed-width files ``<n>.npy`` of ``rows_per_file`` rows each, in document order; the last one is filled up with zeros.
+
+    ``df`` has a ``row`` of numbers. Every file is written by one task as a whole and gets its name
+    when the job commits, so a lost or repeated task leaves no half file.
+    """
+    from tokenmill.sources.packed_rows import PackedRows
+
+    df.sparkSession.dataSource.register(PackedRows)
+    numbered = number_files(df.select(*order_cols, "row"), rows_per_file, order_cols)
+    files = numbered.repartition("file_no").sortWithinPartitions("file_no", "global_row").select("file_no", F.col("row").cast("array<long>").alias("row"))
+    files.write.format(PackedRows.name()).options(row_len=row_len, dtype=dtype, rows_per_file=rows_per_file).mode("append").save(path)
+
+
 def write_shards(
     df: DataFrame,
     path: str,
