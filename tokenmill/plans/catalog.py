@@ -1158,6 +1158,61 @@ def q_stream_pack(spark, sf):
     return stream_pack(spark, sf, _ctx(spark, sf))
 
 
+@register(
+    "op_stream_files",
+    CORPUS + """
+SELECT doc_id, row_no, file_no, place, md5(array_to_string(tokens, ',')) AS digest FROM (
+  SELECT *, (n - 1) // 1000 AS file_no, (n - 1) % 1000 AS place FROM (SELECT *, row_number() OVER (ORDER BY doc_id, row_no) AS n FROM seqs))""",
+)
+def q_stream_files(spark, sf):
+    """Numbered files of 1,000 rows kept over a stream that arrives in three parts and is started anew for each."""
+    from tokenmill.streaming.pack import stream_files
+
+    rows = stream_files(spark, sf, _ctx(spark, sf), 1000)
+    return rows.select("doc_id", "row_no", F.col("file_no").cast("long").alias("file_no"), F.col("place").cast("long").alias("place"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+@register(
+    "op_scan_packed_binary",
+    CORPUS + """
+SELECT (n - 1) // 1000 AS file_no, md5(array_to_string(list_concat([(doc_id >> 16)::INTEGER, (doc_id & 65535)::INTEGER, row_no::INTEGER], tokens), ',')) AS digest
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id, row_no) AS n FROM seqs)""",
+)
+def q_scan_packed_binary(spark, sf):
+    """All raw sequences as headerless 16-bit files of 1,000 rows, read back by byte ranges; padding left out."""
+    from tokenmill.operators.checks import is_zero_row
+    from tokenmill.operators.sequences import packed_row
+    from tokenmill.session import scratch_path
+    from tokenmill.sources.packed_rows import PackedRows
+    from tokenmill.sources.sinks import write_packed_binary
+
+    raw = C.raw_sequences(_ctx(spark, sf))
+    path = scratch_path(spark, "packed-binary")
+    write_packed_binary(raw.select("doc_id", "row_no", packed_row(raw).alias("row")), path, 1000, 131)
+    back = spark.read.format(PackedRows.name()).options(row_len=131).load(path).where(~is_zero_row("row"))
+    return back.select(F.col("file_no").cast("long").alias("file_no"), F.md5(F.array_join(F.col("row").cast("array<string>"), ",")).alias("digest"))
+
+
+@register(
+    "op_scan_pair_tsv_breaks",
+    "WITH " + O.DOC_PAIRS + """
+SELECT doc_id, pair_no, sentence1 || chr(10) || '"' || chr(9) || coalesce(sentence2, '') || chr(10) AS sentence1, coalesce(sentence2, '') AS sentence2 FROM doc_pairs WHERE sentence1 IS NOT NULL""",
+)
+def q_scan_pair_tsv_breaks(spark, sf):
+    """Pairs whose sentences hold line breaks, tabs and quotes, written as quoted TSV and read back by splits of any size."""
+    from tokenmill.operators.pairs import document_pairs
+    from tokenmill.session import scratch_path
+    from tokenmill.sources.readers import scan_pair_tsv
+    from tokenmill.sources.sinks import write_tsv
+
+    path = scratch_path(spark, "pairs-breaks")
+    p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")).where("sentence1 IS NOT NULL")
+    two = F.coalesce("sentence2", F.lit(""))
+    write_tsv(p.select("doc_id", "pair_no", F.concat("sentence1", F.lit('\n"\t'), two, F.lit("\n")).alias("sentence1"), two.alias("sentence2")), path)
+    back = scan_pair_tsv(spark, path, ("doc_id", "pair_no", "sentence1", "sentence2"), default_na=False, types={"doc_id": "long", "pair_no": "int"})
+    return back.withColumn("sentence2", F.coalesce("sentence2", F.lit("")))
+
+
 # L / M. scoring and model fitting ------------------------------------------------------------
 @register(
     "op_batch_predict",
@@ -1260,3 +1315,15 @@ def q_write_crop_rows(spark, sf):
     out = scratch_path(spark, "cropped")
     write_crop(rows, crop_assignment(counts, 1000), out)
     return spark.read.parquet(out).select("doc_id", "row_no", "file_no", F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
+@register(
+    "op_stream_crop",
+    CROPPED + "SELECT seqs.doc_id, seqs.row_no, kept.file_no, md5(array_to_string(seqs.tokens, ',')) AS digest FROM seqs JOIN kept USING (doc_id) WHERE seqs.row_no < kept.kept",
+)
+def q_stream_crop(spark, sf):
+    """Crop-mode numbered files kept over a stream that arrives in three parts: the same rows as in batch."""
+    from tokenmill.streaming.pack import stream_files
+
+    rows = stream_files(spark, sf, _ctx(spark, sf), 1000, crop=True)
+    return rows.select("doc_id", "row_no", F.col("file_no").cast("int").alias("file_no"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))

@@ -110,4 +110,5 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def write_tsv(df: DataFrame, path: str, mode="overwrite") -> None:
     """Header TSV with double-quote quoting (pair files)."""
-    df.write.mode(mode).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
