@@ -191,95 +191,71 @@ class TrainResult:
     rounds: int
 
 
-class _Part:
-    """Words of one partition as they stand after the merges applied so far, with their pair counts.
+#: Stands around the symbols of a word; a noncharacter, which texts do not hold.
+EDGE = "\ufdd0"
+_COMPACT = 16  # rounds after which the pair counts are written anew
+_DELTAS = 500_000  # pairs a task holds before it hands their changes on
 
-    A worker keeps it from round to round, so a round touches only words that hold a
-    merged pair. It is only a cache: from the written words and the list of merges any
-    worker can build it again.
-    """
-
-    def __init__(self, rows):
-        self.words = [list(s) for s, _ in rows]
-        self.weight = [c for _, c in rows]
-        self.done = 0
-        self.pairs: dict[tuple[str, str], int] = {}
-        self.where: dict[tuple[str, str], set[int]] = {}
-        for i in range(len(rows)):
-            self._count(i, 1)
-
-    def _count(self, i: int, sign: int) -> None:
-        w, c = self.words[i], sign * self.weight[i]
-        for p in zip(w, w[1:]):
-            n = self.pairs.get(p, 0) + c
-            if n:
-                self.pairs[p] = n
-            else:
-                del self.pairs[p]
-            if sign > 0:
-                self.where.setdefault(p, set()).add(i)
-
-    def merge(self, merges: list[tuple[str, str, str]]) -> None:
-        """Left-to-right, non-overlapping merges, one after the other."""
-        for left, right, token in merges[self.done :]:
-            for i in self.where.pop((left, right), ()):
-                old = self.words[i]
-                if (left, right) not in zip(old, old[1:]):
-                    continue  # an earlier merge has taken it
-                self._count(i, -1)
-                new, k = [], 0
-                while k < len(old):
-                    if old[k] == left and k + 1 < len(old) and old[k + 1] == right:
-                        new.append(token)
-                        k += 2
-                    else:
-                        new.append(old[k])
-                        k += 1
-                self.words[i] = new
-                self._count(i, 1)
-        self.done = len(merges)
-
-
-_PARTS: dict = {}
-_KEPT_PARTS = 16  # partitions a worker keeps at most
-
-
-def _part_after(run: str, batches, merges) -> _Part:
-    """A partition's words after ``merges``, from this worker's cache or from the rows.
-
-    A function of the module, not of a closure: only then is its cache the worker's own.
-    """
-    import pyarrow.compute as pc
-
-    # a partition is known by its rows, however Spark numbers it
-    key = (run, sum(b.num_rows for b in batches), sum(pc.sum(b.column(0)).as_py() for b in batches))
-    part = _PARTS.pop(key, None)
-    if part is None or part.done > len(merges):
-        part = _Part([([w[0], *(CONTINUATION + ch for ch in w[1:])], c) for b in batches for w, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
-    part.merge(merges)
-    while len(_PARTS) >= _KEPT_PARTS:
-        _PARTS.pop(next(iter(_PARTS)))
-    _PARTS[key] = part
-    return part
 
+def _merge_round(merges: list[tuple[str, str, str]]):
+    """Words after one round of merges (kind 0: ``a`` the symbols, ``n`` the weight) and the changes of pair counts (kind 1).
 
-def _round_pairs(run: str, merges):
-    """Pair counts of each partition after ``merges`` (a broadcast list)."""
+    Only words that hold a merged pair are taken apart; a word of one symbol has no pairs and is left out.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def pairs(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        part = _part_after(run, batches, merges.value)
-        left, right, count = [], [], []
-        for (a, b), n in part.pairs.items():
-            left.append(a)
-            right.append(b)
-            count.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(count, pa.int64())], names=["left", "right", "count"])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+    literal = lambda t: "".join(ch if ch.isalnum() and ch.isascii() else f"\\x{{{ord(ch):x}}}" for ch in t)
+    holds = "|".join(literal(f"{EDGE}{left}{EDGE}{right}{EDGE}") for left, right, _ in merges)
 
-    return pairs
+    def merged(symbols: list[str]) -> list[str]:
+        """Left-to-right, non-overlapping merges, one after the other."""
+        for left, right, token in merges:
+            if left not in symbols:
+                continue
+            new, k = [], 0
+            while k < len(symbols):
+                if symbols[k] == left and k + 1 < len(symbols) and symbols[k + 1] == right:
+                    new.append(token)
+                    k += 2
+                else:
+                    new.append(symbols[k])
+                    k += 1
+            symbols = new
+        return symbols
+
+    def run(batches):
+        change: dict[tuple[str, str], int] = {}
+
+        def flush():
+            pairs = [(left, right, n) for (left, right), n in change.items() if n]
+            change.clear()
+            left, right, n = zip(*pairs) if pairs else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], schema=schema)
+
+        for b in batches:
+            hit = pc.match_substring_regex(b.column(0), holds)
+            same = b.filter(pc.invert(hit))
+            words, weights = [], []
+            for word, weight in zip(*(c.to_pylist() for c in b.filter(hit).columns)):
+                old = word[1:-1].split(EDGE)
+                new = merged(old)
+                for symbols, n in ((old, -weight), (new, weight)):
+                    for pair in zip(symbols, symbols[1:]):
+                        change[pair] = change.get(pair, 0) + n
+                if len(new) > 1:
+                    words.append(EDGE + EDGE.join(new) + EDGE)
+                    weights.append(weight)
+            a = pa.concat_arrays([same.column(0), pa.array(words, pa.string())])
+            n = pa.concat_arrays([same.column(1), pa.array(weights, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), a, pa.nulls(len(a), pa.string()), n], schema=schema)
+            if len(change) >= _DELTAS:
+                yield flush()
+        if change:
+            yield flush()
+
+    return run
 
 
 def train_vocabulary(
@@ -289,53 +265,68 @@ def train_vocabulary(
     alphabet_size: int = 100,
     candidates_per_round: int = 1024,
 ) -> TrainResult:
-    """Merge training on the word-count table, one Spark job per round, several merges per round.
+    """Merge training on the word-count table, several merges per round.
 
     Same result as merging one best pair at a time (rank: count desc, left asc,
     right asc), stopping at ``vocab_size`` tokens or when the best count falls
-    below ``min_frequency``. The words are written once; each round, workers bring their partitions up to date, pair counts are summed over
-    partitions, and the head of the ranking (``candidates_per_round`` rows) decides
+    below ``min_frequency``.
+
+    Words and pair counts are tables in the shared folder. A round passes over the words once,
+    without an exchange: those that hold a merged pair are rewritten and emit the changes
+    they make to pair counts, words of one symbol leave the table, so rounds get cheaper.
+    Changes are summed by task, then with the counts written before them (written anew
+    every few rounds), and the head of the ranking (``candidates_per_round`` rows) decides
     the next merges. The rest is ranked again in the next round, so the head's
-    length changes the number of rounds only.
+    length changes the number of rounds only. A lost worker loses nothing but its task.
     """
     from tokenmill.session import scratch_path
 
     spark = counts.sparkSession
     if vocab_size > MAX_VOCAB_ROWS:
         raise ValueError("vocabulary must fit 16-bit ids")
-    path = scratch_path(spark, "word-counts")
-    counts.write.parquet(path)  # read twice below: the corpus is counted once
-    counts = spark.read.schema(counts.schema).parquet(path)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    counts = written(counts, "word-counts")  # read twice below: the corpus is counted once
     alpha = spark.createDataFrame(alphabet(counts, alphabet_size).collect(), "char string, count long")  # bounded
     base_rows = base_vocabulary(alpha).collect()
     known = {r.token for r in base_rows}
     size = len(base_rows)
-    path = scratch_path(spark, "words")
-    # words as strings of their alphabet characters, which rounds pass on cheaply; one symbol can never form a pair
-    allowed = "".join(r["char"] for r in alpha.select("char").collect())
-    kept = F.array_join(F.filter(_chars(F.col("word")), lambda ch: F.contains(F.lit(allowed), ch)), "")
-    words = counts.select(F.crc32(F.col("word").cast("binary")).alias("id"), kept.alias("word"), F.col("count").cast("long").alias("count"))
-    words.filter(F.char_length("word") > 1).repartition("id").write.parquet(path)
-    words = spark.read.schema("id long, word string, count long").parquet(path)
-    run = path.rsplit("/", 1)[-1]
+    symbols = written(word_symbols(counts, alpha).where(F.size("symbols") > 1).select("symbols", F.col("count").cast("long").alias("count")), "symbols")
+    pairs = written(pair_counts(symbols), "pair-counts")
+    words = symbols.select(F.concat(F.lit(EDGE), F.array_join("symbols", EDGE), F.lit(EDGE)).alias("a"), F.col("count").alias("n"))
+    # as many parts as tasks run at once: every round is one wave over them
+    words = written(words.repartition(max(spark.sparkContext.defaultParallelism, words.rdd.getNumPartitions())), "words")
     merges: list[tuple[str, str, str]] = []
     rounds = 0
+    changes: list[str] = []
+    total = pairs
     while size < vocab_size:
-        sent = spark.sparkContext.broadcast(merges)
-        totals = words.mapInArrow(_round_pairs(run, sent), "left string, right string, count long").groupBy("left", "right").agg(F.sum("count").alias("count"))
-        head = totals.filter(F.col("count") >= min_frequency).orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(candidates_per_round).collect()
-        sent.destroy()
+        head = total.filter(F.col("count") >= max(min_frequency, 1)).orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(candidates_per_round).collect()
         if not head:
             break
         ranked = [(r["left"], r["right"], int(r["count"])) for r in head]
-        merges = list(merges)
+        now = []
         for left, right, _ in select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round):
             token = merge_token(left, right)
-            merges.append((left, right, token))
+            now.append((left, right, token))
             if token not in known:
                 known.add(token)
                 size += 1
+        merges += now
         rounds += 1
+        path = scratch_path(spark, "merge-round")
+        words.mapInArrow(_merge_round(now), "kind int, a string, b string, n long").write.partitionBy("kind").parquet(path)
+        words = spark.read.schema("a string, b string, n long, kind int").parquet(path).where("kind = 0").select("a", "n")
+        changes.append(f"{path}/kind=1*")
+        delta = spark.read.schema("a string, b string, n long").parquet(*changes).select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("n").alias("count"))
+        total = pairs.unionByName(delta).groupBy("left", "right").agg(F.sum("count").alias("count"))
+        if len(changes) == _COMPACT:
+            total = pairs = written(total.filter("count > 0"), "pair-counts")
+            changes = []
     vocab_rows = [(r.token, r.id, r.kind) for r in base_rows]
     seen = {r.token for r in base_rows}
     for _, _, token in merges:
