@@ -81,3 +81,11 @@ def test_bitmap_hash_is_sparks(spark):
     assert bitmap.xxhash64(np.array([r.v for r in rows])).view(np.int64).tolist() == [r.h for r in rows]
     bits = bitmap.build(df, "v", 100)
     assert bitmap.test(bits, np.array([r.v for r in rows])).all()
+
+
+def test_one_id_with_two_texts_loses_nothing_unique(spark):
+    r = rng(12)
+    a, b = text(r, 60), " ".join(f"own{i}" for i in range(50))
+    df = odd_documents(spark, [], [(1, a, "", "", 0), (2, a, "", "", 0), (2, b, "", "", 0), (2, b, "", "", 0), (3, a + " end", "", "", 0)])
+    kept = sorted((x.doc_id, x.text) for x in minhash.keep_one(df).collect() if x.doc_id is not None and x.doc_id < 1000)
+    assert kept == [(1, a), (2, b)]

@@ -36,7 +36,7 @@ M = 16
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20  # of a group that one side of a verifying task holds
 _COLUMNS = 1 << 22  # cells of the 0/1 matrix at once
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("th", pa.int64())])
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -97,7 +97,7 @@ def _signatures(size: int, r: int, m: int):
             full = n > 0
             start = off[:-1][full]
             keys = [lists((_sub_keys(h, start, r, m, side).view(np.int64) if len(start) else np.empty((0, m), np.int64)).ravel(), np.where(full, m, 0), pa.int64()) for side in (0, 1)]
-            yield batch(_SIG, b.column(0).slice(i, j - i), n, c1, c2, *keys)
+            yield batch(_SIG, b.column(0).slice(i, j - i), n, c1, c2, *keys, b.column(2).slice(i, j - i))
 
     return of
 
@@ -196,9 +196,13 @@ def _verify(threshold: int):
     return run
 
 
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int, m: int = M) -> DataFrame:
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(arrow_stage(_signatures(size, minhashes(threshold), m)), "doc_id long, n long, c1 long, c2 long, a array<long>, b array<long>")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("th"))
+    return d.mapInArrow(arrow_stage(_signatures(size, minhashes(threshold), m)), "doc_id long, n long, c1 long, c2 long, a array<long>, b array<long>, th long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -236,6 +240,11 @@ def verified(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80, m: int = M) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row. ``threshold``: percent of the union that is shared."""
+    return judged(docs, doc_id, text, size, threshold, m).drop("th")
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int, m: int = M) -> DataFrame:
+    """As ``near_duplicates``, with a hash of each row's text (``th``)."""
     sig = stored(signatures(docs, doc_id, text, size, threshold, m), "signatures")
     named = sig.where("doc_id IS NOT NULL")
     classes = named.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
@@ -245,8 +254,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = stored(reps.select("rep", "n", "c1", "c2").distinct().join(grouped, "rep"), "members")
     roots = graph.components(verified(docs, members, doc_id, text, size, threshold))
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("root", "rep").alias("root"))
-    out = named.select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    lost = sig.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    out = named.select("doc_id", "n", "c1", "c2", "th").join(of_class, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), "th")
+    lost = sig.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), "th")
     out = out.unionByName(lost)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -254,12 +263,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
     """Rows of ``docs`` (all columns) without near duplicates; rows without an id stay.
 
-    Of rows that repeat a kept doc_id, those of equal shingles are one document, too: one stays.
+    Rows that repeat a doc_id are judged each by its own text: one goes where its text is a near
+    copy of a smaller document's, and another with a text of its own stays. Of rows that
+    repeat a kept doc_id and its text one stays.
     """
     spark = docs.sparkSession
-    out = near_duplicates(docs, doc_id, text, size, threshold)
-    gone = stored(out.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
-    again = stored(out.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "repeated")
+    out = judged(docs, doc_id, text, size, threshold).where("doc_id IS NOT NULL")
+    gone = stored(out.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_text")).distinct(), "dropped")
+    again = stored(out.where("kept").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_text")), "repeated")
     bits = spark.sparkContext.broadcast(bitmap.build(gone.union(again), "gone_id", gone.count() + again.count()))
 
     @F.arrow_udf("boolean")
@@ -267,12 +278,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
         return pa.array(bitmap.test(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
 
     id_ = F.col(doc_id).cast("long")
-    id_name, rank = fresh(docs.columns, "gone_id"), fresh(docs.columns, "row_rank")
-    gone, again = gone.toDF(id_name), again.toDF(id_name)
+    names, rank = [fresh(docs.columns, n) for n in ("gone_id", "gone_text")], fresh(docs.columns, "row_rank")
+    gone, again = gone.toDF(*names), again.toDF(*names)
     # only rows that may be dropped are exchanged
     sure = docs.where(~F.coalesce(maybe(id_), F.lit(False)))
-    asked = docs.where(F.coalesce(maybe(id_), F.lit(False))).withColumn(id_name, id_).join(gone, id_name, "left_anti")
-    single = asked.join(again, id_name, "left_anti")
-    order = Window.partitionBy(id_name, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
-    many = asked.join(again, id_name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return sure.unionByName(single.unionByName(many).drop(id_name))
+    asked = docs.where(F.coalesce(maybe(id_), F.lit(False))).withColumns({names[0]: id_, names[1]: _text_hash(text)}).join(gone, names, "left_anti")
+    single = asked.join(again, names, "left_anti")
+    order = Window.partitionBy(*names).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    many = asked.join(again, names, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return sure.unionByName(single.unionByName(many).drop(*names))
