@@ -18,8 +18,10 @@ depth ``size`` in the suffix tree of all documents. The tree is never whole anyw
    covered are cut out of the whole text.
 
 Defined cases: null and empty texts have no words; a document of fewer than ``size``
-words keeps all; rows that repeat a doc_id are one document (never a repeat of itself);
-rows without a doc_id are returned whole and are nobody's source.
+words keeps all; rows that repeat a doc_id are never a source of each other, and each is
+cut by its own text: where an id has several texts, a start carries its path and counts
+only in the text that holds that window there; rows without a doc_id are returned whole
+and are nobody's source.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ GROUP = 50_000  # suffixes in a subtree that one task reads, as long as a longer
 
 _KEY = pa.schema([("k", pa.int64()), ("doc_id", pa.int64())])
 _SUFFIX = pa.schema([("prefix", pa.int64()), ("path", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-_START = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
+_START = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("path", pa.int64())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -114,11 +117,11 @@ def _subtrees(batches):
             low[head:] = np.repeat(doc[first], np.diff(np.append(first, len(path))))
         node, least = (prefix[-1], path[-1]), low[-1]
         again = doc > low
-        yield batch(_START, doc[again], b.column(3).filter(pa.array(again)))
+        yield batch(_START, doc[again], b.column(3).filter(pa.array(again)), path[again])
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """``doc_id, pos``: starts of the windows that a smaller document has, too. Input: ``doc_id, text``."""
+    """``doc_id, pos, path``: starts of the windows that a smaller document has, too, and their hashes. Input: ``doc_id, text``."""
     spark = docs.sparkSession
     named = docs.where(F.col("doc_id").isNotNull())
     keys = named.mapInArrow(arrow_stage(_keys(size, prefix)), "k long, doc_id long")
@@ -132,22 +135,47 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, prefix: int = PREFIX, gr
         longer = all_.join(big, "prefix", "left_semi")
         nodes = longer.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).where(F.col("n") > group).select("path", "lo")
         nodes = stored(nodes, "nodes")
-        huge = longer.join(nodes, "path").where("doc_id > lo").select("doc_id", "pos")
+        huge = longer.join(nodes, "path").where("doc_id > lo").select("doc_id", "pos", "path")
         rest = longer.join(nodes, "path", "left_anti").select(F.col("path").alias("prefix"), "path", "doc_id", "pos")
         light = all_.join(big, "prefix", "left_anti").select("prefix", "path", "doc_id", "pos").unionByName(rest)
-    out = light.repartition("prefix").sortWithinPartitions("prefix", "path", "doc_id").mapInArrow(_subtrees, "doc_id long, pos int")
+    out = light.repartition("prefix").sortWithinPartitions("prefix", "path", "doc_id").mapInArrow(_subtrees, "doc_id long, pos int, path long")
     return out if huge is None else out.unionByName(huge)
 
 
+def _starts_of_ids(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, starts, checked``: the starts of each document; those of ids with several texts with their paths."""
+    texts = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = stored(texts.where("a < b").select("doc_id", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return windows.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")).withColumn("checked", F.array().cast("array<struct<pos:int,path:long>>"))
+    marked = windows.join(several, "doc_id", "left")
+    plain, checked = F.when(F.col("several").isNull(), F.col("pos")), F.when(F.col("several"), F.struct("pos", "path"))
+    return marked.groupBy("doc_id").agg(F.collect_set(plain).alias("starts"), F.collect_set(checked).alias("checked"))
+
+
+def _own(w: Words, starts: pa.Array, checked: pa.Array, size: int) -> list[np.ndarray]:
+    """Of each text, its starts: all plain ones, and the checked ones whose window it has at that place."""
+    out = [np.asarray(x or (), np.int64) for x in starts.to_pylist()]
+    if pa.compute.any(pa.compute.greater(pa.compute.list_value_length(checked), 0)).as_py():
+        path, whole = gram_hashes(w, size)
+        path = path.view(np.int64)
+        for k, pairs in enumerate(checked.to_pylist()):
+            p, h = (np.array([x[c] for x in pairs or ()], np.int64) for c in ("pos", "path"))
+            at = w.offset[k] + p
+            at, p, h = (x[at < w.offset[k + 1]] for x in (at, p, h))
+            out[k] = np.concatenate((out[k], p[whole[at] & (path[at] == h)]))
+    return out
+
+
 def _cut(ids, w: Words, starts, size: int, texts: bool):
     rows = [[], [], [], []]
     n = w.counts()
     for k in range(len(w)):
         keep = None
         gone = 0
-        if starts is not None and starts[k] is not None and len(starts[k]):
+        if starts is not None and len(starts[k]):
             mark = np.zeros(n[k] + 1, np.int32)
-            p = np.unique(np.asarray(starts[k]))
+            p = np.unique(starts[k])
             p = p[p + size <= n[k]]
             mark[p] += 1
             mark[p + size] -= 1
@@ -163,7 +191,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row; ``kept`` is null unless ``texts``."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    starts = stored(repeated_windows(d, size, prefix, group).groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
+    starts = stored(_starts_of_ids(repeated_windows(d, size, prefix, group), d), "starts")
     bits = spark.sparkContext.broadcast(bitmap.build(starts, "doc_id", starts.count()))
 
     def flagged(b):
@@ -177,9 +205,9 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
     def cut(b):
         for i, j in slices(b.column(1)):
-            s = b.column(2).slice(i, j - i).to_pylist()
-            yield _cut(b.column(0).slice(i, j - i), words(b.column(1).slice(i, j - i), SPACED, lower=False), s, size, texts)
+            w = words(b.column(1).slice(i, j - i), SPACED, lower=False)
+            yield _cut(b.column(0).slice(i, j - i), w, _own(w, b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), size), size, texts)
 
     clean = d.mapInArrow(arrow_stage(whole), RESULT)
     hit = d.mapInArrow(arrow_stage(lambda b: [b.filter(pa.array(flagged(b)))]), "doc_id long, text string")
-    return clean.unionByName(hit.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(arrow_stage(cut), RESULT))
+    return clean.unionByName(hit.join(starts, "doc_id", "left").select("doc_id", "text", "starts", "checked").mapInArrow(arrow_stage(cut), RESULT))
