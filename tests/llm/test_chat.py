@@ -73,7 +73,11 @@ def _repaired(spark, data, parts=None):
     out = {}
     for r in rows:
         out.setdefault(r.conv_id, []).append(r)
-    return {k: sorted(v, key=lambda r: (r.turn is not None, r.turn)) for k, v in out.items()}
+    for v in out.values():
+        v.sort(key=lambda r: r.pos)
+        assert [r.pos for r in v] == list(range(len(v)))
+        assert v == sorted(v, key=lambda r: (r.turn is not None, r.turn))
+    return out
 
 
 def test_least_cost(spark):
@@ -105,6 +109,19 @@ def test_one_conversation_over_many_partitions(spark, parts):
         _check(rows)
 
 
+def test_ties_on_any_partitioning(spark):
+    """All turns of a conversation have one number and role: the same order, and rendering, however it is cut."""
+    data = [(1, 0, "user", f"text {i % 250}", "x") for i in range(300)] + [(1, 0, None, None, "x")] * 3 + [(2, None, "user", f"{i}", "x") for i in range(200)]
+    one, *others = ([tuple(r) for v in sorted(got.items()) for r in v[1]] for got in (_repaired(spark, data, p) for p in ("1", "7", "23")))
+    assert all(x == one for x in others)
+
+
+def test_very_long_text(spark):
+    data = [(1, 0, "user", "long " * 400_000, "x"), (1, 1, "user", "b", "x"), (1, 2, "assistant", "c", "x")]
+    got = _repaired(spark, data)[1]
+    assert [r.action for r in got] == ["keep", "merge", "keep"] and len(got[0].fragment) == 2_000_000 + len("<|im_start|>user\n")
+
+
 def test_odd_rows(spark):
     data = [(None, None, None, None, None), (1, 0, "user", None, None), (1, 0, "user", None, None), (1, 1, "assistant", "<|im_end|>", None)]
     got = _repaired(spark, data)

@@ -16,9 +16,10 @@ Every input turn gives one row with its action and its fragment of the rendered
 fragments in order are the rendered conversation, so no conversation is ever one value.
 
 Defined cases: null and empty texts are empty turns; unknown and null roles can only be
-relabelled or merged; turns with equal numbers are ordered by role, then text; rows
-without a conversation id form one conversation; repeated rows are repeated turns;
-markers inside texts are broken by a space.
+relabelled or merged; turns with equal numbers are ordered by role, then by a hash of the
+text, then by text, on any partitioning; ``pos`` numbers the turns of a conversation from 0
+in that order; rows without a conversation id form one conversation; repeated rows are
+repeated turns; markers inside texts are broken by a space.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ BETWEEN = {
 CLOSING = {START: (USER, ASSISTANT), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 _FAR = 1 << 50
 
-ROWS = "conv_id long, turn long, old_role string, action string, role string, inserted array<string>, closing array<string>, fragment string"
-_ROWS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("old_role", pa.string()), ("action", pa.string()), ("role", pa.string()), ("inserted", pa.list_(pa.string())), ("closing", pa.list_(pa.string())), ("fragment", pa.string())])
+ROWS = "conv_id long, pos long, turn long, old_role string, action string, role string, inserted array<string>, closing array<string>, fragment string"
+_ROWS = pa.schema([("conv_id", pa.int64()), ("pos", pa.int64()), ("turn", pa.int64()), ("old_role", pa.string()), ("action", pa.string()), ("role", pa.string()), ("inserted", pa.list_(pa.string())), ("closing", pa.list_(pa.string())), ("fragment", pa.string())])
 
 
 def _steps(role: int):
@@ -137,12 +138,12 @@ _MARK = "conv_id long, turn long, role string, text string, part int, pos long,
 
 
 def _number(batches):
-    """Rows with their partition and place; after its first and last conversation, a row with the cost table of each."""
+    """Rows with their partition and place; in the end a row for its first and its last conversation, with a cost table and, as ``-1 - pos``, the number of turns."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("pos", pa.int64()), ("cost", pa.list_(pa.int64()))])
-    pos, key, ends, costs, seen = 0, None, [], None, False
+    pos, key, ends, costs, size, seen = 0, None, [], None, 0, False
     unit = lambda: [[0 if i == j else _FAR for j in range(4)] for i in range(4)]
     for b in batches:
         if not b.num_rows:
@@ -153,21 +154,22 @@ def _number(batches):
         for conv, role in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
             if not seen or conv != key:
                 if seen and not ends:
-                    ends.append((key, costs))  # the first conversation is whole in this partition from here on
-                key, costs, seen = conv, unit(), True
+                    ends.append((key, costs, size))  # the first conversation is whole in this partition from here on
+                key, costs, size, seen = conv, unit(), 0, True
             costs = [forward(c, [_code(role)])[1] for c in costs]
+            size += 1
     if seen:
-        ends.append((key, costs))
+        ends.append((key, costs, size))
         k = len(ends)
-        flat = [[min(x, _FAR) for row in c for x in row] for _, c in ends]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in ends], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.array([part] * k, pa.int32()), pa.array([-1] * k, pa.int64()), pa.array(flat, pa.list_(pa.int64()))], schema=schema)
+        flat = [[min(x, _FAR) for row in c for x in row] for _, c, _ in ends]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in ends], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.array([part] * k, pa.int32()), pa.array([-1 - n for _, _, n in ends], pa.int64()), pa.array(flat, pa.list_(pa.int64()))], schema=schema)
 
 
 def _spanning(ends) -> dict:
-    """Conversations that several partitions share: their parts in order with cost tables."""
+    """Conversations that several partitions share: their parts in order with cost tables and numbers of turns."""
     by: dict = {}
     for r in sorted(ends, key=lambda r: r["part"]):
-        by.setdefault(r["conv_id"], []).append((r["part"], np.array(r["cost"]).reshape(4, 4)))
+        by.setdefault(r["conv_id"], []).append((r["part"], np.array(r["cost"]).reshape(4, 4), -1 - r["pos"]))
     return {c: p for c, p in by.items() if len(p) > 1}
 
 
@@ -175,17 +177,20 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     """One row per turn (see ``ROWS``): what was done to it and its fragment of the rendered conversation."""
     spark = turns.sparkSession
     t = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    # the key holds a hash of the text, not the text, so that range bounds stay small
-    t = t.repartitionByRange("conv_id", "turn", "role", F.xxhash64("text")).sortWithinPartitions(*order)
+    # the key holds a hash of the text, not the text, so that range bounds stay small; the sort keeps to the same order
+    order = ["conv_id", "turn", "role", F.xxhash64("text")]
+    t = t.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     t = stored(t.mapInArrow(_number, _MARK), "turns")  # partitions are fixed from here on
-    ends = t.where("pos < 0").select("conv_id", "part", "cost").collect()  # two per partition at most
+    ends = t.where("pos < 0").select("conv_id", "part", "pos", "cost").collect()  # two per partition at most
     span = _spanning(ends)
     entry: dict = {}
+    before: dict = {}  # turns of a conversation in earlier parts
     for conv, parts in span.items():
-        costs = np.array([0, _FAR, _FAR, _FAR])
-        for part, table in parts:
+        costs, turns_before = np.array([0, _FAR, _FAR, _FAR]), 0
+        for part, table, size in parts:
             entry[conv, part] = costs.tolist()
+            before[conv, part] = turns_before
+            turns_before += size
             costs = np.minimum((costs[:, None] + table).min(axis=0), _FAR)
         entry[conv, "end"] = costs.tolist()
     leave: dict = {}
@@ -207,22 +212,23 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         starts = {(r["conv_id"], r["part"]): r["starts"] for r in begun}
         for conv, parts in span.items():
             state = ending(entry[conv, "end"])
-            for part, _ in reversed(parts):
+            for part, _, _ in reversed(parts):
                 leave[conv, part] = (state, part == parts[-1][0])
                 state = starts[conv, part][state]
-    plan = spark.sparkContext.broadcast((entry, leave))
+    plan = spark.sparkContext.broadcast((entry, leave, before))
 
     def write(batches):
-        entry, leave = plan.value
+        entry, leave, before = plan.value
         for (conv, part), rows in _parts(batches):
             codes = [_code(r[0]) for r in rows]
             table = forward(entry.get((conv, part), [0, _FAR, _FAR, _FAR]), codes)
             state, last = leave.get((conv, part), (ending(table[-1]), True))
             _, path = back(table, codes, state)
             columns: list[list] = [[] for _ in _ROWS]
-            for r, c, (merged, q, inserted, closing, out) in zip(rows, codes, rendered(path, [r[2] for r in rows], last)):
+            first = before.get((conv, part), 0)
+            for i, (r, c, (merged, q, inserted, closing, out)) in enumerate(zip(rows, codes, rendered(path, [r[2] for r in rows], last))):
                 action = ("merge" if merged else "keep") if c == q else ("relabel-merge" if merged else "relabel")
-                for col, v in zip(columns, (conv, r[3], r[0], action, ROLES[q], inserted, closing, out)):
+                for col, v in zip(columns, (conv, first + i, r[3], r[0], action, ROLES[q], inserted, closing, out)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS)
 
