@@ -21,13 +21,13 @@ def _brute(docs, items, size):
         for item, it in items:
             iw = _words(it)
             n = min(size, len(iw))
-            if item is None or not n:
+            if not n:
                 continue
             wins = {tuple(iw[p : p + n]) for p in range(len(iw) - n + 1)}
             for p in range(len(w) - n + 1):
                 if tuple(w[p : p + n]) in wins:
                     hit |= set(range(p, p + n))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}
         out[i] = (len(w), len(hit), sorted(ids))
     return out
 
@@ -60,6 +60,26 @@ def test_repeated_items_count_once(spark, block):
     assert got.n_items == 2 and got.n_hit == 20 and got.items_sha256 == hashlib.sha256(b"x,y").hexdigest()
 
 
+@pytest.mark.parametrize("block", [1 << 25, 60])
+def test_items_without_id(spark, block):
+    """A document that holds an item without an id is hit and goes; the item adds no id."""
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(None, item), (None, item), ("z", "w " * 30), (None, None)], "item_id string, text string")
+    df = odd_documents(spark, [f"x {item} y", "w " * 12 + item, "clean"])
+    got = {x.doc_id: x for x in decontaminate.digest(decontaminate.find(df, bench, block_bytes=block)).collect()}
+    assert (got[0].n_hit, got[0].n_items, got[0].contaminated) == (11, 0, True) and got[0].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (23, 1, hashlib.sha256(b"z").hexdigest())
+    assert {x.doc_id for x in decontaminate.remove(df, bench).collect()} == {2, 1000, 1001, 1002}
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    df = odd_documents(spark, ["long text " * 300_000 + item])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, sum(b - a for a, b in x.spans), x.longest) for x in decontaminate.find(df, bench).collect()}
+    assert got[0] == (600_012, 12, 12)
+
+
 def test_longest_match_and_empty_tables(spark):
     item = " ".join(f"w{i}" for i in range(40))
     df = odd_documents(spark, ["x " + item[10:120] + " y", item + " " + item])

@@ -11,8 +11,8 @@ training text. A benchmark of several blocks is searched block after block in th
 stage.
 
 Defined cases: null or empty texts have no words and no hits; an item of fewer words
-than a window is one window; repeated items count once per id; items without an id take
-no part. Documents are judged row by row, so repeated rows give repeated results.
+than a window is one window; repeated items count once per id; items without an id are
+searched like others, but add no id to the items found. Documents are judged row by row, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Windows:
     at: np.ndarray  # CSR offsets into item / start
     item: np.ndarray
     start: np.ndarray
-    names: list[str]
+    names: list[str | None]  # None: an item without an id
 
 
 def _codes(h: np.ndarray) -> np.ndarray:
@@ -55,11 +55,9 @@ def _codes(h: np.ndarray) -> np.ndarray:
 
 
 def windows(ids: pa.Array, texts: pa.Array, size: int = WINDOW) -> Windows:
-    keep = ids.is_valid()
-    ids, texts = ids.filter(keep), texts.filter(keep)
     w = words(texts, ALNUM)
     n = w.counts()
-    names = [str(x) for x in ids.to_pylist()]
+    names = [None if x is None else str(x) for x in ids.to_pylist()]
     long = n >= size
     _, whole = gram_hashes(w, size)
     starts = np.flatnonzero(whole & long[w.text_of()]) if len(w.hash) else np.empty(0, np.int64)
@@ -145,7 +143,7 @@ def _rows(p: np.ndarray, t: np.ndarray, first: int, n_words: int, test: Windows)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(pos) != 1) | (np.diff(item) != 0) | (np.diff(shift) != 0))))
     last = np.append(new[1:], len(pos)) - 1
     longest = int((pos[last] + length[last] - pos[new]).max())
-    return spans, sorted({test.names[i] for i in items}), longest
+    return spans, sorted({test.names[i] for i in items} - {None}), longest
 
 
 def _search(test: Windows, chained: bool):

@@ -160,7 +160,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN k USING (doc_id)""",
     "op8_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS size, list_aggregate(ws[i:i + least(len(ws), 10) - 1], 'string_agg', ' ') AS win
        FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i) WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT size FROM bw),
