@@ -78,6 +78,70 @@ def test_long_secrets(spark):
     assert all(list(r.types) == ["secret"] for r in out if r.doc_id in (0, 1))
 
 
+CASES = [
+    # text, what must stay, what must go
+    ("token=abcdefgh=ijklmnop:qrstuvwx,yz12345 end", "token={} end", ["abcdefgh", "ijklmnop", "qrstuvwx", "yz12345"]),
+    ('password="correct horse battery" next', 'password="{}" next', ["correct", "horse", "battery"]),
+    ("{'api_key': 'a b\\\\'c defghi', 'x': 'y'}", "{{'api_key': '{}', 'x': 'y'}}", ["defghi"]),
+    ("pwd=p@ss, then", "pwd={}, then", ["p@ss"]),
+    ("password: p4ss.", "password: {}.", ["p4ss"]),
+    ("secret   :    abcdefgh; more", "secret   :    {}; more", ["abcdefgh"]),
+    ("passwd = 'x9' and", "passwd = '{}' and", ["x9"]),
+    (f"mail {'m' * 70}@long.example.com now", "mail {} now", ["m" * 70]),
+    ("mail me@" + "sub." * 12 + "example.com now", "mail {} now", ["me@"]),
+    (f"Frau {'Lang' * 12} kam", "Frau {} kam", ["Lang" * 12]),
+]
+CLEAN = ["The secret: be kind.", "Token: yes, no", 'password="" user="bob"', "password =", "secrets are kept: always here"]
+
+
+def test_whole_values(spark):
+    """Secrets to their real end, long addresses and names; prose stays."""
+    out = {r.doc_id: r.text for r in pii.pseudonymise(odd_documents(spark, [c[0] for c in CASES] + CLEAN)).collect()}
+    for i, (_, frame, gone) in enumerate(CASES):
+        head, tail = frame.format("\0").split("\0")
+        assert out[i].startswith(head) and out[i].endswith(tail), out[i]
+        assert not any(g in out[i] for g in gone), out[i]
+    assert [out[len(CASES) + i] for i in range(len(CLEAN))] == CLEAN
+
+
+def test_very_long_texts(spark):
+    """Values of half a million characters, and of nothing but signs, in time and stack that grow with the text at most."""
+    texts = ["token=" + "ab1,=:" * 80_000 + "z end", "token=" + "," * 500_000 + " end", 'password="' + "a " * 200_000, "a" * 500_000 + " x.y" * 100_000 + "@"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(odd_documents(spark, texts)).collect()}
+    assert len(got[0]) == len(texts[0]) and "ab1,=:ab1" not in got[0] and got[0].endswith(" end")
+    assert got[1] == texts[1] and got[3] == texts[3]
+
+
+def _plain(texts, spelt):
+    """Replaced texts by the entities that the operator found, longest first at each place, in plain Python."""
+    out = []
+    for t in texts:
+        at, new = 0, []
+        while at < len(t):
+            hit = next((r for r in sorted(spelt, key=len, reverse=True) if t.startswith(r, at) and not t[at - 1 : at].isalnum()), None)
+            new.append(spelt[hit] if hit else t[at])
+            at += len(hit) if hit else 1
+        out.append("".join(new))
+    return out
+
+
+def test_like_plain_replacement(spark):
+    """Every occurrence of an entity, in whatever text, is replaced by the one surrogate of its spelling."""
+    entities = ["anna@berg.de", "Mr John Smith", "83.229.25.121", "078-05-1120", "token=a1=b2", "+1 743 555 3824"]
+    alone = {r.doc_id: r.text for r in pii.pseudonymise(odd_documents(spark, entities)).collect()}
+    spelt = {e: alone[i] for i, e in enumerate(entities)}
+    texts = [f"({a}) then {b} and {a}; ok" for a in entities for b in entities]
+    both = {r.doc_id: r.text for r in pii.pseudonymise(odd_documents(spark, texts)).collect()}
+    assert [both[i] for i in range(len(texts))] == _plain(texts, spelt)
+
+
+def test_many_names(spark):
+    """More contested names than three syllables have room for still take names, not tags."""
+    e = spark.range(30_000).selectExpr("'name_m' AS type", "translate(concat('q', id), '0123456789', 'abcdefghij') AS canon")
+    got = pii.surrogates(e).selectExpr("count(*) AS n", "count(DISTINCT core) AS m", "count_if(core LIKE '[%') AS tags").first()
+    assert tuple(got) == (30_000, 30_000, 0)
+
+
 def test_empty_table(spark):
     assert pii.pseudonymise(odd_documents(spark, ["a@b.cd"]).limit(0)).count() == 0
 

@@ -15,6 +15,12 @@ after ``ATTEMPTS`` rounds takes a plain tag with 128 bits of the hash.
 Only distinct entities are exchanged for this, and only texts that hold an entity are
 joined with their surrogates; all other rows pass in the scan.
 
+The value of a secret runs to its closing quote on the line, or else to white space, without
+the punctuation that ends a sentence. After a colon and without quotes it has six characters
+at least or one that is no letter, since prose has colons, too. E-mail domains have the 127
+labels that a domain can have, IBANs the 34 characters of the standard; a name is its title
+and up to three capitalised words, and none without a title is found.
+
 Defined cases: null and empty texts stay as they are; texts without entities are returned
 byte for byte; all other columns are kept; repeated rows give repeated results; rows
 without an id are treated like others.
@@ -39,21 +45,26 @@ SCRIPTS = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", "абвгдежзиклмнопрстуфхцчшщэюя"),
     "greek": ("βγδζκλμνπρστφ", "αειου", "αβγδεζηθικλμνξοπρστυφχψω"),
 }
+# A secret's value up to its closing quote, or up to white space; after a bare colon it must look like one.
+_QUOTED = r"""(?:"(?!")[^\r\n]+?(?<!\\)(?=")|'(?!')[^\r\n]+?(?<!\\)(?='(?!\p{L})))"""
+_BARE = r"""\S*[^\s.,;:!?"'()\[\]{}<>]"""
+_TELLING = r"""(?=\S{6}|\p{L}{0,5}[^\p{L}\s.,;:!?"'()\[\]{}<>])"""
+_SIGN = r"\s*+[=:]{1,3}+>?+\s*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern, in order of preference at one place of a text.
 PATTERNS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\s{0,2}[=:]\s{0,2}["']?[^\s"'=:,;]{6,}+""",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,126}\p{L}{2,63}",
+    "secret": rf"""(?i:password|passwd|pwd|secret|token|api_?key)["']?+{_SIGN}(?:{_QUOTED}|["']?+(?:(?<=[="'])|(?<==\s)|{_TELLING}){_BARE})""",
     "aws": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![.-])(?:\d{4}[ -]?){3}\d{1,7}(?![\p{L}\d])",
-    "name": rf"(?:{'|'.join(TITLES_M + TITLES_F)})\.? \p{{Lu}}[\p{{L}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}}){{0,2}}",
+    "name": rf"(?:{'|'.join(TITLES_M + TITLES_F)})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
 }
 #: What stands before the value of a secret.
-SECRET_LEAD = r"""^[\p{L}_]+["']?\s{0,2}[=:]\s{0,2}["']?"""
+SECRET_LEAD = rf"""^[\p{{L}}_]+["']?+{_SIGN}["']?+"""
 #: Entities begin where no word goes on, so most places of a text fail at one look back.
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -115,12 +126,13 @@ def _luhn(digits: str) -> str:
 
 
 def _name_word(script: str) -> str:
-    """Three syllables from the hash of one word, with a gendered end for a given name."""
+    """Three to six syllables from the hash of one word, with a gendered end for a given name."""
     consonants, vowels, _ = SCRIPTS[script]
     v = lambda i: f"CAST(conv(substr(sha2(concat_ws('|', key, 'name', w, attempt), 256), {4 * i + 1}, 4), 16, 10) AS INT)"
-    syllable = "||".join(_pick(consonants, v(2 * i)) + "||" + _pick(vowels, v(2 * i + 1)) for i in range(3))
+    syllable = "||".join(_pick(consonants, v(2 * i)) + "||" + _pick(vowels, v(2 * i + 1)) for i in range(3 + (ATTEMPTS - 1) // 3))
     ends = {"latin": ("na", "n"), "cyrillic": ("на", "н"), "greek": ("να", "ν")}[script]
-    return f"{syllable} || CASE WHEN i = size(split(canon, ' ')) - 1 THEN '' WHEN type = 'name_f' THEN '{ends[0]}' ELSE '{ends[1]}' END"
+    # later attempts take longer names, so that a corpus with very many names finds free ones
+    return f"substr({syllable}, 1, 6 + 2 * (attempt DIV 3)) || CASE WHEN i = size(split(canon, ' ')) - 1 THEN '' WHEN type = 'name_f' THEN '{ends[0]}' ELSE '{ends[1]}' END"
 
 
 def _core() -> dict[str, str]:
