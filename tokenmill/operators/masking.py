@@ -160,5 +160,6 @@ def mask_stats(masked: DataFrame, choice_col: str = "choice") -> DataFrame:
     per = masked.select(F.explode(choice_col).alias("choice")).groupBy("choice").agg(
         F.count(F.lit(1)).alias("positions")
     )
-    total = masked.select(F.size(choice_col).alias("n")).agg(F.sum("n")).scalar()
-    return per.withColumn("share", F.col("positions") / total)
+    # a row for each kind of choice: the total is their sum, no second pass
+    rows = per.agg(F.collect_list(F.struct("choice", "positions")).alias("r"), F.sum("positions").alias("total"))
+    return rows.select("total", F.inline("r")).select("choice", "positions", (F.col("positions") / F.col("total")).alias("share"))

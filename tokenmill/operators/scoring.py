@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions import arrays as A
+from tokenmill.session import scratch_path
 
 
 def centroid_weights(df: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -91,13 +92,31 @@ def batch_predict(df: DataFrame, make_predict_fn, width: int, vec_col: str = "em
     return df.withColumn(out, udf(F.col(vec_col).cast("array<float>")))
 
 
-def gather_rows(df: DataFrame, id_col: str, table: DataFrame, key_col: str) -> DataFrame:
-    """Row of ``table`` for every id; ids without a row keep nulls, so nothing is lost.
+def frequent_ids(df: DataFrame, id_col: str, most: int, tracked: int = 20_000) -> DataFrame:
+    """``hot``: at most ``most`` ids, the most frequent by a sketch that is added up in the tasks (one row a task is exchanged)."""
+    return df.select(F.expr(f"approx_top_k(`{id_col}`, {int(most)}, {int(tracked)})").alias("t")).select(F.inline("t")).select(F.col("item").alias("hot"))
 
-    The join strategy is left to the measured table size; frequent ids are skewed
-    keys, which adaptive execution splits.
+
+def gather_rows(df: DataFrame, id_col: str, table: DataFrame, key_col: str, hot: int = 1000) -> DataFrame:
+    """Row of ``table`` for every id; ids without a row, and null ids, keep nulls, so nothing is lost.
+
+    Padding and special tokens can be most of a column of ids. The ``hot`` most frequent ids
+    and null meet their rows, one for each, in a broadcast of that many rows at most; only the
+    other ids, each a small share of the table, are exchanged. The sketch decides where a row
+    is joined, never what it is joined with. ``table`` has one row for a key.
     """
-    return df.join(table, df[id_col] == table[key_col], "left")
+    name = "__hot"
+    ids = frequent_ids(df, id_col, hot).where("hot IS NOT NULL").withColumnRenamed("hot", name)
+    path = scratch_path(df.sparkSession, "hot-rows")
+    # the ids with their rows, written once: both branches read the same ones
+    known = F.broadcast(ids).join(table, F.col(name) == F.col(key_col), "left")
+    nothing = df.sparkSession.createDataFrame([[None] * len(known.columns)], T.StructType([T.StructField(f.name, f.dataType) for f in known.schema]))
+    known.unionByName(nothing).write.parquet(path)
+    known = df.sparkSession.read.schema(known.schema).parquet(path)
+    same = df[id_col].eqNullSafe(F.col(name))
+    frequent = df.join(F.broadcast(known), same).drop(name)
+    others = df.join(F.broadcast(known.select(name)), same, "left_anti").join(table, F.col(id_col) == F.col(key_col), "left")
+    return frequent.unionByName(others)
 
 
 def cross_entropy(df: DataFrame, logits_col: str = "logits", target_col: str = "label", out="loss") -> DataFrame:

@@ -85,7 +85,12 @@ def validation_split(df: DataFrame, key_cols, share: float | None = None, n: int
     return df.withColumn(out, nth_smallest(df, key_cols, n, seed))
 
 
-def sample_batch(batched: DataFrame, files: DataFrame, shard_col="shard") -> DataFrame:
-    """Rows of batch 0 of the first shard file in the random file order."""
-    first = files.filter(F.col("file_rank") == 0).select(shard_col)
-    return batched.join(first, shard_col, "left_semi").filter(F.col("batch_no") == 0)
+def first_batch(df: DataFrame, batch_size: int, shards: DataFrame | None = None, key_cols=("doc_id", "row_no"), shard_col="shard", seed: str = "order", files_seed: str = "files") -> DataFrame:
+    """The first batch of the first shard file in the random file order, in its order.
+
+    The first file is a minimum over the shard numbers (of ``shards``, a frame that may be
+    narrower than ``df``), its batch a top-k of that shard alone: no shard is ranked as a whole.
+    """
+    numbers = (df if shards is None else shards).select(shard_col)
+    first = numbers.agg(F.min(F.struct(uniform(files_seed, shard_col).alias("u"), F.col(shard_col).alias("s"))).alias("m")).select("m.s").scalar()
+    return shuffle_key(df, key_cols, seed).where(F.col(shard_col) == first).orderBy("h", *key_cols).limit(batch_size)

@@ -160,10 +160,14 @@ def q_write_shards(spark, sf):
 
     path = scratch_path(spark, "shards")
     ctx = _ctx(spark, sf)
-    write_shards(shuffle_key(C.masked_rows(ctx)), path, num_shards=ctx.cfg.data.num_shards, rows_per_file=20, total_rows=C.raw_sequences(ctx).count())
-    # the place of a row in its file, then in its shard: files are in order, a shard's buckets are, too
-    back = spark.read.parquet(path).select("doc_id", "row_no", "shard", "bucket", "input", "target", "mask", F.monotonically_increasing_id().alias("place"))
-    pos = F.row_number().over(Window.partitionBy("shard").orderBy("bucket", "place")) - 1
+    raw = C.written_sequences(ctx)
+    write_shards(shuffle_key(C.masked_rows(ctx, raw)), path, num_shards=ctx.cfg.data.num_shards, rows_per_file=20, total_rows=raw.count())
+    # a row's place in its shard: its place in its file after the rows of the shard's earlier buckets, a file each
+    back = spark.read.parquet(path)
+    files = back.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    before = files.select("shard", "bucket", F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    back = back.select("doc_id", "row_no", "shard", "bucket", "input", "target", "mask", F.col("_metadata.row_index").alias("place")).join(before, ["shard", "bucket"])
+    pos = F.col("before") + F.col("place")
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",")
     digest = F.md5(F.concat(text("input"), F.lit("|"), text("target"), F.lit("|"), text("mask")))
     return back.select("doc_id", "row_no", "shard", "bucket", pos.cast("long").alias("pos"), digest.alias("digest"))
@@ -371,14 +375,19 @@ SELECT (SELECT count_if(isnan(loss)) FROM scored2) AS nan_losses,
 def q_quality_assert(spark, sf):
     from tokenmill.operators.checks import quality_report
     from tokenmill.operators.pairs import document_pairs, label_encode
+    from tokenmill.operators.shards import assign_shard, shuffle_key
     from tokenmill.plans.scoring import scored
+    from tokenmill.session import scratch_path
+    from tokenmill.sources.sinks import write_shards
 
     p = document_pairs(_table(spark, sf, "documents"), _table(spark, sf, "labels")).withColumn("label_id", label_encode("gold_label"))
     report = quality_report(scored(spark, sf), "loss", p, "label_id")
-    # the counters of all shards together are the size of the dataset
-    ctx = _ctx(spark, sf)
-    counted = C.shard_counts(ctx).agg(F.sum("rows").alias("n")).scalar()
-    return report.withColumn("rows_not_counted", C.raw_sequences(ctx).agg(F.count(F.lit(1))).scalar() - counted)
+    # the rows of the written shard files, each counted in its own shard's folder, are the size of the dataset
+    path = scratch_path(spark, "counted-shards")
+    raw = C.written_sequences(_ctx(spark, sf))
+    write_shards(shuffle_key(assign_shard(raw, 100)), path, total_rows=raw.count())
+    counted = spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).agg(F.sum("rows").alias("n")).scalar()
+    return report.withColumn("rows_not_counted", raw.agg(F.count(F.lit(1))).scalar() - F.coalesce(counted, F.lit(0)))
 
 
 @register(
@@ -1003,7 +1012,7 @@ SELECT shard, row_number() OVER (ORDER BY {O.u('files', 'shard')}, shard) - 1 AS
 def q_shuffle_shard_order(spark, sf):
     from tokenmill.operators.shards import assign_shard, shard_order
 
-    raw = assign_shard(C.raw_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
+    raw = assign_shard(C.written_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
     return shard_order(raw)
 
 
@@ -1068,11 +1077,10 @@ f AS (SELECT shard FROM (SELECT shard, row_number() OVER (ORDER BY {O.u('files',
 SELECT doc_id, row_no, shard, batch_no FROM b WHERE batch_no = 0 AND shard IN (SELECT shard FROM f)""",
 )
 def q_take_sample_batch(spark, sf):
-    from tokenmill.operators.shards import assign_shard, batch_numbers, sample_batch, shard_order
+    from tokenmill.operators.shards import assign_shard, first_batch
 
-    raw = assign_shard(C.raw_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
-    b = batch_numbers(raw, 16)
-    return sample_batch(b, shard_order(raw)).select("doc_id", "row_no", "shard", "batch_no")
+    raw = assign_shard(C.written_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
+    return first_batch(raw, 16).select("doc_id", "row_no", "shard", F.lit(0).cast("long").alias("batch_no"))
 
 
 @register(
@@ -1085,15 +1093,12 @@ SELECT doc_id, row_no, replace({_decode_sql('input', False)}, '[MASK]', '**[MASK
 )
 def q_sample_table(spark, sf):
     """What a reader looks at during training: the first batch in words, masks marked, beside its targets."""
-    from tokenmill.functions.rng import uniform
     from tokenmill.operators.encode import highlight_mask
-    from tokenmill.operators.shards import assign_shard, shuffle_key
+    from tokenmill.operators.shards import assign_shard, first_batch
 
     ctx = _ctx(spark, sf)
-    # at most num_shards shard numbers, of which the first in file order is read
-    first = assign_shard(C.raw_sequences(ctx).select("doc_id", "row_no"), 100).select("shard").distinct()
-    first = first.orderBy(uniform("files", "shard"), "shard").limit(1).select(F.col("shard").alias("first")).agg(F.max("first")).scalar()
-    rows = shuffle_key(C.masked_rows(ctx)).filter(F.col("shard") == first).orderBy("h", "doc_id", "row_no").limit(16)
+    raw = C.written_sequences(ctx)
+    rows = first_batch(C.masked_rows(ctx, raw), 16, shards=assign_shard(raw.select("doc_id", "row_no"), 100))
     d = ctx.encoder.decode
     return rows.select("doc_id", "row_no", highlight_mask(d("input", skip_special_tokens=False)).alias("input"), d("target").alias("target"))
 

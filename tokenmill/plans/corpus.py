@@ -31,6 +31,7 @@ class CorpusContext:
     vocab: V.Vocab
     encoder: Encoder
     cfg: Config
+    sequences: DataFrame | None = None  # written once, see written_sequences
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,16 @@ def shard_counts(ctx: CorpusContext) -> DataFrame:
 _CONTEXTS: dict = {}
 
 
+def written_sequences(ctx: CorpusContext) -> DataFrame:
+    """The raw sequences, written to the shared folder by the first plan that asks: several plans, or branches of one, read them."""
+    if ctx.sequences is None:
+        raw = raw_sequences(ctx)
+        path = scratch_path(ctx.spark, "sequences")
+        raw.write.parquet(path)
+        ctx.sequences = ctx.spark.read.schema(raw.schema).parquet(path)
+    return ctx.sequences
+
+
 def table_version(spark: SparkSession, path: str) -> tuple:
     """Path, files, bytes and time of a table, from the file system's listing; a rewritten table has another version."""
     jvm = spark.sparkContext._jvm
