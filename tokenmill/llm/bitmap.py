@@ -32,10 +32,10 @@ def xxhash64(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def build(values: DataFrame, column: str, n: int) -> np.ndarray:
-    """Bits of all values of a long column; ``n``: about how many differ."""
+def build(values: DataFrame, column: str, n: int, each: int = 16) -> np.ndarray:
+    """Bits of all values of a long column; ``n``: about how many differ; ``each``: bits for one of them (1 in ``each`` others passes)."""
     bits = LEAST
-    while bits < 16 * n and bits < MOST:
+    while bits < each * n and bits < MOST:
         bits *= 2
     slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
     words = values.where(F.col(column).isNotNull()).select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("b")).toArrow()

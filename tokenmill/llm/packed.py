@@ -1,4 +1,4 @@
-"""Which 64-bit keys stand in two documents, without a row per key.
+"""Word pairs exchanged as packed bytes: which keys stand in two documents, and sets of pairs by word.
 
 A task collects the keys of its texts, keeps each once with a mark whether two of its own
 documents hold it, and hands them over in buckets as five bytes each. A bucket is the
@@ -6,6 +6,10 @@ remainder of the hash, so buckets are even however often a key occurs, and their
 follows from the size of the table. Keys are cut to 40 bits and the bucket: a false
 agreement lets a key pass that one document alone holds, which the exact step after it
 sorts out.
+
+Sets of pairs (word, history) go by word: in a bucket, a word is written once and each of its
+histories takes six bytes, with one more for what is counted. A word's histories are spread
+over the root of the number of buckets, so that no word fills a bucket.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.llm.words import mix64
+
 BUCKET_KEYS = 2_000_000
 _REST = np.uint64((1 << 40) - 1)
 _PART = pa.schema([("bucket", pa.int32()), ("twice", pa.bool_()), ("keys", pa.binary())])
@@ -85,3 +91,42 @@ def in_two(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np.n
 
     parts = rows.mapInArrow(run, "bucket int, twice boolean, keys binary").withColumn("buckets", F.lit(buckets))
     return parts.groupBy("bucket").applyInArrow(_merge, "k long")
+
+
+HISTORY_BITS = 48
+SETS = "bucket int, words binary, sizes binary, entries binary"
+_SETS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("entries", pa.binary())])
+
+
+def bucket_of(word: np.ndarray, history: np.ndarray, buckets: int) -> np.ndarray:
+    part = mix64(history) % np.uint64(max(1, int(np.sqrt(buckets))))
+    return (mix64(word + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+
+
+def sets(word: np.ndarray, history: np.ndarray, code: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: its words, how many entries each has, and the entries (history, then the code if there is one)."""
+    bucket = bucket_of(word, history, buckets)
+    # runs of a word: two words that agree in 48 bits may alternate, which makes more runs only
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (word >> np.uint64(16)), kind="stable")
+    bucket, word, history = bucket[order], word[order], history[order]
+    wide = np.ascontiguousarray(history.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+    entry = np.ascontiguousarray(wide if code is None else np.column_stack((wide, code[order].astype(np.uint8))))
+    run = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1])))) if len(word) else np.empty(0, np.int64)
+    size = np.diff(np.append(run, len(word))).astype("<u4")
+    owner, name = bucket[run], word[run].astype("<u8")
+    at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(run) else np.empty(0, np.int64)
+    ends = np.append(at[1:], len(run))
+    edge = np.append(run, len(word))
+    cells = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
+    entries = pa.array([entry[edge[i] : edge[j]].tobytes() for i, j in zip(at, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(owner[at], pa.int32()), cells(name), cells(size), entries], schema=_SETS)
+
+
+def unpacked(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Word, history and code of all entries of a bucket; ``width``: bytes of an entry, 6 or 7."""
+    joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+    entry = joined("entries", np.uint8).reshape(-1, width)
+    wide = np.zeros((len(entry), 8), np.uint8)
+    wide[:, :6] = entry[:, :6]
+    word = np.repeat(joined("words", "<u8"), joined("sizes", "<u4"))
+    return word, wide.view("<u8").ravel(), entry[:, 6] if width == 7 else None
