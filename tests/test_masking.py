@@ -65,3 +65,16 @@ def test_shares_within_five_sigma(spark):
     for k, p in expected.items():
         sigma = math.sqrt(n * p * (1 - p))
         assert abs(stats.get(k, 0) - n * p) < 5 * sigma
+
+
+def test_engines_agree_on_null_keys_and_tokens_and_long_rows(spark):
+    rows = [(None, 0, list(range(20))), (5, None, [1, None, 3]), (6, 1, None), (7, 2, []), (8, 3, list(range(300))), (9, 4, [7] * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, row_no int, tokens array<int>").coalesce(1)
+    for seed in ("mask", "a seed that does not fit into one block of the hash, nor does its row"):
+        a, b = (mask_tokens(df, 2, 500, seed=seed, keep_choice=True, engine=e).orderBy("row_no").collect() for e in ("arrow", "sql"))
+        assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
+def test_masking_hashes_no_position_in_a_lambda(spark):
+    plan = mask_tokens(_frame(spark), 77, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
