@@ -195,3 +195,25 @@ def test_sequences_that_lost_bytes():
     assert tx.repair_encoding("smile ðŸ?€ end") == "smile \ufffd end"
     for whole in ("voilà? oui", "déjà vu??", "où est-il? là?", "plain \ufffd stays", "é?? what"):
         assert tx.repair_encoding(whole) == whole
+
+
+def test_cached_pieces_equal_the_longest_match_of_every_word(spark):
+    import random
+
+    import numpy as np
+
+    from tokenmill.functions import text as tx
+    from tokenmill.operators import encode as E
+
+    r = random.Random(3)
+    tokens = ["[CLS]", "[SEP]", "[MASK]", "[UNK]", "a", "b", "(", "##a", "##b", "##c", "abc", "##bca", "ab", "##]", "####"]
+    table = {t: i for i, t in enumerate(tokens)}
+    ids = E._Ids(tokens, 3, 6, tx.words_of)
+    for _ in range(2000):
+        w = "".join(r.choice("abc(]#é") for _ in range(r.randint(0, 8)))
+        assert np.frombuffer(ids._word(w), np.int32).tolist() == E.wordpiece_word(w, table, 3, 6, 5), w
+        text = " ".join("".join(r.choice("abAB,\n\tÉ") for _ in range(r.randint(0, 6))) for _ in range(4))
+        want = [i for x in tx.split_words(tx.normalize_one(text)) for i in E.wordpiece_word(x, table, 3, 6, 5)]
+        assert np.frombuffer(b"".join(map(ids.__getitem__, tx.pieces(text))), np.int32).tolist() == want
+    ids["x" * 100]
+    assert "x" * 100 not in ids

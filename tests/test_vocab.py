@@ -87,3 +87,30 @@ def test_word_vocabulary_layout(spark):
     assert [t for t, _ in rows[10:]] == ["ab"]
     rep = V.check_vocabulary(vocab).first()
     assert rep.dup_tokens == 0 and rep.dup_ids == 0
+
+
+def test_pairs_that_share_a_side_are_merged_in_one_round():
+    ranked = [("a", "##b", 10), ("a", "##c", 9), ("d", "##b", 8), ("##b", "##e", 7), ("f", "##g", 6)]
+    assert V.select_round(ranked, set(), 100, by_side=True) == ranked[:3]
+    assert V.select_round(ranked, set(), 100) == ranked[:1]
+    # (x, a) may have become (x, ab): a clash, as is a symbol beside itself
+    assert V.select_round([("##a", "##b", 10), ("##x", "##a", 9)], set(), 100, by_side=True) == [("##a", "##b", 10)]
+    assert V.select_round([("##a", "##b", 10), ("##a", "##a", 9)], set(), 100, by_side=True) == [("##a", "##b", 10)]
+
+
+def test_rounds_by_side_equal_one_by_one_on_random_words(spark):
+    import random
+
+    r = random.Random(5)
+    rows = sorted({"".join(r.choice("abcd") for _ in range(r.randint(1, 7))): r.randint(1, 30) for _ in range(60)}.items())
+    res = V.train_vocabulary(spark.createDataFrame(rows, "word string, count long"), vocab_size=45, min_frequency=2)
+    want, merges = _one_by_one(rows, 45)
+    assert [x.token for x in res.vocabulary.orderBy("id").collect()] == want
+    assert res.merges == merges and res.rounds < len(merges)
+
+
+def test_word_counts_equal_the_words_of_all_lines(spark):
+    texts = ["The cat's  café\tCAFÉ\nnaïve 3x4 Å¨ a", "x" * 300 + " İstanbul ﬁne\r\n y\x1cz \x85q", None, "", " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = V.corpus_words(docs).groupBy("word").count()
+    assert sorted(map(tuple, V.word_counts(docs).collect())) == sorted(map(tuple, plain.collect()))

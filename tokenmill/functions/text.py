@@ -80,9 +80,32 @@ def normalize_one(s):
         return None
     if s.isascii():
         return s.lower()
-    d = unicodedata.normalize("NFKD", s)
     # each character by itself: the form of a letter does not depend on its place in the word
-    return "".join(ch.lower() for ch in d if unicodedata.category(ch) != "Mn")
+    return unicodedata.normalize("NFKD", s).translate(_FOLDED)
+
+
+class _Folded(dict):
+    """Code point -> its lower case, nothing for a non-spacing mark; filled as characters come."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        form = self[code] = "" if unicodedata.category(ch) == "Mn" else ch.lower()
+        return form
+
+
+_FOLDED = _Folded()
+
+
+def pieces(s: str) -> list[str]:
+    """A text cut at blanks and line breaks: no word crosses one, so a piece can be normalised and split by itself."""
+    return s.replace("\n", " ").split(" ")
+
+
+def words_of(piece: str) -> list[str]:
+    """Normalised words of a piece of text."""
+    if piece.isascii() and piece.isalpha():
+        return [piece.lower()]
+    return split_words(normalize_one(piece))
 
 
 @F.pandas_udf(T.StringType())

@@ -1,17 +1,18 @@
 """Encoding operators: subword encoding, special tokens, truncation, padding, decoding.
 
 Text goes to ids in one Arrow-batched function (normalise, split, greedy longest
-match; vocabulary broadcast once, word cache kept by each worker); special tokens,
-pair layout, truncation, padding and decoding are built-in array functions.
+match; vocabulary broadcast once, a cache of what stands between blanks kept by each
+worker); special tokens, pair layout, truncation, padding and decoding are built-in array functions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,9 @@ from tokenmill.functions import text as tx
 from tokenmill.operators.vocab import CONTINUATION, Vocab
 
 _WORKER_STATE: dict = {}
-_CACHE_LIMIT = 500_000  # words a worker remembers at most; results do not depend on it
-_STATES = 4  # vocabularies a worker keeps at most
+_CACHE_LIMIT = 200_000  # words a worker remembers at most; results do not depend on it
+_CACHED_CHARS = 64  # longer ones are not remembered, so the cache is bounded in bytes, too
+_STATES = 2  # encoders a worker keeps at most, each with its cache
 
 
 def wordpiece_word(word: str, table: dict, unk: int, max_chars: int, max_piece: int) -> list[int]:
@@ -49,20 +51,75 @@ def wordpiece_word(word: str, table: dict, unk: int, max_chars: int, max_piece:
     return out
 
 
-def _worker_table(bc, key: str):
-    """Token table and word cache of one vocabulary, kept by a Python worker from batch to batch."""
-    state = _WORKER_STATE.get(key)
-    if state is None:
-        tokens = bc.value
-        table = {t: i for i, t in enumerate(tokens)}
-        max_piece = 1
-        for t in tokens:
-            core = t[len(CONTINUATION):] if t.startswith(CONTINUATION) else t
-            max_piece = max(max_piece, len(core))
+def _longest(pieces) -> re.Pattern:
+    """A pattern that matches the longest of the pieces: a trie whose branches differ in their first character."""
+    trie: dict = {}
+    for p in pieces:
+        node = trie
+        for ch in p:
+            node = node.setdefault(ch, {})
+        node[""] = None
+
+    def pattern(node: dict) -> str:
+        leaves = [ch for ch, below in node.items() if ch and set(below) == {""}]
+        ways = [re.escape(ch) + pattern(below) for ch, below in node.items() if ch and set(below) != {""}]
+        if leaves:
+            ways.append("[" + "".join(map(re.escape, leaves)) + "]")
+        return "(?:" + "|".join(ways) + (")?" if "" in node else ")")
+
+    return re.compile(pattern(trie) if trie else "(?!)")
+
+
+class _Ids(dict):
+    """Ids (as bytes of 32-bit numbers) of whatever stands between two blanks; what was seen is remembered."""
+
+    def __init__(self, tokens, unk: int, max_chars: int, split):
+        n = len(CONTINUATION)
+        self.firsts = {t: struct.pack("=i", i) for i, t in enumerate(tokens) if t}
+        self.rests = {t[n:]: struct.pack("=i", i) for i, t in enumerate(tokens) if t.startswith(CONTINUATION) and len(t) > n}
+        self.first, self.rest = _longest(self.firsts).match, _longest(self.rests).findall
+        self.unk, self.max_chars, self.split = struct.pack("=i", unk), max_chars, split
+
+    def _word(self, word: str) -> bytes:
+        """What ``wordpiece_word`` gives, by one pattern for the first piece and one for the others."""
+        if len(word) <= self.max_chars:
+            got = self.firsts.get(word)
+            if got is not None:
+                return got
+            head = self.first(word)
+            if head:
+                rest = self.rest(word, head.end())
+                if head.end() + sum(map(len, rest)) == len(word):
+                    return self.firsts[head[0]] + b"".join([self.rests[p] for p in rest])
+            elif not word:
+                return b""
+        return self.unk
+
+    def __missing__(self, piece: str) -> bytes:
+        got = b"".join(map(self._word, self.split(piece)))
+        if len(piece) <= _CACHED_CHARS:
+            if len(self) >= _CACHE_LIMIT:
+                self.clear()
+            self[piece] = got
+        return got
+
+
+def _worker_ids(key: str, bc, unk: int, max_chars: int, split) -> _Ids:
+    """The ids of one vocabulary and kind of text, kept by a Python worker from batch to batch and task to task."""
+    known = _WORKER_STATE.get(key)
+    if known is None:
         if len(_WORKER_STATE) >= _STATES:
             _WORKER_STATE.clear()
-        state = _WORKER_STATE[key] = (table, max_piece, {})
-    return state
+        known = _WORKER_STATE[key] = _Ids(bc.value, unk, max_chars, split)
+    return known
+
+
+def _lists(rows: list[bytes | None]) -> pa.Array:
+    """Arrow lists of 32-bit ids; None is null."""
+    sizes = np.fromiter((0 if r is None else len(r) // 4 for r in rows), np.int64, len(rows))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(r for r in rows if r))])
+    return pa.ListArray.from_arrays(pa.array(offsets), ids, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
 def _make_encoders(vocab: Vocab, bc, max_chars: int):
@@ -70,26 +127,21 @@ def _make_encoders(vocab: Vocab, bc, max_chars: int):
     unk = vocab.unk_id
     key = hashlib.sha1("\n".join([str(max_chars), *vocab.tokens]).encode()).hexdigest()
 
-    def ids_of(words, table, max_piece, cache):
-        ids: list[int] = []
-        for w in words:
-            got = cache.get(w)
-            if got is None:
-                if len(cache) >= _CACHE_LIMIT:
-                    cache.clear()
-                got = cache[w] = wordpiece_word(w, table, unk, max_chars, max_piece)
-            ids += got
-        return np.asarray(ids, dtype=np.int32)
-
-    def encoder(split):
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode(values: pd.Series) -> pd.Series:
-            state = _worker_table(bc, key)
-            return pd.Series([None if v is None else ids_of(split(v), *state) for v in values], dtype=object)
+    def encoder(kind: str, parts, split):
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode(values: pa.Array) -> pa.Array:
+            known = _worker_ids(key + kind, bc, unk, max_chars, split)
+            # text by text: a batch of long texts is never held as Python strings
+            values = (v.as_py() for v in values)
+            return _lists([None if v is None else b"".join(map(known.__getitem__, parts(v))) for v in values])
 
         return encode
 
-    return encoder(lambda words: words), encoder(tx.split_words), encoder(lambda text: tx.split_words(tx.normalize_one(text)))
+    return (
+        encoder("words", lambda words: words, lambda word: [word]),
+        encoder("normalized", tx.pieces, tx.split_words),
+        encoder("raw", tx.pieces, tx.words_of),
+    )
 
 
 class Encoder:

@@ -8,6 +8,7 @@ and broadcast; the corpus and the word-count table never leave the executors.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from tokenmill.functions import text as tx
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[MASK]", "[UNK]"]
 CONTINUATION = "##"
 MAX_VOCAB_ROWS = 65535
+_COUNTED = 100_000  # pieces of text a task counts before it hands their words on
 
 VOCAB_SCHEMA = T.StructType(
     [
@@ -44,8 +46,32 @@ def corpus_words(docs: DataFrame, text_col: str = "text", fix=None) -> DataFrame
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", fix=None) -> DataFrame:
-    """``word, count`` over the corpus (partial aggregation map-side absorbs hot words)."""
-    return corpus_words(docs, text_col, fix).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    """``word, count`` over the corpus: counted inside each task, then added up by word."""
+    text = F.col(text_col) if fix is None else fix(F.col(text_col))
+    return docs.select(text.alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def _count_words(batches):
+    """``word, n`` of a task's texts: what stands between blanks is counted first and split into words once."""
+    import pyarrow as pa
+
+    def flush(seen: dict[str, int]):
+        words: dict[str, int] = {}
+        for piece, n in seen.items():
+            for w in tx.words_of(piece):
+                words[w] = words.get(w, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+
+    seen: Counter = Counter()
+    for b in batches:
+        for text in b.column(0):
+            if text.is_valid:
+                seen.update(tx.pieces(text.as_py()))
+            if len(seen) >= _COUNTED:
+                yield flush(seen)
+                seen.clear()
+    if seen:
+        yield flush(seen)
 
 
 def _chars(word: Column) -> Column:
@@ -149,7 +175,7 @@ def merge_token(left: str, right: str) -> str:
 
 
 def select_round(
-    ranked: list[tuple[str, str, int]], known: set[str], room: int, complete: bool = True
+    ranked: list[tuple[str, str, int]], known: set[str], room: int, complete: bool = True, by_side: bool = False
 ) -> list[tuple[str, str, int]]:
     """Merges of one round: the longest prefix of the ranked pairs that equals one-by-one merging.
 
@@ -160,18 +186,25 @@ def select_round(
     exists, and when ``room`` new tokens have been added. When ``ranked`` is
     only the head of a longer list (``complete=False``), unseen pairs may tie
     with its last count, so accepted pairs with that count are dropped too.
+
+    ``by_side=True`` lets pairs share a symbol on the same side: (a, b) and (a, d), or (a, b)
+    and (c, b), never overlap in a word, so neither changes the other's count. A new pair
+    (x, ab) has at most the count that (x, a) had, which is ranked before it or clashes: only
+    a symbol that ends one pair and begins another is a clash.
     """
     taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
+    firsts: set[str] = set()  # symbols that a later pair may not end with
+    lasts: set[str] = set()  # symbols that a later pair may not begin with
     made: set[str] = set()
     new_tokens = 0
     for left, right, count in ranked:
-        if left in used or right in used:
+        if left in lasts or right in firsts:
             kept = [p for p in taken if p[2] != count]
             return kept if kept else taken[:1]
         token = merge_token(left, right)
         taken.append((left, right, count))
-        used.update((left, right))
+        firsts.update((left,) if by_side else (left, right))
+        lasts.update((right,) if by_side else (left, right))
         exists = token in known or token in made
         if not exists:
             made.add(token)
@@ -310,7 +343,7 @@ def train_vocabulary(
             break
         ranked = [(r["left"], r["right"], int(r["count"])) for r in head]
         now = []
-        for left, right, _ in select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round):
+        for left, right, _ in select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round, by_side=True):
             token = merge_token(left, right)
             now.append((left, right, token))
             if token not in known:
