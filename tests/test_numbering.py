@@ -42,3 +42,19 @@ def test_checkpoint_mode(spark):
     df = spark.range(0, 50).withColumnRenamed("id", "k")
     got = sorted((r.k, r.idx) for r in index_by_order(df, ["k"]).collect())
     assert got == [(i, i) for i in range(50)]
+
+
+def test_prefix_sum_makes_its_input_once(spark):
+    from tokenmill.plans.numbering import prefix_sum
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 100, numPartitions=4).selectExpr("id", "id AS n").mapInArrow(counted, "id long, n long")
+    out = {r.id: r.start for r in prefix_sum(df, ["id"], "n").collect()}
+    assert out == {i: i * (i - 1) // 2 for i in range(100)}
+    assert seen.value == 100

@@ -138,3 +138,27 @@ def test_records_with_line_breaks_across_many_splits(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_text_corpus_of_a_folder_is_that_of_its_pattern(spark, tmp_path):
+    from tokenmill.sources.readers import scan_text_corpus
+
+    for k in range(5):
+        (tmp_path / f"d={k}").mkdir()
+        (tmp_path / f"d={k}" / f"b{k}.txt").write_text(f"text {k}\nsecond line\n")
+        (tmp_path / f"d={k}" / "notes.md").write_text("no book")
+    one, other = (sorted(map(tuple, scan_text_corpus(spark, p).collect())) for p in (f"{tmp_path}", f"{tmp_path}/*/*.txt"))
+    assert one == other and len(one) == 5
+
+
+def test_small_shard_files_are_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tokenmill.operators.shards import assign_shard, shuffle_key
+    from tokenmill.sources.sinks import write_shards
+
+    rows = shuffle_key(assign_shard(spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("row_no")), 20))
+    write_shards(rows, str(tmp_path / "s"), num_shards=20, rows_per_file=2, total_rows=400)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    tasks = back.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("t")).distinct().count()
+    assert back.count() == 400 and tasks > 8

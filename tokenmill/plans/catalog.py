@@ -90,12 +90,18 @@ def q_scan_text_corpus(spark, sf):
     """One text file per document, written by Spark, read back whole and numbered in the order of their paths."""
     from tokenmill.session import scratch_path
     from tokenmill.sources.readers import assign_doc_ids, scan_text_corpus
+    from tokenmill.sources.sinks import BY_TASK, write_tasks
 
     path = scratch_path(spark, "books")
-    _table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
-    files = scan_text_corpus(spark, f"{path}/*/*.txt")
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition(write_tasks(docs), "doc_id").write.options(**BY_TASK).partitionBy("doc_id").text(path)
+    # the files are opened once; the paths alone are numbered
+    read = scratch_path(spark, "books-read")
+    scan_text_corpus(spark, path).write.parquet(read)
+    files = spark.read.parquet(read)
     folder = F.regexp_extract("path", "doc_id=([^/]*)/[^/]*$", 1)
-    return assign_doc_ids(files.select("path", "text")).select(F.col("doc_id").alias("file_no"), folder.alias("folder"), "text")
+    numbers = assign_doc_ids(files.select("path"))
+    return files.join(numbers, "path").select(F.col("doc_id").alias("file_no"), folder.alias("folder"), "text")
 
 
 @register(
@@ -132,13 +138,14 @@ def q_write_packed(spark, sf):
     from tokenmill.sources.sinks import write_packed
 
     path = scratch_path(spark, "raw")
-    write_packed(C.raw_sequences(_ctx(spark, sf)), path, 1000)
+    write_packed(C.written_sequences(_ctx(spark, sf)), path, 1000)
     back = spark.read.parquet(path)
     return back.groupBy("file_no").agg(
         F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
 
 
+_SHARD_ROW = "doc_id long, row_no int, input array<int>, target array<int>, mask array<boolean>, shard int, bucket int"
 _DIGEST_SQL = "md5(array_to_string(input, ',') || '|' || array_to_string(target, ',') || '|' || array_to_string(list_transform(mask, lambda m: m::INTEGER), ','))"
 
 
@@ -163,14 +170,17 @@ def q_write_shards(spark, sf):
     raw = C.written_sequences(ctx)
     write_shards(shuffle_key(C.masked_rows(ctx, raw)), path, num_shards=ctx.cfg.data.num_shards, rows_per_file=20, total_rows=raw.count())
     # a row's place in its shard: its place in its file after the rows of the shard's earlier buckets, a file each
-    back = spark.read.parquet(path)
+    # the files are many and small: they are opened once, what the places follow from is written beside them
+    back = spark.read.schema(_SHARD_ROW).parquet(path)
+    text = lambda c: F.array_join(F.col(c).cast("array<int>").cast("array<string>"), ",")
+    digest = F.md5(F.concat(text("input"), F.lit("|"), text("target"), F.lit("|"), text("mask")))
+    found = scratch_path(spark, "shard-rows")
+    back.select("doc_id", "row_no", "shard", "bucket", digest.alias("digest"), F.col("_metadata.row_index").alias("place")).write.parquet(found)
+    back = spark.read.parquet(found)
     files = back.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = files.select("shard", "bucket", F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    back = back.select("doc_id", "row_no", "shard", "bucket", "input", "target", "mask", F.col("_metadata.row_index").alias("place")).join(before, ["shard", "bucket"])
     pos = F.col("before") + F.col("place")
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",")
-    digest = F.md5(F.concat(text("input"), F.lit("|"), text("target"), F.lit("|"), text("mask")))
-    return back.select("doc_id", "row_no", "shard", "bucket", pos.cast("long").alias("pos"), digest.alias("digest"))
+    return back.join(before, ["shard", "bucket"]).select("doc_id", "row_no", "shard", "bucket", pos.cast("long").alias("pos"), "digest")
 
 
 @register("op_dataset_size", CORPUS + "\nSELECT count(*) AS rows FROM seqs")
@@ -1000,7 +1010,7 @@ SELECT doc_id, row_no, {O.shard_expr()} AS shard,
 def q_shuffle_within_shard(spark, sf):
     from tokenmill.operators.shards import assign_shard, rank_within_shard
 
-    raw = assign_shard(C.raw_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
+    raw = assign_shard(C.written_sequences(_ctx(spark, sf)).select("doc_id", "row_no"), 100)
     return rank_within_shard(raw).select("doc_id", "row_no", "shard", "pos")
 
 

@@ -96,7 +96,8 @@ def prefix_sum(
     (the partition's rows stay in place), then shifted by partition offsets.
     """
     group_cols = list(group_cols)
-    ordered = _sorted(df, group_cols, order_cols, num_partitions)
+    # range bounds are sampled from the frame before it is exchanged: what it takes to make it is done once
+    ordered = _sorted(_written(df), group_cols, order_cols, num_partitions)
     schema = T.StructType(
         ordered.schema.fields
         + [T.StructField("__pid", T.IntegerType()), T.StructField("__local", T.LongType())]

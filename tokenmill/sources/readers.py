@@ -37,8 +37,12 @@ def scan_documents(spark: SparkSession, path: str, columns=("doc_id", "text")) -
 
 
 def scan_text_corpus(spark: SparkSession, pattern: str) -> DataFrame:
-    """One document per text file: ``path, text`` (whole file, newlines normalised later)."""
-    return spark.read.text(pattern, wholetext=True).select(
+    """One document per text file: ``path, text`` (whole file, newlines normalised later).
+
+    ``pattern`` names the files, or a folder: its files ``*.txt`` at any depth, which tasks list side by side.
+    """
+    options = {} if any(ch in pattern for ch in "*?[{") or pattern.endswith(".txt") else {"recursiveFileLookup": True, "pathGlobFilter": "*.txt"}
+    return spark.read.options(**options).text(pattern, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from tokenmill.plans.numbering import index_by_order
 
+#: Tasks put their own files in place. Many files would otherwise be moved one by one by the driver at the end.
+BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def write_tasks(df: DataFrame) -> int:
+    """Tasks for a write of many small files: what they cost is their number, which no estimate by bytes sees."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def number_files(df: DataFrame, rows_per_file: int, order_cols=("doc_id", "row_no")) -> DataFrame:
     """``file_no = floor(global_row / rows_per_file)`` in document order (partition offsets)."""
@@ -27,6 +36,7 @@ def write_packed(df: DataFrame, path: str, rows_per_file: int, order_cols=("doc_
         numbered.repartition("file_no")
         .sortWithinPartitions("file_no", "global_row")
         .write.mode(mode)
+        .options(**BY_TASK)
         .partitionBy("file_no")
         .parquet(path)
     )
@@ -71,9 +81,10 @@ def write_shards(
     b = F.least(F.floor(F.col(order_col) * buckets_per_shard), F.lit(buckets_per_shard - 1)).cast("int")
     staged = df.withColumn("bucket", b)
     writer = (
-        staged.repartition(shard_col, "bucket")
+        staged.repartition(write_tasks(df), shard_col, "bucket")
         .sortWithinPartitions(shard_col, "bucket", order_col, *key_cols)
         .write.mode(mode)
+        .options(**BY_TASK)
         .partitionBy(shard_col, "bucket")
     )
     writer.parquet(path)
@@ -85,7 +96,7 @@ def write_crop(rows: DataFrame, assignment: DataFrame, path: str, order_cols=("d
     from tokenmill.operators.crop import crop_rows
 
     kept = crop_rows(rows, assignment)
-    kept.repartition("file_no").sortWithinPartitions("file_no", *order_cols).write.mode(mode).partitionBy("file_no").parquet(path)
+    kept.repartition("file_no").sortWithinPartitions("file_no", *order_cols).write.mode(mode).options(**BY_TASK).partitionBy("file_no").parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, subset_col="subset", cols=("index", "prediction"), mode="overwrite") -> None:
