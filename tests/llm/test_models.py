@@ -1,5 +1,7 @@
 """Learnt operators on the given tables (held-out accuracy) and on odd rows."""
 
+from collections import Counter
+
 import numpy as np
 
 from tests.llm.common import odd_documents, rng
@@ -62,6 +64,50 @@ def test_toxicity_of_ordinary_words_together(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 3 != 2]
 
 
+def _plain_difference(texts, toxic, taught):
+    """Both mean log-likelihoods of every text, word by word, from plain counts; their difference."""
+    pairs = [list(zip([""] + t.split()[:-1], t.split())) for t in texts]
+    count = {s: Counter(p for i in taught if toxic[i] == s for p in set(pairs[i])) for s in (1, 0)}
+    words = {s: Counter(w for _, w in count[s]) for s in (1, 0)}
+    shared = Counter(w for _, w in {p for ps in pairs for p in ps})
+    total = sum(shared.values()) + toxicity.UNSEEN
+
+    def kept(table, s, discount):
+        size = sum(table[s].values()) / sum(table[1 - s].values())
+        return {k: max(n - discount * max(1, size) - toxicity.FACTOR * size * table[1 - s][k], 0) for k, n in table[s].items()}
+
+    mean = []
+    for s in (1, 0):
+        low, high, after, rest = kept(words, s, toxicity.DISCOUNT), kept(count, s, toxicity.PAIR_DISCOUNT), Counter(), Counter()
+        n = sum(words[s].values())
+        for (h, w), c in count[s].items():
+            after[h] += c
+            rest[h] += high[h, w]
+        lower = lambda w: low.get(w, 0) / n + (1 - sum(low.values()) / n) * shared[w] / total  # noqa: B023, E731
+        p = lambda h, w: high.get((h, w), 0) / after[h] + (1 - rest[h] / after[h]) * lower(w) if after[h] else lower(w)  # noqa: B023, E731
+        mean.append([np.mean([np.log(p(*x)) for x in ps]) for ps in pairs])
+    return np.subtract(*mean)
+
+
+def test_toxicity_compares_both_mean_log_likelihoods(spark):
+    """Words and pairs of both classes, also what speaks for the ordinary one."""
+    import zlib
+
+    r = rng(11)
+    fill = lambda n: " ".join(f"v{min(r.randrange(60), r.randrange(60))}" for _ in range(n))
+    kinds = ["{} thanks a lot {} kind {}", "{} go {} home {} dear {}", "{} go home {} awful {}", "{} {} {}"]
+    texts = [kinds[i % 4].format(*(fill(r.randrange(1, 9)) for _ in range(4))) for i in range(400)]
+    toxic = [int(i % 4 == 2) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels)
+    got = {x.doc_id: x.x for x in docs.select("doc_id", *toxicity._text_keys("text")).join(m.evidence, ["t1", "t2"], "left").collect()}
+    taught = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    want = _plain_difference(texts, toxic, taught)
+    assert max(abs((m.base if got[i] is None else got[i]) - want[i]) for i in got) < 1e-3
+    assert min(want) < m.base < max(want)  # what ordinary texts say counts against
+
+
 def test_number_of_pairs_is_estimated():
     r = np.random.default_rng(3)
     for n in (100, 50_000, 1_000_000):

@@ -3,28 +3,33 @@
 Each class counts, for every pair (history, word), its training documents that hold the
 pair, so one text repeating itself counts once. The lower order is the continuation
 count: the distinct histories of a word in the class. What it reserves goes to one shared
-distribution, the distinct histories of a word in the whole corpus, labelled or not. At
-each order both classes reserve the same mass (the larger share of the two that keep any;
-a class that keeps none is its backoff), so a word that neither has seen is equally
-likely in both and long or foreign texts are not drawn to the smaller class. A pair that
-neither class keeps is weighed as its word.
-
-A document's two length-normalised log-likelihoods are compared word by word: evidence
-is the mean, over all words, of what the toxic model gains on the ordinary one beyond
-``MARGIN``. Gains below the margin are language and topic. Two numbers (slope and
-intercept) turn the root of the evidence into a probability; they are fitted on at most
-``CALIBRATED`` documents of one training fold, judged by a model without it.
+distribution, the distinct histories of a word in the whole corpus, labelled or not.
+
+Interpolated, with absolute discounts: P(w) = kept(w) / n + rest * shared(w) and
+P(w | h) = kept(h, w) / n(h) + rest(h) * P(w), where rest is the share the discounts leave,
+so both are distributions. The discount of a count is a constant (``DISCOUNT``, ``PAIR_DISCOUNT``;
+in the larger class as many times larger as the class is) and ``FACTOR`` times the count
+that the other class leads one to expect. So a class keeps what it says several times as often as
+the other, and language and topic, which it has by chance of its few documents, come from
+the shared counts in both.
+
+A document's two length-normalised log-likelihoods, mean ln P over all its words, are
+compared: their difference is the evidence. Two numbers (slope and intercept) turn its root, with its
+sign, into a probability; they are fitted on at most ``CALIBRATED`` documents of one training fold, judged
+by models without it. The difference is added up from its parts: the same for every word,
+what a kept word adds, what a history of kept pairs adds to each word after it, and what a
+kept pair adds to its word and history. The parts that are zero are left out.
 
 Most pairs stand in one document of the corpus only. A first pass finds those that stand
 in two (``packed.in_two``); the others are added up by word inside the task and are never
 exchanged as pairs.
 
-Counts and gains are Spark tables by 64-bit word hashes and grow with the corpus; every
-labelled row that is not held out is learnt from. Only gains that are not zero are kept,
-and documents meet them in a join. One number is estimated (2^14 registers, 0.8 %): how
+Counts and parts are Spark tables by 64-bit word hashes and grow with the corpus; every
+labelled row that is not held out is learnt from. Documents meet the parts in a join, but for a bounded number of the
+most frequent ones, which tasks hold. One number is estimated (2^14 registers, 0.8 %): how
 many pairs the corpus holds, which the shared counts are divided by.
 
-Defined cases: null and empty texts have no evidence and get the intercept's score;
+Defined cases: null and empty texts score like texts of words that no class keeps;
 labels without id or value are ignored and repeated ones count once (toxic if any says
 so); with no training row of either class all scores are 0. Results are one per row.
 """
@@ -45,17 +50,19 @@ from tokenmill.llm.words import ALNUM, Words, mix64, slices, words
 CALIBRATED = 20_000  # training rows that slope and intercept are fitted on, at most
 DISCOUNT = 2.0  # of a word's histories
 PAIR_DISCOUNT = 8.0  # of a pair's documents; near copies share pairs (chosen on the training folds)
-MARGIN = 2.0
+FACTOR = 5.0  # a class keeps a count beyond so many times what the other expects (chosen on the training folds)
 REMAINDERS = 5  # of the id's hash; 0 is held out
 FOLDS = 2  # training folds: remainder 1, which slope and intercept are fitted on, and 2 to 4
 BROADCAST_LABELS = 2_000_000  # labelled rows (some 20 bytes each) up to which texts stay where they are; beyond, both sides are exchanged
 PIECE = 1_000_000  # pairs a task adds up before it hands them on
 REGISTERS = 14  # bits
+FREQUENT = 1 << 17  # parts of the difference, at most, that tasks add up by themselves (24 bytes each); the others meet the texts in a join
 RARE = 1024  # bits of a bitmap for a word or pair that all texts are asked for
 UNSEEN = float(1 << 18)  # shared counts kept for words that the corpus lacks; they decide in small tables only
 _FOLLOW = pa.schema([("h", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
 _REGISTER_PARTS = 64
-_HIT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("words", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_HIT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("words", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sum0", pa.float64()), ("sum1", pa.float64())])
+_HIT_SQL = "t1 long, t2 long, words long, key long, n long, sum0 double, sum1 double"
 #: models: of all training folds, and without the one that is judged to fit the curve
 _MODELS = range(2)
 _SIDES = ("toxic", "ordinary")
@@ -84,6 +91,10 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(mix64(h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xDA942042E4DD58B5) + w)
 
 
+def history_key(h: np.ndarray) -> np.ndarray:
+    return mix64(mix64(h + np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD1342543DE82EF95))
+
+
 def _pair_keys(b: pa.RecordBatch):
     for i, j in slices(b.column(0)):
         w = words(b.column(0).slice(i, j - i), ALNUM)
@@ -236,26 +247,43 @@ def estimate(register: np.ndarray) -> float:
     return m * np.log(m / empty) if e <= 2.5 * m and empty else e
 
 
-def _hits(bits):
-    """Words and pairs of each text that may have a gain. A pair stands beside its word, never instead of it."""
+def _hits(bits, frequent):
+    """Words, pairs and histories of each text that may have a part in the difference; the frequent ones as their sums, without a key."""
 
     def run(b: pa.RecordBatch):
         t1, t2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        names, gains = frequent.value
         for i, j in slices(b.column(0)):
             w = words(b.column(0).slice(i, j - i), ALNUM)
-            key, doc = np.concatenate((w.hash, pair_key(_history(w), w.hash))), np.tile(w.text_of(), 2)
-            some = bitmap.test(bits.value, key.view(np.int64)) if len(key) else np.empty(0, bool)
+            if not len(w.hash):
+                continue
+            h = _history(w)
+            key, doc = np.concatenate((w.hash, pair_key(h, w.hash), history_key(h))).view(np.int64), np.tile(w.text_of(), 3)
+            some = bitmap.test(bits.value, key)
             key, doc = key[some], doc[some]
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
             new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (key[1:] != key[:-1])))) if len(key) else np.empty(0, np.int64)
             n = np.diff(np.append(new, len(key)))
-            at = doc[new]
-            yield batch(_HIT, t1[i:j][at], t2[i:j][at], w.counts()[at], key[new].view(np.int64), n)
+            at, key = doc[new], key[new]
+            place = np.searchsorted(names, key)
+            known = place < len(names)
+            known[known] = names[place[known]] == key[known]
+            # added up in the order of the keys, so equal texts have equal sums
+            sums = [np.bincount(at[known], weights=n[known] * gains[place[known], v], minlength=j - i) for v in _MODELS]
+            own = np.flatnonzero(np.bincount(at[known], minlength=j - i))
+            rest, none = at[~known], np.zeros(len(own), np.int64)
+            zero = np.zeros(len(rest))
+            yield batch(_HIT, t1[i:j][rest], t2[i:j][rest], w.counts()[rest], key[~known], n[~known], zero, zero)
+            yield batch(_HIT, t1[i:j][own], t2[i:j][own], w.counts()[own], pa.nulls(len(own), pa.int64()), none, *(x[own] for x in sums))
 
     return run
 
 
+def _root(x: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.sqrt(np.abs(x))
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve (Newton steps with a slight ridge)."""
     scale = x.std() or 1.0
@@ -273,17 +301,22 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    """``t1, t2, x``: evidence of each text that has any, by its hashes, and the curve it is judged by."""
+    """``t1, t2, x``: difference of the mean log-likelihoods of texts by their hashes, ``base`` of all others, and the curve it is judged by."""
 
     evidence: DataFrame
     slope: float = 0.0
     intercept: float = 0.0
+    base: float = 0.0
     fitted: bool = True
 
     def score(self, x: Column) -> Column:
         if not self.fitted:
             return F.lit(0.0)
-        return F.lit(1.0) / (1 + F.exp(-(F.lit(float(self.slope)) * F.coalesce(x, F.lit(0.0)) + F.lit(float(self.intercept)))))
+        x = F.coalesce(x, F.lit(float(self.base)))
+        return F.lit(1.0) / (1 + F.exp(-(F.lit(float(self.slope)) * F.signum(x) * F.sqrt(F.abs(x)) + F.lit(float(self.intercept)))))
+
+    def judges_base_toxic(self) -> bool:
+        return self.fitted and self.slope * float(_root(np.float64(self.base))) + self.intercept >= 0
 
 
 def _text_keys(text: str, names=("t1", "t2")) -> list[Column]:
@@ -313,61 +346,51 @@ def pair_counts(t: DataFrame) -> DataFrame:
     return out
 
 
-def _ratio(v: int, share: float, shared: str, pair: bool) -> str:
-    """Toxic over ordinary probability of a word, or of a word after its history, in one model."""
-
-    def word(side):
-        kept = f"k_{side}{v}"
-        return f"(CASE WHEN {kept}_all > 0 THEN {1 - share!r}D * {kept} / {kept}_all + {share!r}D * {shared} ELSE {shared} END)"
-
-    def after(side):
-        kept = f"greatest({_of(side, v)} - {PAIR_DISCOUNT}D, 0D)"
-        lam = f"greatest({', '.join(f'IF(hk_{s}{v} > 0, 1 - hk_{s}{v} / hn_{s}{v}, 0D)' for s in _SIDES)})"
-        return f"(CASE WHEN hk_{side}{v} > 0 THEN (1 - {lam}) * {kept} / hk_{side}{v} + {lam} * {word(side)} ELSE {word(side)} END)"
-
-    p = after if pair else word
-    # without shared counts the quotient bounds the one with them from above, where it is above 1
-    return f"(CASE WHEN {p('ordinary')} > 0 THEN {p('toxic')} / {p('ordinary')} WHEN {p('toxic')} > 0 THEN 1e300D ELSE 1D END)"
-
-
-def _gain(v: int, share: float, pair: bool) -> str:
-    return f"greatest(ln({_ratio(v, share, 'shared', pair)}) - {MARGIN}D, 0D)"
+def _kept(s: str, v: int, count: str, discount: float, total: dict[str, float]) -> str:
+    """What a class keeps of a count: beyond the discount, and beyond ``FACTOR`` times what the other class expects."""
+    other = _SIDES[1 - _SIDES.index(s)]
+    size = total[f"{s}{v}"] / total[f"{other}{v}"]
+    return f"greatest({count.format(s=s, v=v)} - {discount * max(1.0, size)!r}D - {FACTOR * size!r}D * {count.format(s=other, v=v)}, 0D)"
 
 
-def gains(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """``key, gain``: what a word adds beyond the margin, and what a pair adds to its word, in each model.
+def parts(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[float]] | None:
+    """``key, gain``: what a word, a pair and a history add to the difference in each model, and what every word adds.
 
     None where a class has no training row with words.
     """
     spark = docs.sparkSession
     t = rows.select("text", (F.col("fold") - 1 + F.lit(FOLDS) * (1 - F.col("toxic"))).cast("int").alias("slot"))
     counted = pair_counts(t)
-    pairs, lone_words = counted.where("h IS NOT NULL"), counted.where("h IS NULL")
     sides = [(s, v) for v in _MODELS for s in _SIDES]
-    kept = lambda s, v: F.expr(f"greatest({_of(s, v)} - {PAIR_DISCOUNT}D, 0D)")
-    count = pairs.select("w", *(F.expr(f"IF({_of(s, v)} > 0, 1L, 0L)").alias(f"n_{s}{v}") for s, v in sides))
-    count = count.unionByName(lone_words.select("w", *(F.expr(_of(s, v)).alias(f"n_{s}{v}") for s, v in sides)))
-    count = count.groupBy("w").agg(*(F.sum(f"n_{s}{v}").alias(f"n_{s}{v}") for s, v in sides))
-    count = stored(count.selectExpr("*", *(f"greatest(n_{s}{v} - {DISCOUNT}D, 0D) AS k_{s}{v}" for s, v in sides)), "toxic-words")
-    total = count.agg(*(F.sum(f"{k}_{s}{v}").alias(f"{k}_{s}{v}") for s, v in sides for k in "nk")).collect()[0].asDict()
-    if not total["n_toxic0"] or not total["n_ordinary0"]:
+    counts = counted.select("w", "h", *(F.expr(_of(s, v)).alias(f"c_{s}{v}") for s, v in sides))
+    # continuation counts; pairs of one document are counted for their word already
+    names = [f"{s}{v}" for s, v in sides]
+    continued = [F.expr(f"IF(h IS NULL, c_{x}, least(c_{x}, 1L))").alias(f"n_{x}") for x in names]
+    word_counts = counts.select("w", *continued)
+    ends = counts.agg(*(F.sum(f"c_{x}") for x in names), *map(F.sum, continued)).collect()[0]
+    of_pairs, of_words = ({k: float(x or 0) for k, x in zip(names, ends[i : i + len(names)])} for i in (0, len(names)))
+    if not of_words["toxic0"] or not of_words["ordinary0"]:
         return None
-    share = [max((1 - total[f"k_{s}{v}"] / total[f"n_{s}{v}"] for s in _SIDES if total[f"k_{s}{v}"]), default=1.0) for v in _MODELS]
-    count = count.drop(*(f"n_{s}{v}" for s, v in sides)).withColumns({f"k_{s}{v}_all": F.lit(float(total[f"k_{s}{v}"] or 0)) for s, v in sides})
-    most = " OR ".join(f"({{}}) > {float(np.exp(MARGIN))!r}D" for _ in _MODELS)
-    may = lambda pair: most.format(*(_ratio(v, share[v], "0D", pair) for v in _MODELS))
-    own = count.where(may(False))
-    # pairs that a class keeps: toxic ones, and ordinary ones of words that have a gain
-    strong = pairs.where(f"{_of('toxic', 0)} > {PAIR_DISCOUNT}").unionByName(pairs.where(f"{_of('toxic', 0)} <= {PAIR_DISCOUNT} AND {_of('ordinary', 0)} > {PAIR_DISCOUNT}").join(own.select("w"), "w", "left_semi"))
-    strong = stored(strong, "toxic-strong")
-    after = stored(strong.select("h").distinct(), "toxic-after")
+    # the model that judges its own fold's rows may lack a class; then it keeps nothing
+    models = [v for v in _MODELS if of_words[f"toxic{v}"] and of_words[f"ordinary{v}"]]
+
+    def kept(table: DataFrame, keys: list[str], count: str, discount: float, total: dict[str, float]) -> DataFrame:
+        own = table.select(*keys, *(F.expr(_kept(s, v, count, discount, total) if v in models else "0D").alias(f"k_{s}{v}") for s, v in sides))
+        return own.where(" OR ".join(f"k_{x} > 0" for x in names))
+
+    own = stored(kept(word_counts.groupBy("w").agg(*(F.sum(f"n_{x}").alias(f"n_{x}") for x in names)), ["w"], "n_{s}{v}", DISCOUNT, of_words), "toxic-words")
+    held = stored(kept(counts.where("h IS NOT NULL"), ["h", "w"], "c_{s}{v}", PAIR_DISCOUNT, of_pairs), "toxic-held")
+    sums = own.agg(*(F.sum(f"k_{x}") for x in names)).collect()[0]
+    rest = {x: 1 - (k or 0.0) / of_words[x] if of_words[x] else 1.0 for x, k in zip(names, sums)}
+    # what the histories of kept pairs leave to the lower order
+    after = stored(held.groupBy("h").agg(*(F.sum(f"k_{x}").alias(f"k_{x}") for x in names)), "toxic-after")
     bits = spark.sparkContext.broadcast(bitmap.build(after, "h", after.count()))
-    follow = t.mapInArrow(arrow_stage(_histories(bits)), "h long, slot int, n long").join(after, "h", "left_semi").groupBy("h").agg(*map(F.expr, _BY_SLOT))
+    follow = t.mapInArrow(arrow_stage(_histories(bits)), "h long, slot int, n long").join(after.select("h"), "h", "left_semi").groupBy("h").agg(*map(F.expr, _BY_SLOT))
     follow = follow.select("h", *(F.expr(_of(s, v)).cast("double").alias(f"hn_{s}{v}") for s, v in sides))
-    about = pairs.join(after, "h", "left_semi").groupBy("h").agg(*(F.sum(kept(s, v)).alias(f"hk_{s}{v}") for s, v in sides)).join(follow, "h")
-    strong = stored(strong.join(about, "h").join(count, "w"), "toxic-histories")
+    about = after.join(follow, "h").select("h", (F.col("hn_toxic0") + F.col("hn_ordinary0")).alias("often"), *(f"hn_{x}" for x in names), *(F.expr(f"IF(hn_{x} > 0, 1 - k_{x} / hn_{x}, 1D)").alias(f"rest_{x}") for x in names))
+    about = stored(about, "toxic-histories")
     bits.destroy()
-    asked = stored(own.select("w").union(strong.where(may(True)).select("w")).distinct(), "toxic-asked")
+    asked = stored(own.select("w").union(held.select("w")).distinct(), "toxic-asked")
     # shared backoff: distinct histories in the whole corpus
     bits = spark.sparkContext.broadcast(bitmap.build(asked, "w", asked.count(), RARE))
     buckets = packed.buckets_for((docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) / 12)
@@ -377,44 +400,60 @@ def gains(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     ranks = seen.where("w IS NULL").selectExpr("shiftright(n, 8) AS at", "n & 255 AS r").toArrow()
     register = np.zeros(1 << REGISTERS, np.int64)
     register[ranks["at"].to_numpy()] = ranks["r"].to_numpy()
-    shared = seen.join(asked, "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n")).select("w", (F.col("n") / F.lit(estimate(register) + UNSEEN)).alias("shared"))
-    shared = stored(shared, "toxic-shared")
-    array = lambda pair: "array(" + ", ".join(_gain(v, share[v], pair) for v in _MODELS) + ")"
-    word = count.join(shared, "w").selectExpr("w AS key", f"{array(False)} AS gain")
-    both = strong.join(shared, "w").selectExpr("h", "w", f"zip_with({array(True)}, {array(False)}, (p, q) -> p - q) AS gain").where("exists(gain, x -> x <> 0)")
+    shared = seen.join(asked, "w", "left_semi").groupBy("w").agg(F.sum("n").cast("double").alias("often")).withColumn("shared", F.col("often") / F.lit(estimate(register) + UNSEEN))
+    lower = shared.join(own, "w", "left").select("w", "often", *(F.expr(f"coalesce(k_{x}, 0D) / {of_words[x] or 1.0!r}D + {rest[x]!r}D * shared").alias(f"p_{x}") for x in names))
+    lower = stored(lower, "toxic-lower")
+    base = [float(np.log(rest[f"toxic{v}"] / rest[f"ordinary{v}"])) for v in _MODELS]
+    array = lambda part: "array(" + ", ".join(part.format(t=f"toxic{v}", o=f"ordinary{v}", base=repr(base[v])) for v in _MODELS) + ") AS gain"
+    word, history = "ln(p_{t} / p_{o})", "ln(rest_{t} / rest_{o})"
+    after_h = "(IF(hn_{0} > 0, k_{0} / hn_{0}, 0D) + rest_{0} * p_{0})"
+    pair = f"ln({after_h.format('{t}')} / {after_h.format('{o}')}) - {word} - {history}"
+    both = held.join(about.drop("often"), "h").join(lower.drop("often"), "w").selectExpr("h", "w", "k_toxic0 + k_ordinary0 AS often", array(pair))
+    both = both.unionByName(about.selectExpr("h", "CAST(NULL AS long) AS w", "often", array(history)))
 
     def keyed(b):
-        h, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_key(h, w).view(np.int64)), b.column(2)], names=["key", "gain"])
+        h, w = (b.column(k).fill_null(0).to_numpy().view(np.uint64) for k in (0, 1))
+        key = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), history_key(h), pair_key(h, w))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(2), b.column(3)], names=["key", "often", "gain"])
 
-    both = both.mapInArrow(arrow_stage(keyed), "key long, gain array<double>")
-    return stored(word.where("exists(gain, x -> x <> 0)").unionByName(both), "toxic-gains")
+    gain = lower.selectExpr("w AS key", "often", array(word + " - ({base}D)")).unionByName(both.mapInArrow(arrow_stage(keyed), "key long, often double, gain array<double>"))
+    return stored(gain.where("exists(gain, x -> abs(x) > 1e-15)"), "toxic-gains"), base
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", calibrated: int = CALIBRATED) -> Model:
-    """Learn both class models from the labelled rows that are not held out, the backoff from all documents; weigh every text."""
+    """Learn both class models from the labelled rows that are not held out, the backoff from all documents; compare them on every text."""
     spark = docs.sparkSession
     rows = _label_rows(labels, "doc_id", toxic)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stored(rows, "toxic-labels")
     n = rows.count()
-    gain = gains(d, d.join(F.broadcast(rows) if n <= BROADCAST_LABELS else rows, "doc_id"))
-    if gain is None:
+    found = parts(d, d.join(F.broadcast(rows) if n <= BROADCAST_LABELS else rows, "doc_id"))
+    if found is None:
         return Model(docs.limit(0).select(*_text_keys(text), F.lit(0.0).alias("x")), fitted=False)
+    gain, base = found
     bits = spark.sparkContext.broadcast(bitmap.build(gain, "key", gain.count(), RARE))
+    most = gain.orderBy(F.desc("often"), "key").limit(FREQUENT).select("key", *(F.col("gain")[v].alias(f"g{v}") for v in _MODELS)).toArrow().sort_by("key")
+    frequent = spark.sparkContext.broadcast((most["key"].to_numpy(), np.column_stack([most[f"g{v}"].to_numpy() for v in _MODELS])))
     # equal texts give equal rows, so one is left of each
-    hits = d.select("text", *_text_keys("text")).mapInArrow(arrow_stage(_hits(bits)), "t1 long, t2 long, words long, key long, n long").distinct()
-    x = hits.join(gain, "key").groupBy("t1", "t2").agg(*(F.sqrt(F.greatest(F.sum(F.col("n") * F.col("gain")[v]) / F.max("words"), F.lit(0.0))).alias(f"x{v}") for v in _MODELS))
+    hits = d.select("text", *_text_keys("text")).mapInArrow(arrow_stage(_hits(bits, frequent)), _HIT_SQL).distinct()
+    hits = stored(hits, "toxic-hits")
+    parted = hits.join(gain, "key").select("t1", "t2", "words", *(F.expr(f"n * gain[{v}]").alias(f"sum{v}") for v in _MODELS))
+    summed = parted.unionByName(hits.where("key IS NULL").select("t1", "t2", "words", *(f"sum{v}" for v in _MODELS)))
+    x = summed.groupBy("t1", "t2").agg(*((F.sum(f"sum{v}") / F.max("words") + F.lit(base[v])).alias(f"x{v}") for v in _MODELS))
     x = stored(x, "toxic-evidence")
     bits.destroy()
+    frequent.destroy()
     few = rows.where("fold = 1")
     n = few.count()
     if n > calibrated:
         few = few.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * calibrated / n))
     taught = d.select("doc_id", *_text_keys("text")).join(few, "doc_id").join(x, ["t1", "t2"], "left")
-    taught = taught.select(F.coalesce("x1", F.lit(0.0)).alias("x"), F.col("toxic").cast("double").alias("y")).toArrow().sort_by([("x", "ascending"), ("y", "ascending")])
+    taught = taught.select(F.coalesce("x1", F.lit(base[1])).alias("x"), F.col("toxic").cast("double").alias("y")).toArrow().sort_by([("x", "ascending"), ("y", "ascending")])
     evidence = x.select("t1", "t2", F.col("x0").alias("x"))
-    return Model(evidence, *(float(p) for p in _calibrate(taught["x"].to_numpy(), taught["y"].to_numpy()))) if taught.num_rows else Model(evidence, fitted=False)
+    if not taught.num_rows:
+        return Model(evidence, fitted=False)
+    slope, intercept = _calibrate(_root(taught["x"].to_numpy()), taught["y"].to_numpy())
+    return Model(evidence, float(slope), float(intercept), base[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,17 +467,17 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def remove(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` (all columns) that are not judged toxic."""
     m = fit(docs, labels, doc_id, text)
-    if m.fitted and m.intercept >= 0:  # then even texts without evidence are
-        return docs.limit(0)
+    all_gone = m.judges_base_toxic()  # then texts without kept words are toxic, too
     names = [fresh(docs.columns, n) for n in ("toxic_t1", "toxic_t2")]
-    gone = stored(m.evidence.where(m.score(F.col("x")) >= 0.5).select(F.col("t1").alias(names[0]), F.col("t2").alias(names[1])), "toxic-texts")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(gone, names[0], gone.count()))
+    other = m.evidence.where((m.score(F.col("x")) >= 0.5) != F.lit(all_gone))
+    other = stored(other.select(F.col("t1").alias(names[0]), F.col("t2").alias(names[1])), "toxic-texts")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(other, names[0], other.count()))
 
     @F.arrow_udf("boolean")
     def maybe(t1: pa.Array) -> pa.Array:
         return pa.array(bitmap.test(bits.value, t1.to_numpy(zero_copy_only=False)))
 
-    # only rows that may go are exchanged
+    # only rows that may be judged otherwise than a text without kept words are exchanged
     first, second = _text_keys(text, names)
-    asked = docs.where(maybe(first)).select("*", first, second).join(gone, names, "left_anti").drop(*names)
-    return docs.where(~maybe(first)).unionByName(asked)
+    asked = docs.where(maybe(first)).select("*", first, second).join(other, names, "left_semi" if all_gone else "left_anti").drop(*names)
+    return asked if all_gone else docs.where(~maybe(first)).unionByName(asked)
