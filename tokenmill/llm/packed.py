@@ -103,13 +103,13 @@ def bucket_of(word: np.ndarray, history: np.ndarray, buckets: int) -> np.ndarray
     return (mix64(word + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
 
-def sets(word: np.ndarray, history: np.ndarray, code: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """One row per bucket: its words, how many entries each has, and the entries (history, then the code if there is one)."""
+def sets(word: np.ndarray, history: np.ndarray, code: np.ndarray | None, buckets: int, kept: int = 6) -> pa.RecordBatch:
+    """One row per bucket: its words, how many entries each has, and the entries (``kept`` bytes of the history, then the code if there is one)."""
     bucket = bucket_of(word, history, buckets)
     # runs of a word: two words that agree in 48 bits may alternate, which makes more runs only
     order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (word >> np.uint64(16)), kind="stable")
     bucket, word, history = bucket[order], word[order], history[order]
-    wide = np.ascontiguousarray(history.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+    wide = np.ascontiguousarray(history.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :kept]
     entry = np.ascontiguousarray(wide if code is None else np.column_stack((wide, code[order].astype(np.uint8))))
     run = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1])))) if len(word) else np.empty(0, np.int64)
     size = np.diff(np.append(run, len(word))).astype("<u4")
@@ -122,11 +122,11 @@ def sets(word: np.ndarray, history: np.ndarray, code: np.ndarray | None, buckets
     return pa.RecordBatch.from_arrays([pa.array(owner[at], pa.int32()), cells(name), cells(size), entries], schema=_SETS)
 
 
-def unpacked(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Word, history and code of all entries of a bucket; ``width``: bytes of an entry, 6 or 7."""
+def unpacked(group: pa.Table, width: int, kept: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Word, history and code of all entries of a bucket; ``width``: bytes of an entry, with a code one more than those of the history."""
     joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
     entry = joined("entries", np.uint8).reshape(-1, width)
     wide = np.zeros((len(entry), 8), np.uint8)
-    wide[:, :6] = entry[:, :6]
+    wide[:, :kept] = entry[:, :kept]
     word = np.repeat(joined("words", "<u8"), joined("sizes", "<u4"))
-    return word, wide.view("<u8").ravel(), entry[:, 6] if width == 7 else None
+    return word, wide.view("<u8").ravel(), entry[:, kept] if width > kept else None

@@ -57,6 +57,7 @@ BROADCAST_LABELS = 2_000_000  # labelled rows (some 20 bytes each) up to which t
 PIECE = 1_000_000  # pairs a task adds up before it hands them on
 REGISTERS = 14  # bits
 FREQUENT = 1 << 17  # parts of the difference, at most, that tasks add up by themselves (24 bytes each); the others meet the texts in a join
+SEEN_BYTES = 4  # of a history in the shared counts: of a million histories of a word some 100 agree in them
 RARE = 1024  # bits of a bitmap for a word or pair that all texts are asked for
 UNSEEN = float(1 << 18)  # shared counts kept for words that the corpus lacks; they decide in small tables only
 _FOLLOW = pa.schema([("h", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
@@ -203,7 +204,7 @@ def _seen(bits, buckets: int):
                 some = bitmap.test(bits.value, w.hash[first].view(np.int64))
                 found.append((key[some], w.hash[first[some]], h[first[some]]))
                 n += int(some.sum())
-                if n >= PIECE:
+                if n >= 2 * PIECE:
                     yield _distinct(found, buckets)
                     found, n = [], 0
         if n:
@@ -219,7 +220,7 @@ def _seen(bits, buckets: int):
 def _distinct(found, buckets: int) -> pa.RecordBatch:
     key, word, h = (np.concatenate(x) for x in zip(*found))
     first = np.unique(key, return_index=True)[1]
-    return packed.sets(word[first], h[first], None, buckets)
+    return packed.sets(word[first], h[first], None, buckets, SEEN_BYTES)
 
 
 def _count_seen(group: pa.Table) -> pa.Table:
@@ -231,7 +232,7 @@ def _count_seen(group: pa.Table) -> pa.Table:
             np.maximum(rank, np.frombuffer(part, np.uint8), out=rank)
         at = np.flatnonzero(rank)
         return pa.table({"w": pa.nulls(len(at), pa.int64()), "n": pa.array(((at + (-1 - bucket) * len(rank)) << 8) | rank[at].astype(np.int64))})
-    w, h, _ = packed.unpacked(group, 6)
+    w, h, _ = packed.unpacked(group, SEEN_BYTES, SEEN_BYTES)
     order = np.lexsort((h, w))
     w, h = w[order], h[order]
     new = np.concatenate(([True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])))
