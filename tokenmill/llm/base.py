@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from tokenmill.session import scratch_path, ship_package
 
 
+HEAP_SHARE = 0.5  # of the driver's heap limit; beyond it, its garbage is collected after a table is written
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -23,9 +27,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown.
+
+    Hundreds of short jobs make a heap grow to its limit, though little of it is in use: plans and
+    task events of tables that are written. With the plans, Spark's cleaner drops their shuffle files and broadcasts.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        gc.collect()  # what only Python still refers to
+        jvm.java.lang.System.gc()
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, or a variant of it that no column has (Spark compares names without case)."""
     have = {c.lower() for c in taken}
