@@ -83,3 +83,15 @@ def test_empty_table(spark):
     df = odd_documents(spark, [])
     assert spelling.variants(df).count() == 0
     assert spelling.variants(df.limit(0)).count() == 0
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Only the offsets of a numbering (a row a partition) may go through the driver, however small Spark takes a table to be."""
+    plans = []
+    stored = spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, name: plans.append(df) or stored(df, name))
+    df = odd_documents(spark, _texts(5))
+    plans.append(spelling.variants(df))
+    joins = [line for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) > 8
+    assert [x for x in joins if "Broadcast" in x and "__pid" not in x] == []

@@ -16,6 +16,7 @@ carry 64-bit hashes of their path; a last exact check of each pair makes collisi
 
 Words are counted by task before they are exchanged, and no group of rows by word, node
 or document is ever collected: hot nodes are skewed join keys, which adaptive execution splits.
+No join broadcasts a side that grows with the words (see ``_join``).
 
 Defined cases: null and empty texts have no words; a null doc_id is written as an empty
 string where the doc_id takes part in the hash; rows that repeat count again; words of any
@@ -51,6 +52,15 @@ for _ in range(8):
     _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the words: exchanged and merged, never broadcast.
+
+    Spark sizes what comes out of ``mapInArrow`` and ``posexplode`` by the columns alone (a list of nodes counts as one) and a
+    written table by its compressed files, so it would send tables of any size through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 # ---- words and how often they occur
 
 
@@ -182,23 +192,23 @@ def trie(words: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
     nxt = order.select((F.col("at") - 1).alias("at"), F.col("side").alias("s2"), F.col("word").alias("w2"))
     # where a word and its neighbour in order part, a node stands
     parting = F.arrow_udf(_parting, "long")
-    branch = order.join(nxt, "at").where("side = s2").select("side", parting("word", "w2").alias("node"), F.lit(False).alias("ends"))
+    branch = _join(order, nxt, "at").where("side = s2").select("side", parting("word", "w2").alias("node"), F.lit(False).alias("ends"))
     nodes = spelt.select("side", F.col("wid").alias("node"), F.lit(True).alias("ends")).unionByName(branch).groupBy("side", "node").agg(F.bool_or("ends").alias("ends"))
     n = F.size("nodes") - 1
     half = F.when(F.col("side") == 0, F.floor(n / 2)).otherwise(n - F.floor(n / 2)).cast("int")
     paths = sides.select("side", "wid", half.alias("half"), F.posexplode("nodes").alias("pos", "node")).where(F.col("pos") >= low)
-    explicit = stored(paths.join(nodes, ["side", "node"]), "trie-nodes")
+    explicit = stored(_join(paths, nodes, ["side", "node"]), "trie-nodes")
     w = Window.partitionBy("side", "wid").orderBy("pos")
     steps = explicit.select("side", "wid", "node", "pos", F.lead("pos").over(w).alias("pos2"), F.lead("node").over(w).alias("child"), F.lead("ends").over(w).alias("ends")).where("child IS NOT NULL")
     edges = steps.groupBy("side", "node", "child").agg(F.min(F.struct("wid", "pos", "pos2")).alias("by"), F.bool_or("ends").alias("ends"))
-    edges = edges.select("side", "node", "child", "ends", "by.wid", "by.pos", "by.pos2").join(spelt, ["side", "wid"])
+    edges = _join(edges.select("side", "node", "child", "ends", "by.wid", "by.pos", "by.pos2"), spelt, ["side", "wid"])
     edges = edges.select("side", "node", "child", "ends", F.expr("substring(word, pos + 1, pos2 - pos)").alias("label"))
     edges = stored(edges.withColumns({"first": F.substring("label", 1, 1), "bit": F.expr("shiftleft(1L, ascii(label) % 63)")}), "trie-edges")
     # which characters may follow behind a child: most states that cannot go on are never made
     follow = edges.groupBy("side", F.col("node").alias("child")).agg(F.bit_or("bit").alias("follow"))
-    edges = stored(edges.drop("bit").join(follow, ["side", "child"], "left").withColumn("follow", F.coalesce("follow", F.lit(0).cast("long"))), "trie-follow")
+    edges = stored(_join(edges.drop("bit"), follow, ["side", "child"], "left").withColumn("follow", F.coalesce("follow", F.lit(0).cast("long"))), "trie-follow")
     start = explicit.where("pos >= half").groupBy("side", "wid").agg(F.min(F.struct("pos", "node", "ends")).alias("s"))
-    return edges, start.join(spelt, ["side", "wid"]).select("side", "word", "s.pos", "s.node", "s.ends")
+    return edges, _join(start, spelt, ["side", "wid"]).select("side", "word", "s.pos", "s.node", "s.ends")
 
 
 def _parting(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -258,7 +268,7 @@ def near_pairs(words: DataFrame, least_length: int = 0) -> DataFrame:
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    pairs = hits.join(ends, ["side", "node"]).select(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("a"), "b")
+    pairs = _join(hits, ends, ["side", "node"]).select(F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("a"), "b")
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
@@ -272,15 +282,15 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     """
     words = stored(word_counts(docs, doc_id, text, least_length, least_count), "spellings")
     pairs = stored(near_pairs(words, least_length), "spelling-pairs")
-    near = pairs.join(words.select(F.col("word").alias("b"), F.col("n").alias("bn")), "b")
+    near = _join(pairs, words.select(F.col("word").alias("b"), F.col("n").alias("bn")), "b")
     best = near.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("bn")).alias("k"), "b")).alias("m"))
-    out = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("m.k") >= 2 * F.col("n"), F.col("m.b")).alias("form"), F.when(-F.col("m.k") >= 2 * F.col("n"), -F.col("m.k")).alias("form_n"))
+    out = _join(words, best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("m.k") >= 2 * F.col("n"), F.col("m.b")).alias("form"), F.when(-F.col("m.k") >= 2 * F.col("n"), -F.col("m.k")).alias("form_n"))
     out = stored(out, "spelling-forms")
     links = stored(out.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         nxt = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        far = stored(links.join(nxt, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
+        far = stored(_join(links, nxt, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
         links = far.select("word", "root")
         if far.where("moved").isEmpty():
             break
-    return out.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _join(out, links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
