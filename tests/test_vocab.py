@@ -114,3 +114,34 @@ def test_word_counts_equal_the_words_of_all_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     plain = V.corpus_words(docs).groupBy("word").count()
     assert sorted(map(tuple, V.word_counts(docs).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_tie_behind_the_last_pair_of_a_round_counts():
+    # ("##z", "##m") becomes ("##az", "##m"), which stands before ("##q", "##q") at the same count
+    tie = [("##a", "##z", 3), ("##q", "##q", 3), ("##z", "##m", 3)]
+    assert V.select_round(tie, {"##az"}, 100, by_side=True) == tie[:1]
+    assert V.select_round(tie[1:], set(), 1, by_side=True) == tie[1:2]
+
+
+def test_a_round_merges_more_than_pairs_that_do_not_touch(spark):
+    """A word grows from its letters to a token in one round, not in one round a letter."""
+    rows = [("abcdefgh", 90), ("abcdefgx", 40), ("uvwxyz", 30), ("uvw", 9)]
+    res = V.train_vocabulary(spark.createDataFrame(rows, "word string, count long"), vocab_size=100, min_frequency=2)
+    want, merges = _one_by_one(rows, 100)
+    assert [x.token for x in res.vocabulary.orderBy("id").collect()] == want
+    assert res.merges == merges and len(merges) > 10 and res.rounds == 1
+
+
+def test_rounds_of_few_kept_pairs_equal_one_by_one(spark, monkeypatch):
+    """Pieces of words, tokens made in two ways, an alphabet with the sign of a continuation, bounds that bite."""
+    import random
+
+    monkeypatch.setattr(V, "_PIECES", 6)
+    monkeypatch.setattr(V, "_HEAD", 9)
+    for seed, letters in ((1, "ab"), (2, "ab#")):
+        r = random.Random(seed)
+        rows = sorted({"".join(r.choice(letters) for _ in range(r.randint(1, 9))): r.randint(1, 9) for _ in range(25)}.items())
+        res = V.train_vocabulary(spark.createDataFrame(rows, "word string, count long"), vocab_size=26, min_frequency=2, candidates_per_round=3)
+        want, merges = _one_by_one(rows, 26)
+        assert [x.token for x in res.vocabulary.orderBy("id").collect()] == want
+        assert res.merges == merges

@@ -8,9 +8,13 @@ and broadcast; the corpus and the word-count table never leave the executors.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,10 +201,15 @@ def select_round(
     lasts: set[str] = set()  # symbols that a later pair may not begin with
     made: set[str] = set()
     new_tokens = 0
+    ended = None  # the count at which the round ended; a clash behind it at that count still drops pairs
     for left, right, count in ranked:
+        if ended is not None and count != ended:
+            return taken
         if left in lasts or right in firsts:
             kept = [p for p in taken if p[2] != count]
             return kept if kept else taken[:1]
+        if ended is not None:
+            continue
         token = merge_token(left, right)
         taken.append((left, right, count))
         firsts.update((left,) if by_side else (left, right))
@@ -210,7 +219,7 @@ def select_round(
             made.add(token)
             new_tokens += 1
         if left == right or exists or new_tokens >= room:
-            return taken
+            ended = count
     if not complete and taken:
         kept = [p for p in taken if p[2] != ranked[-1][2]]
         return kept if kept else taken[:1]
@@ -224,73 +233,267 @@ class TrainResult:
     rounds: int
 
 
-#: Stands around the symbols of a word; a noncharacter, which texts do not hold.
-EDGE = "\ufdd0"
-_COMPACT = 16  # rounds after which the pair counts are written anew
-_DELTAS = 500_000  # pairs a task holds before it hands their changes on
+# ---- merge training: words are lists of symbol numbers (places in the list of all tokens)
 
+_BLOCK = 65_536  # words a task looks at side by side
+_HEAD = 65_536  # pairs at most whose counts the driver knows in a round
+_PIECES = 200_000  # distinct pieces of words at most, and
+_SYMBOLS = 1_000_000  # symbols in them, that the driver merges in a round
+_NONE = np.iinfo(np.int64).max
+_WORDS = pa.schema([("ids", pa.list_(pa.int32())), ("n", pa.int64())])
 
-def _merge_round(merges: list[tuple[str, str, str]]):
-    """Words after one round of merges (kind 0: ``a`` the symbols, ``n`` the weight) and the changes of pair counts (kind 1).
 
-    Only words that hold a merged pair are taken apart; a word of one symbol has no pairs and is left out.
-    """
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
-    literal = lambda t: "".join(ch if ch.isalnum() and ch.isascii() else f"\\x{{{ord(ch):x}}}" for ch in t)
-    holds = "|".join(literal(f"{EDGE}{left}{EDGE}{right}{EDGE}") for left, right, _ in merges)
-
-    def merged(symbols: list[str]) -> list[str]:
-        """Left-to-right, non-overlapping merges, one after the other."""
-        for left, right, token in merges:
-            if left not in symbols:
-                continue
-            new, k = [], 0
-            while k < len(symbols):
-                if symbols[k] == left and k + 1 < len(symbols) and symbols[k + 1] == right:
-                    new.append(token)
-                    k += 2
-                else:
-                    new.append(symbols[k])
-                    k += 1
-            symbols = new
-        return symbols
+def _blocks(batches):
+    """``ids, sizes, n`` of many words at once: all their symbols, how many each has, their weights."""
+    held, rows = [], 0
 
-    def run(batches):
-        change: dict[tuple[str, str], int] = {}
+    def joined():
+        ids = pa.concat_arrays([b.column(0).flatten() for b in held]).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.concatenate([b.column(0).value_lengths().to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+        return ids, sizes, np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= _BLOCK:
+            yield joined()
+            held, rows = [], 0
+    if held:
+        yield joined()
+
+
+def _as_words(ids: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(n, pa.int64())], schema=_WORDS)
+
+
+def _codes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each symbol with the one behind it as one number; -1 for a word's last symbol."""
+    code = np.full(len(ids), -1, np.int64)
+    code[:-1] = (ids[:-1] << 32) | ids[1:]
+    code[np.cumsum(sizes) - 1] = -1
+    return code
+
+
+def _pair_codes(pairs) -> np.ndarray:
+    left, right = np.array(list(pairs), np.int64).reshape(-1, 2).T
+    return (left << 32) | right
 
-        def flush():
-            pairs = [(left, right, n) for (left, right), n in change.items() if n]
-            change.clear()
-            left, right, n = zip(*pairs) if pairs else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array([1] * len(n), pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], schema=schema)
 
+def _numbered(tokens: list[str]):
+    """``symbols, count`` as ``ids, n``."""
+    table = pa.array(tokens, pa.string())
+
+    def run(batches):
         for b in batches:
-            hit = pc.match_substring_regex(b.column(0), holds)
-            same = b.filter(pc.invert(hit))
-            words, weights = [], []
-            for word, weight in zip(*(c.to_pylist() for c in b.filter(hit).columns)):
-                old = word[1:-1].split(EDGE)
-                new = merged(old)
-                for symbols, n in ((old, -weight), (new, weight)):
-                    for pair in zip(symbols, symbols[1:]):
-                        change[pair] = change.get(pair, 0) + n
-                if len(new) > 1:
-                    words.append(EDGE + EDGE.join(new) + EDGE)
-                    weights.append(weight)
-            a = pa.concat_arrays([same.column(0), pa.array(words, pa.string())])
-            n = pa.concat_arrays([same.column(1), pa.array(weights, pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), a, pa.nulls(len(a), pa.string()), n], schema=schema)
-            if len(change) >= _DELTAS:
+            ids = pc.index_in(b.column(0).flatten(), table).to_numpy(zero_copy_only=False)
+            yield _as_words(ids, b.column(0).value_lengths().to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
+
+    return run
+
+
+def _pairs_in(tokens: list[str]):
+    """``left, right, n`` of the pairs in a task's words."""
+
+    def run(batches):
+        table = pa.array(tokens, pa.string())
+        for ids, sizes, n in _blocks(batches):
+            code, weight = _codes(ids, sizes), np.repeat(n, sizes)
+            code, weight = code[code >= 0], weight[code >= 0]
+            if len(code):
+                order = np.argsort(code, kind="stable")
+                code, first = np.unique(code[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([table.take(pa.array(code >> 32)), table.take(pa.array(code & 0xFFFFFFFF)), pa.array(np.add.reduceat(weight[order], first))], names=["left", "right", "n"])
+
+    return run
+
+
+def _pieces_of(kept: np.ndarray):
+    """``piece, n``: what is left of a task's words if they are cut between all neighbours that are no kept pair, as bytes of 32-bit numbers."""
+
+    def run(batches):
+        found: dict[bytes, int] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["piece", "n"])
+            found.clear()
+            return out
+
+        for ids, sizes, n in _blocks(batches):
+            joined = np.isin(_codes(ids, sizes), kept)
+            ends = joined.copy()
+            ends[1:] = joined[:-1] & ~joined[1:]
+            ends[0] = False
+            starts = joined.copy()
+            starts[1:] &= ~joined[:-1]
+            starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+            raw, weight = ids.astype(np.int32).tobytes(), np.repeat(n, sizes)[starts].tolist()
+            for s, e, w in zip((4 * starts).tolist(), (4 * ends).tolist(), weight):
+                piece = raw[s:e]
+                found[piece] = found.get(piece, 0) + w
+            if len(found) >= _COUNTED:
                 yield flush()
-        if change:
+        if found:
             yield flush()
 
     return run
 
 
+def _merged(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ranks: np.ndarray, made: np.ndarray):
+    """Words after merges, one after the other: ``codes`` are the pairs in order, ``ranks`` their places, ``made`` the token by place.
+
+    In each pass every word takes the first merge behind its last one that it holds; words without one are
+    given out, in any order: ``ids, sizes, at``, ``at`` their numbers.
+    """
+    at, last = np.arange(len(sizes)), np.full(len(sizes), -1, np.int64)
+    while len(at):
+        code = _codes(ids, sizes)
+        k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        rank = np.where(codes[k] == code, ranks[k], _NONE)
+        rank[rank <= np.repeat(last, sizes)] = _NONE
+        best = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
+        more = best < _NONE
+        each = np.repeat(more, sizes)
+        yield ids[~each], sizes[~more], at[~more]
+        ids, rank, sizes, at, best = ids[each], rank[each], sizes[more], at[more], best[more]
+        # left to right without overlap: of x x x the first two
+        hit = np.flatnonzero(rank == np.repeat(best, sizes))
+        run = np.arange(len(hit))
+        start = np.ones(len(hit), bool)
+        start[1:] = hit[1:] != hit[:-1] + 1
+        hit = hit[(run - np.maximum.accumulate(np.where(start, run, 0))) % 2 == 0]
+        ids[hit] = made[rank[hit]]
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = sizes - np.bincount(word[hit + 1], minlength=len(sizes))
+        ids = np.delete(ids, hit + 1)
+        last = best
+
+
+def _merge_words(merges: list[tuple[int, int, int]]):
+    """Words after a round of merges; a word of one symbol has no pairs and is left out."""
+    codes = _pair_codes((left, right) for left, right, _ in merges)
+    ranks = np.argsort(codes)
+    codes, made = codes[ranks], np.array([token for *_, token in merges], np.int64)
+
+    def run(batches):
+        for ids, sizes, n in _blocks(batches):
+            for i, s, at in _merged(ids, sizes, codes, ranks, made):
+                some = s > 1
+                if some.any():
+                    yield _as_words(i[np.repeat(some, s)], s[some], n[at[some]])
+
+    return run
+
+
+def _merges_of_pieces(
+    pieces: list[tuple[list[str], int]], counts: dict[tuple[str, str], int], kept: set[tuple[str, str]], beyond: int, unknown: int, known: set[str], room: int, min_frequency: int
+) -> list[tuple[str, str, str]]:
+    """The next merges, as far as the pieces of words tell them for certain; the first one they always do.
+
+    Words were cut between neighbours that are no ``kept`` pair; each of those pairs occurs ``beyond``
+    times at most (``counts`` of pairs the driver knows, ``unknown`` at most of any other). A merge moves the ends of tokens
+    and not the places where tokens meet, so a pair of tokens that were each made in one way meets where one certain
+    pair of symbols did: all of its places are in the pieces, or none is and it occurs no oftener than that pair.
+    Where a token was made in two ways (``lasts``, ``firsts``: the symbols its makings end and begin with), pairs may be
+    seen in part. They are ranked by the most they can have, and the round ends when one comes first.
+    """
+    seen: Counter = Counter()
+    where: dict[tuple[str, str], set[int]] = {}
+    for i, (symbols, n) in enumerate(pieces):
+        for p in zip(symbols, symbols[1:]):
+            seen[p] += n
+            where.setdefault(p, set()).add(i)
+    words = [symbols for symbols, _ in pieces]
+    before = set(known)
+    known, lasts, firsts = set(known), {}, {}
+    ways = 1  # of pairs of symbols that one pair of tokens may stand for
+
+    def unseen(p) -> int:
+        a, b = lasts.get(p[0], (p[0],)), firsts.get(p[1], (p[1],))
+        return 0 if len(a) * len(b) == 1 else sum(counts.get((x, y), unknown) for x in a for y in b if (x, y) not in kept)
+
+    heap = [(-n, *p) for p, n in seen.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str, str]] = []
+    done: set[tuple[str, str]] = set()
+    while room > 0:
+        least = max(ways * beyond, min_frequency - 1, 0)
+        ranked, have, complete, doubt = [], set(), True, False
+        while heap:
+            n, *p = heap[0]
+            p = tuple(p)
+            n = -n
+            if n <= least:
+                break
+            if len(ranked) == _AHEAD:
+                complete = False
+                break
+            heapq.heappop(heap)
+            hidden = unseen(p)
+            if seen[p] + hidden != n or p in have:
+                continue  # an entry that was overtaken
+            if hidden or p in done:
+                complete, doubt = False, True
+                break
+            have.add(p)
+            ranked.append((*p, n))
+        taken = select_round(ranked, known, room, complete, by_side=True)
+        for left, right, n in ranked[len(taken) :]:
+            heapq.heappush(heap, (-n, left, right))
+        changed, again = set(), set()
+        for left, right, _ in taken:
+            token = merge_token(left, right)
+            if token not in known:
+                known.add(token)
+                room -= 1
+            elif token not in lasts:
+                again.add(token)
+            own = {token} if token in before else set()
+            for ends, side in ((lasts, right), (firsts, left)):
+                had = ends.get(token, own)
+                ends[token] = had | ends.get(side, {side})
+                if had and ends[token] != had:
+                    again.add(token)
+            merges.append((left, right, token))
+            done.add((left, right))
+            for i in where.pop((left, right), ()):
+                old, n = words[i], pieces[i][1]
+                new, k, end = [], 0, len(old) - 1
+                while k <= end:
+                    if old[k] == left and k < end and old[k + 1] == right:
+                        new.append(token)
+                        k += 2
+                    else:
+                        new.append(old[k])
+                        k += 1
+                if len(new) == len(old):
+                    continue
+                for p in zip(old, old[1:]):
+                    seen[p] -= n
+                    changed.add(p)
+                for p in zip(new, new[1:]):
+                    seen[p] += n
+                    changed.add(p)
+                    where.setdefault(p, set()).add(i)
+                words[i] = new
+        if again:
+            ways = max(map(len, lasts.values())) * max(map(len, firsts.values()))
+            changed.update(p for p in seen if p[0] in again or p[1] in again)
+        for p in changed:
+            if seen[p] > 0:
+                heapq.heappush(heap, (-seen[p] - unseen(p), *p))
+        if doubt or not taken:
+            break
+    if not merges:  # the head of the ranking itself: all pairs before it are kept and seen whole
+        (left, right), n = min(seen.items(), key=lambda x: (-x[1], x[0]))
+        merges.append((left, right, merge_token(left, right)))
+    return merges
+
+
+_AHEAD = 64  # pairs looked at for merges that do not touch each other
+
+
 def train_vocabulary(
     counts: DataFrame,
     vocab_size: int,
@@ -298,19 +501,17 @@ def train_vocabulary(
     alphabet_size: int = 100,
     candidates_per_round: int = 1024,
 ) -> TrainResult:
-    """Merge training on the word-count table, several merges per round.
+    """Merge training on the word-count table, many merges per round.
 
     Same result as merging one best pair at a time (rank: count desc, left asc,
     right asc), stopping at ``vocab_size`` tokens or when the best count falls
     below ``min_frequency``.
 
-    Words and pair counts are tables in the shared folder. A round passes over the words once,
-    without an exchange: those that hold a merged pair are rewritten and emit the changes
-    they make to pair counts, words of one symbol leave the table, so rounds get cheaper.
-    Changes are summed by task, then with the counts written before them (written anew
-    every few rounds), and the head of the ranking (``candidates_per_round`` rows) decides
-    the next merges. The rest is ranked again in the next round, so the head's
-    length changes the number of rounds only. A lost worker loses nothing but its task.
+    Words are a table in the shared folder. In a round their pairs are counted, and the words are cut between all neighbours that
+    are not among the most frequent pairs. Many words leave the same pieces, so few are different: their number is
+    bounded, and by it the number of pairs (``candidates_per_round`` in the first round). The driver merges
+    inside the pieces as long as they tell the next merge for certain (``_merges_of_pieces``), then one pass over the words
+    applies all merges of the round. Words of one symbol leave the table. The bounds change the number of rounds only.
     """
     from tokenmill.session import scratch_path
 
@@ -326,46 +527,44 @@ def train_vocabulary(
     counts = written(counts, "word-counts")  # read twice below: the corpus is counted once
     alpha = spark.createDataFrame(alphabet(counts, alphabet_size).collect(), "char string, count long")  # bounded
     base_rows = base_vocabulary(alpha).collect()
-    known = {r.token for r in base_rows}
-    size = len(base_rows)
-    symbols = written(word_symbols(counts, alpha).where(F.size("symbols") > 1).select("symbols", F.col("count").cast("long").alias("count")), "symbols")
-    pairs = written(pair_counts(symbols), "pair-counts")
-    words = symbols.select(F.concat(F.lit(EDGE), F.array_join("symbols", EDGE), F.lit(EDGE)).alias("a"), F.col("count").alias("n"))
+    tokens = [r.token for r in base_rows]
+    number = {t: i for i, t in enumerate(tokens)}
+    symbols = word_symbols(counts, alpha).where(F.size("symbols") > 1).select("symbols", F.col("count").cast("long").alias("count"))
+    words = symbols.mapInArrow(_numbered(tokens), "ids array<int>, n long")
     # as many parts as tasks run at once: every round is one wave over them
     words = written(words.repartition(max(spark.sparkContext.defaultParallelism, words.rdd.getNumPartitions())), "words")
     merges: list[tuple[str, str, str]] = []
-    rounds = 0
-    changes: list[str] = []
-    total = pairs
-    while size < vocab_size:
-        head = total.filter(F.col("count") >= max(min_frequency, 1)).orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(candidates_per_round).collect()
-        if not head:
+    rounds, most = 0, candidates_per_round
+    while len(tokens) < vocab_size:
+        pairs = words.mapInArrow(_pairs_in(tokens), "left string, right string, n long").groupBy("left", "right").agg(F.sum("n").alias("count"))
+        head = pairs.orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(_HEAD).toArrow()
+        ranked = list(zip(*(head[c].to_pylist() for c in ("left", "right", "count"))))
+        enough = sum(n >= max(min_frequency, 1) for *_, n in ranked)
+        if not enough:
             break
-        ranked = [(r["left"], r["right"], int(r["count"])) for r in head]
-        now = []
-        for left, right, _ in select_round(ranked, known, vocab_size - size, complete=len(ranked) < candidates_per_round, by_side=True):
-            token = merge_token(left, right)
-            now.append((left, right, token))
-            if token not in known:
-                known.add(token)
-                size += 1
+        unknown = ranked[-1][2] if len(ranked) == _HEAD else 0
+        most = min(most, enough)
+        while True:
+            kept = [(left, right) for left, right, _ in ranked[:most]]
+            cut = words.mapInArrow(_pieces_of(_pair_codes((number[left], number[right]) for left, right in kept)), "piece binary, n long")
+            found = cut.groupBy("piece").agg(F.sum("n").alias("n")).limit(_PIECES + 1).toArrow()
+            size = sum(map(len, found["piece"].to_pylist())) // 4
+            if most == 1 or (len(found) <= _PIECES and size <= _SYMBOLS):
+                break
+            most = max(1, most // 4)
+        pieces = [([tokens[i] for i in np.frombuffer(p, np.int32)], n) for p, n in zip(found["piece"].to_pylist(), found["n"].to_pylist())]
+        beyond = ranked[most][2] if most < len(ranked) else unknown
+        now = _merges_of_pieces(pieces, {(left, right): n for left, right, n in ranked}, set(kept), beyond, unknown, set(tokens), vocab_size - len(tokens), max(min_frequency, 1))
+        for *_, token in now:
+            if token not in number:
+                number[token] = len(tokens)
+                tokens.append(token)
         merges += now
         rounds += 1
-        path = scratch_path(spark, "merge-round")
-        words.mapInArrow(_merge_round(now), "kind int, a string, b string, n long").write.partitionBy("kind").parquet(path)
-        words = spark.read.schema("a string, b string, n long, kind int").parquet(path).where("kind = 0").select("a", "n")
-        changes.append(f"{path}/kind=1*")
-        delta = spark.read.schema("a string, b string, n long").parquet(*changes).select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("n").alias("count"))
-        total = pairs.unionByName(delta).groupBy("left", "right").agg(F.sum("count").alias("count"))
-        if len(changes) == _COMPACT:
-            total = pairs = written(total.filter("count > 0"), "pair-counts")
-            changes = []
-    vocab_rows = [(r.token, r.id, r.kind) for r in base_rows]
-    seen = {r.token for r in base_rows}
-    for _, _, token in merges:
-        if token not in seen:
-            seen.add(token)
-            vocab_rows.append((token, len(vocab_rows), "merge"))
+        words = written(words.mapInArrow(_merge_words([tuple(map(number.get, m)) for m in now]), "ids array<int>, n long"), "words")
+        if len(found) <= _PIECES // 4:
+            most *= 4
+    vocab_rows = [(r.token, r.id, r.kind) for r in base_rows] + [(t, i, "merge") for i, t in enumerate(tokens) if i >= len(base_rows)]
     vocab = spark.createDataFrame(vocab_rows, VOCAB_SCHEMA)
     return TrainResult(vocab, merges, rounds)
 
