@@ -90,14 +90,15 @@ def q_scan_text_corpus(spark, sf):
     """One text file per document, written by Spark, read back whole and numbered in the order of their paths."""
     from tokenmill.session import scratch_path
     from tokenmill.sources.readers import assign_doc_ids, scan_text_corpus
-    from tokenmill.sources.sinks import BY_TASK, write_tasks
+    from tokenmill.sources.sinks import write_texts
+    from tokenmill.sources.small_files import reading_many
 
     path = scratch_path(spark, "books")
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
-    docs.repartition(write_tasks(docs), "doc_id").write.options(**BY_TASK).partitionBy("doc_id").text(path)
+    write_texts(_table(spark, sf, "documents"), path, "doc_id", "text")
     # the files are opened once; the paths alone are numbered
     read = scratch_path(spark, "books-read")
-    scan_text_corpus(spark, path).write.parquet(read)
+    with reading_many(spark):
+        scan_text_corpus(spark, path).write.parquet(read)
     files = spark.read.parquet(read)
     folder = F.regexp_extract("path", "doc_id=([^/]*)/[^/]*$", 1)
     numbers = assign_doc_ids(files.select("path"))

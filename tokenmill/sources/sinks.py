@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.plans.numbering import index_by_order
+from tokenmill.sources import small_files
 
 #: Tasks put their own files in place. Many files would otherwise be moved one by one by the driver at the end.
 BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
@@ -17,6 +18,16 @@ def write_tasks(df: DataFrame) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def write_texts(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """One text file per document, ``<id_col>=<id>/part-*.txt``, a line break behind each text."""
+    texts = df.select(id_col, text_col).repartition(write_tasks(df), id_col)
+    folder = small_files.can_write(texts, path, [id_col])
+    if folder:
+        small_files.write_files(texts.sortWithinPartitions(id_col), folder, [id_col], small_files.TextFile)
+    else:
+        texts.write.options(**BY_TASK).partitionBy(id_col).text(path)
+
+
 def number_files(df: DataFrame, rows_per_file: int, order_cols=("doc_id", "row_no")) -> DataFrame:
     """``file_no = floor(global_row / rows_per_file)`` in document order (partition offsets)."""
     indexed = index_by_order(df, list(order_cols), out="__row")
