@@ -91,14 +91,12 @@ def write_shards(
     buckets_per_shard = max(1, -(-total // (num_shards * rows_per_file)))
     b = F.least(F.floor(F.col(order_col) * buckets_per_shard), F.lit(buckets_per_shard - 1)).cast("int")
     staged = df.withColumn("bucket", b)
-    writer = (
-        staged.repartition(write_tasks(df), shard_col, "bucket")
-        .sortWithinPartitions(shard_col, "bucket", order_col, *key_cols)
-        .write.mode(mode)
-        .options(**BY_TASK)
-        .partitionBy(shard_col, "bucket")
-    )
-    writer.parquet(path)
+    staged = staged.repartition(write_tasks(df), shard_col, "bucket").sortWithinPartitions(shard_col, "bucket", order_col, *key_cols)
+    folder = small_files.can_write(staged, path, [shard_col, "bucket"]) if mode == "overwrite" else None
+    if folder:
+        small_files.write_files(staged, folder, [shard_col, "bucket"], small_files.ParquetFile, mode)
+    else:
+        staged.write.mode(mode).options(**BY_TASK).partitionBy(shard_col, "bucket").parquet(path)
     return buckets_per_shard
 
 
