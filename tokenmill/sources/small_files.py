@@ -84,6 +84,9 @@ def write_files(df: DataFrame, folder: str, keys, kind, mode: str = "errorifexis
     n = len(keys)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        name = f"part-{TaskContext.get().partitionId():05d}"  # the same if the task is repeated
         held, key, target, hidden, files = None, None, None, None, 0
 
         def ended():
@@ -103,7 +106,7 @@ def write_files(df: DataFrame, folder: str, keys, kind, mode: str = "errorifexis
                     key = values[s]
                     place = os.path.join(folder, *(f"{k}={NO_VALUE if v is None else v}" for k, v in zip(keys, key)))
                     os.makedirs(place, exist_ok=True)
-                    target, hidden = f"{place}/part-0{kind.suffix}", f"{place}/.{uuid.uuid4().hex}"
+                    target, hidden = f"{place}/{name}{kind.suffix}", f"{place}/.{uuid.uuid4().hex}"
                     held = kind(hidden)
                     files += 1
                 held.write(rest.slice(s, e - s))
